@@ -1,9 +1,9 @@
 """A blocked Bloom filter made of DataFrame expressions.
 
-A key sets one bit in each of the eight 32-bit words of one block, so a test reads one
-block. The filter is one row holding an array of words, at most `max_words` long whatever
-the number of keys, and reaches the other side as a scalar subquery. Past that size it only
-lets more false positives through, which the exact join behind it removes.
+A key sets one bit in each of the eight 32-bit words of one block, so the filter is a table of
+blocks and a test is a lookup of one row. The table has at most `most_blocks` rows whatever the
+number of keys, which bounds its broadcast (some 100 bytes a row); past that size it only lets
+more false positives through, which the exact join behind it removes.
 """
 
 from __future__ import annotations
@@ -26,32 +26,25 @@ def _bit(h: Column, k: int) -> Column:
     return F.shiftrightunsigned((low * F.lit(SALTS[k])).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")
 
 
-def block_count(keys: int, bits_per_key: int = 16, max_words: int = 1 << 21) -> int:
+def block_count(keys: int, bits_per_key: int = 16, most_blocks: int = 1 << 18) -> int:
     blocks = 1
-    while blocks * WORDS * 32 < keys * bits_per_key and blocks * WORDS < max_words:
+    while blocks * WORDS * 32 < keys * bits_per_key and blocks < most_blocks:
         blocks *= 2
     return blocks
 
 
 def build(df: DataFrame, key: Column, blocks: int) -> DataFrame:
-    """One row, one column `words`: array<int> of blocks * 8 words. Words are or-ed before the
-    one row is made, so no more than the filter's own size meets anywhere."""
+    """(block, w0 .. w7): the blocks that hold a key."""
     h = df.select(F.xxhash64(key).alias("h"))
     one = F.expr("CAST(1 AS INT)")
-    bits = h.select(F.posexplode(F.array(*[F.call_function("shiftleft", one, _bit(F.col("h"), k)) for k in range(WORDS)])).alias("k", "bit"), _block(F.col("h"), blocks).alias("b"))
-    words = bits.groupBy((F.col("b") * WORDS + F.col("k")).alias("w")).agg(F.bit_or("bit").alias("bits"))
-    every = df.sparkSession.range(0, blocks * WORDS, 1, 1).select(F.col("id").alias("w"))
-    full = every.join(words, "w", "left").select("w", F.coalesce("bits", F.lit(0)).alias("bits"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("words"))
+    words = [F.bit_or(F.call_function("shiftleft", one, _bit(F.col("h"), k))).alias(f"w{k}") for k in range(WORDS)]
+    return h.groupBy(_block(F.col("h"), blocks).alias("block")).agg(*words)
 
 
-def may_contain(words: Column, key: Column, blocks: int) -> Column:
-    """Whether the filter may hold the key: never false for a key that was put in. `words` is
-    the filter's column, such as build(...).scalar()."""
+def passing(df: DataFrame, key: Column, table: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key the filter may hold: never without a key that was put in."""
     h = F.xxhash64(key)
-    at = (_block(h, blocks) * WORDS).cast("int")
-    test = F.lit(True)
+    test = _block(h, blocks) == F.col("block")
     for k in range(WORDS):
-        word = F.get(words, at + F.lit(k))
-        test = test & (F.call_function("shiftrightunsigned", word, _bit(h, k)).bitwiseAND(F.lit(1)) == 1)
-    return test
+        test &= F.call_function("shiftrightunsigned", F.col(f"w{k}"), _bit(h, k)).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(table), test, "left_semi")

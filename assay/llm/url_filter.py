@@ -46,7 +46,6 @@ def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
         return out.select(F.col("id").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     blocks = bloom.block_count(n)
-    words = bloom.build(entries, F.col("rule"), blocks).scalar()
     sizes = listed.where("host <> '' and path is not null").agg(F.collect_set(F.length("path")).alias("n")).scalar()
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -54,7 +53,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
     prefixes = F.transform(F.filter("sizes", lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     tried = tried.withColumn("prefixes", prefixes).withColumn("tail", F.explode("hosts"))
     tried = tried.withColumn("prefix", F.explode("prefixes")).withColumn("rule", F.concat("tail", "prefix"))
-    tried = tried.withColumn("words", words).where(bloom.may_contain(F.col("words"), F.col("rule"), blocks)).select("id", "host", "path", "rule")
+    tried = tried.select("id", "host", "path", "rule")
+    tried = bloom.passing(tried, F.col("rule"), bloom.build(entries, F.col("rule"), blocks), blocks)
     if n <= broadcast_rows:
         hits = tried.join(F.broadcast(entries), "rule")
     else:
