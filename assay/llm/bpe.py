@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import shuffle_partitions, table
 
@@ -109,22 +110,33 @@ def text_chunks(batches: Iterable[pa.RecordBatch], max_chars: int) -> Iterator[t
             yield ids, texts
 
 
+class _Numbers(dict):
+    """Numbers words in the order they come up."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], buckets: int, max_chars: int):
     """Per block: its id, its rows' ids, its words by bucket, each row's word positions. The id is
     a digest of the block's words in order, so it names the same table wherever it is made."""
     for ids, texts in text_chunks(batches, max_chars):
-        rows = [words_of(t) for t in texts]
-        distinct = set().union(*rows) if rows else set()
+        seen = _Numbers()
+        rows = []
+        for t in texts:
+            words = words_of(t)
+            rows.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
         by: list[list[str]] = [[] for _ in range(buckets)]
-        for w in distinct:
+        for w in seen:
             by[xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-        at: dict[str, int] = {}
+        place, n, digest = np.empty(len(seen), np.uint32), 0, xxhash.xxh3_64()
         for part in by:
             part.sort()
-            for w in part:
-                at[w] = len(at)
-        digest = xxhash.xxh3_64_intdigest(" ".join(at).encode("utf-8", "surrogatepass"))
-        yield digest >> 1, ids, by, [np.fromiter(map(at.__getitem__, r), np.uint32, len(r)) for r in rows]
+            place[[seen[w] for w in part]] = np.arange(n, n + len(part), dtype=np.uint32)
+            n += len(part)
+            digest.update((" ".join(part) + "\n").encode("utf-8", "surrogatepass"))
+        yield digest.intdigest() >> 1, ids, by, (place[r] for r in rows)
 
 
 _ROW = "block long, kind int, bucket int, doc_id long, lo binary, hi binary"
@@ -149,8 +161,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def positions(batches):
         for block, ids, _, rows in _blocks(batches, buckets, max_chars):
-            n = len(ids)
-            yield _rows(block=[block] * n, kind=[1] * n, bucket=[0] * n, doc_id=ids, lo=[p.astype("<u2").tobytes() for p in rows], hi=[(p >> 16).astype("u1").tobytes() for p in rows])
+            n, packed = len(ids), [(p.astype("<u2").tobytes(), (p >> 16).astype("u1").tobytes()) for p in rows]
+            yield _rows(block=[block] * n, kind=[1] * n, bucket=[0] * n, doc_id=ids, lo=[p[0] for p in packed], hi=[p[1] for p in packed])
 
     def encoded(batches):
         known, now = {}, None
@@ -174,7 +186,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def placed(batches):
         now, last, ids, sizes, start, size, flat = None, None, [], [], None, None, None
         for b in batches:
-            names, packed = [], []
+            names, packed, size_now = [], [], 0
             for block, kind, bucket, doc_id, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if block != now:
                     now, last, ids, sizes, start = block, None, [], [], None
@@ -198,6 +210,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)
                 names.append(doc_id)
                 packed.append(flat[pick].astype("<u4").tobytes())
+                size_now += len(packed[-1])
+                if size_now > 8_000_000:
+                    yield _rows(doc_id=names, ids=packed)
+                    names, packed, size_now = [], [], 0
             if names:
                 yield _rows(doc_id=names, ids=packed)
 
@@ -220,13 +236,16 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     if tokenizer(path).decoder is not None:
         raise ValueError("this vocabulary has a decoder of its own")
     sent = df.sparkSession.sparkContext.broadcast(pieces(path))
+    at, schema = df.columns.index(ids), StructType([*df.schema.fields, StructField(out, StringType())])
 
-    @F.pandas_udf("string")
-    def joined(packed):
+    def joined(batches):
         known = np.array(sent.value, object)
-        return packed.map(lambda b: " ".join(known[np.frombuffer(b, "<u4")].tolist()))
+        for whole in batches:
+            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                texts = [None if x is None else " ".join(known[np.frombuffer(x, "<u4")].tolist()) for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
-    return df.withColumn(out, joined(ids))
+    return df.mapInArrow(joined, schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
