@@ -77,7 +77,8 @@ def _entropy_hit(s: Column) -> Column:
         least = F.when(~full, acc["least"]).when(acc["i"] + 1 == WINDOW, total).otherwise(F.least(acc["least"], total))
         return F.struct(n.alias("n"), total.alias("sum"), least.alias("least"), (acc["i"] + 1).alias("i"))
 
-    pairs = F.transform(chars, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.get(chars, i - WINDOW)).alias("old")))
+    # bound to a lambda variable, so that the characters are split once
+    pairs = F.element_at(F.transform(F.array(chars), lambda a: F.transform(a, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.get(a, i - WINDOW)).alias("old")))), 1)
     least = F.aggregate(pairs, zero, step)["least"]
     return (F.lit(math.log2(WINDOW)) - least / WINDOW) >= bits
 
