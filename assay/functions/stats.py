@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -28,11 +28,15 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= here * (1 + 1e-9)].sum()))
 
 
-@F.pandas_udf("double")
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_exact(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype=float)
 
 
+def fisher_p(a: str, b: str, c: str, d: str) -> Column:
+    """fisher_exact() over four count columns."""
+    return F.pandas_udf(_fisher, "double")(a, b, c, d)
+
+
 def _half_binomial(n: int) -> np.ndarray:
     x = np.arange(n + 1)
     return np.exp(_log_choose(n, x) - n * math.log(2)) if n > 50 else np.array([math.comb(n, int(k)) for k in x]) / 2.0**n
@@ -81,13 +85,17 @@ def paired_permutation(positives: int, b_pos: int, b_neg: int, t_pos: int, t_neg
 _PAIRED = "delta_precision double, p1_precision double, p2_precision double, delta_recall double, p1_recall double, p2_recall double"
 
 
-@F.pandas_udf(_PAIRED)
-def paired_p(positives: pd.Series, b_pos: pd.Series, b_neg: pd.Series, t_pos: pd.Series, t_neg: pd.Series, u_pos: pd.Series, u_neg: pd.Series) -> pd.DataFrame:
+def _paired(positives: pd.Series, b_pos: pd.Series, b_neg: pd.Series, t_pos: pd.Series, t_neg: pd.Series, u_pos: pd.Series, u_neg: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in _PAIRED.split(", ")]
     rows = [paired_permutation(*map(int, t)) for t in zip(positives, b_pos, b_neg, t_pos, t_neg, u_pos, u_neg, strict=True)]
     return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=float)
 
 
+def paired_p(*counts: str) -> Column:
+    """paired_permutation() over its seven count columns, as a struct."""
+    return F.pandas_udf(_paired, _PAIRED)(*counts)
+
+
 def label_permutation(rates: list[float], clean: list[bool], exact_limit: int = 2_000_000, draws: int = 200_000, seed: int = 20260915) -> dict:
     """P of the gap between mean suppression of clean and of other cases over all ways to label as
     many cases clean: exact up to `exact_limit` labellings, else seeded draws and labelled so; 1 when

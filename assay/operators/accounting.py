@@ -47,7 +47,8 @@ def confidence_quantiles(findings: DataFrame, runs: DataFrame) -> DataFrame:
 def stage_usage(attempts: DataFrame) -> DataFrame:
     """M5: tokens, tool calls and cost of a stage over all its attempts, wall time where both stamps are
     there and in order, and the usage of the last attempt that succeeded (else the last)."""
-    wall = F.col("finished_at").cast("double") - F.col("started_at").cast("double")
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    wall = seconds("finished_at") - seconds("started_at")
     final = F.max_by(F.struct("attempt", "tokens", "cost_usd"), F.struct(~F.col("failed"), F.col("attempt")))
     out = attempts.groupBy("run_id", "stage").agg(F.count("*").alias("attempts"), F.sum("tokens").alias("tokens"), F.sum("tool_calls").alias("tool_calls"), F.sum("cost_usd").alias("cost_usd"), F.sum(F.when(wall > 0, wall)).alias("wall_s"), final.alias("final"))
     return out.select("run_id", "stage", "attempts", "tokens", "tool_calls", "cost_usd", "wall_s", F.col("final.attempt").alias("final_attempt"), F.col("final.tokens").alias("final_tokens"), F.col("final.cost_usd").alias("final_cost_usd"))
