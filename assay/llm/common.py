@@ -65,8 +65,7 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     n = max(1, len(w) - width + 1)
     h = np.full(n, U64(min(width, len(w))), U64)
     for k in range(min(width, len(w))):
-        h = (h ^ mix64(w[k : k + n] * _MIX[k % 5] + U64(k))) * _MIX[(k + 1) % 5]
-        h ^= h >> U64(29)
+        h += (w[k : k + n] + U64(k)) * _MIX[k % 5]
     return np.unique(mix64(h))
 
 
@@ -96,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))
         to = both.groupBy("src").agg(F.min(rank("dst")).alias("m"))
-        to = cut(to.select(F.col("src").alias("v"), F.least(F.col("m"), rank("src"))["v"].alias("r")))
+        to = to.select(F.col("src").alias("v"), F.least(F.col("m"), rank("src"))["v"].alias("r"))
         maps.append(to)
         a = to.select(F.col("v").alias("src"), F.col("r").alias("a"))
         b = to.select(F.col("v").alias("dst"), F.col("r").alias("b"))

@@ -7,11 +7,11 @@ Texts with one set are one entry from the start. Then
  2. the matrix says which groups hold which tokens. Of an entry's tokens in a global order, rare
     ones first, only the first n - ceil(0.75 n) + 1 are looked up: two entries that link share
     one of these, whatever the order is;
- 3. for every entry and every other group met there, the entry's overlap with the union of the
+ 3. for every entry and every group of another leader met there, the entry's overlap with the union of the
     group's tokens bounds its overlap with any member. Only a group that reaches the bound is
     opened and its members are compared exactly.
-Groups of the same component are not compared again, so a group of many near copies costs a
-link or two a member and not all its pairs. Members are cut into parts of at most some 64.
+Members of one leader are not compared again, so a group of many near copies costs a link or two
+a member and not all its pairs. Members are cut into parts of at most some 64.
 
 The order comes from a count sketch of all tokens of all documents, of a fixed size (4 Mi counters,
 8 MB as sent to the tasks); its errors change the order, never the result.
@@ -87,11 +87,9 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, usual: int) -> np.ndarray:
-    """The tokens of a set to look up: the first in the order (commonness, hash)."""
-    c = counts[_slots(s)]
-    common = np.where(c > usual, c, 0)
-    return s[np.lexsort((s, common))[: len(s) - least(len(s)) + 1]]
+def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The tokens of a set to look up: the first in the order (sketched count, hash)."""
+    return s[np.lexsort((s, counts[_slots(s)]))[: len(s) - least(len(s)) + 1]]
 
 
 def _entries(docs: DataFrame) -> DataFrame:
@@ -112,7 +110,6 @@ def _entries(docs: DataFrame) -> DataFrame:
 
 def _prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(token, set_id, n), the prefixes of all entries; copies in one task are told once."""
-    usual = int(counts.mean() + 4 * np.sqrt(counts.mean()) + 8)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def made(batches):
@@ -124,7 +121,7 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 if not len(s) or (i := set_id(s)) in told:
                     continue
                 told.add(i)
-                p = prefix(s, sent.value, usual)
+                p = prefix(s, sent.value)
                 tokens.append(p)
                 ids.append(np.full(len(p), i))
                 ns.append(np.full(len(p), len(s), np.int32))
@@ -200,12 +197,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int
     lead = bands.groupBy("band", "low").agg(F.min(F.struct("set_id", "n", "mins")).alias("lead")).where("lead is not null")
     pairs = bands.join(lead, ["band", "low"]).where((F.col("set_id") != F.col("lead.set_id")) & _fits(F.col("n"), F.col("lead.n")))
     same = F.size(F.filter(F.zip_with("mins", "lead.mins", lambda a, b: a == b), lambda x: x))
-    pairs = pairs.select("set_id", F.struct(same.alias("same"), F.col("lead.set_id").alias("grp")).alias("to")).where(F.col("to.same") >= MINS // 2)
+    pairs = pairs.select("set_id", F.struct(same.alias("same"), F.col("lead.set_id").alias("grp")).alias("to")).where(F.col("to.same") >= 9)
     pairs = cut(pairs.groupBy("set_id").agg(F.max("to").alias("to")).select("set_id", F.col("to.grp").alias("grp")))
     stars = cut(_compare(src, pairs.select("grp", F.col("grp").alias("set_id")).distinct(), pairs, reps))
-    first = components(stars).withColumnRenamed("id", "set_id").withColumnRenamed("component", "comp")
+    first = stars.select(F.col("src").alias("set_id"), F.col("dst").alias("comp"))
 
-    # 2. the matrix: tokens that entries of different components look up
+    # 2. the matrix: tokens that entries of different leaders look up
     rows = _prefix_rows(src, counts)
     w = Window.partitionBy("token")
     shared = rows.withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)}).where("lo < hi").select("token", "set_id", "n").distinct()
@@ -216,7 +213,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int
     named = shared.select("set_id", "comp").distinct().join(sizes, "comp", "left").select("set_id", grp().alias("grp"))
     cells = shared.join(named, "set_id")
 
-    # 3. entry and group, told apart by component, with sizes that can link
+    # 3. entry and group of another leader, with sizes that can link
     bounds = cells.groupBy("token", "grp", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q, g = cells.alias("q"), bounds.alias("g")
     met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.comp") > F.col("g.comp")) & (100 * F.col("g.high") >= SHARE * F.col("q.n")) & (100 * F.col("q.n") >= SHARE * F.col("g.low")))
