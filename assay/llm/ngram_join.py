@@ -2,16 +2,17 @@
 
 Documents are their sets of five-word shingles; two link when 100 * intersection >= 75 * union.
 Texts with one set are one entry from the start. Then
- 1. similar entries are put into groups: entries that agree in a min-hash name the smallest as
-    leader, each goes to its likeliest leader, and is a member if the exact test says so;
+ 1. similar entries are put into groups: entries that agree in a min-hash name the most central of
+    them (its min-hashes are the commonest) as leader, and each goes to its likeliest leader; those
+    that the exact test confirms hang together with it;
  2. the matrix says which groups hold which tokens. Of an entry's tokens in a global order, rare
     ones first, only the first n - ceil(0.75 n) + 1 are looked up: two entries that link share
     one of these, whatever the order is;
  3. for every entry and every group of another leader met there, the entry's overlap with the union of the
     group's tokens bounds its overlap with any member. Only a group that reaches the bound is
     opened and its members are compared exactly.
-Members of one leader are not compared again, so a group of many near copies costs a link or two
-a member and not all its pairs. Members are cut into parts of at most some 64.
+Each token's most central entry is tried first, and entries that hang together by then are not compared
+again, so a group of many near copies costs a few tests a member and not all its pairs. Groups are cut into parts of some 128 members.
 
 The order comes from a count sketch of all tokens of all documents, of a fixed size (4 Mi counters,
 8 MB as sent to the tasks); its errors change the order, never the result.
@@ -33,6 +34,8 @@ from .common import U64, components, cut, mix64, set_id, shingle_set, shuffle_pa
 SHARE = 75  # of 100
 COUNTERS, SEGMENT = 1 << 22, 1 << 16
 BANDS, MINS = 6, 16
+ALIKE = 8  # equal min-hashes of an entry and the leader whose group it joins
+LIKELY = 12  # equal min-hashes of a member worth testing; others are left to the matrix
 _MULTIPLY = mix64(np.arange(1, MINS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -41,14 +44,6 @@ def least(n: int) -> int:
     return -(-SHARE * n // 100)
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """The exact test on two sorted sets."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < SHARE * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both)
-
-
 def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> U64(40)).astype(np.int64) & (COUNTERS - 1)
 
@@ -138,43 +133,55 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _compare(docs: DataFrame, groups: DataFrame, queries: DataFrame, reps: DataFrame, chunk: int = 512) -> DataFrame:
-    """groups (grp, set_id), queries (grp, set_id) -> (src, dst): for each query the first member
-    of the group that it links with. A group is sent once for every `chunk` queries, and streams
-    by before them; so a task holds one group, however many queries it has."""
+    """groups and queries (grp, set_id, comp) -> (src, dst): for each query a link to every other
+    component that members of the group bring. A group is sent once for every `chunk` queries, and
+    streams by before them; so a task holds one group, however many queries it has. The overlap with
+    the union bounds that with any member; past the bound one lookup counts all members'."""
     parts = shuffle_partitions(docs.sparkSession)
     size = queries.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    q = queries.join(size, "grp").select("grp", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "set_id")
-    m = groups.join(size, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "set_id")
+    q = queries.join(size, "grp").select("grp", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "set_id", "comp")
+    m = groups.join(size, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "set_id", "comp")
     asked = m.unionByName(q).join(reps.select("set_id", F.col("rep").alias("doc")), "set_id")
     need = cut(asked)
     wanted = need.select("doc").distinct()
     blocks = bloom.block_count(wanted.count())
     texts = bloom.passing(docs.where("doc_id is not null"), F.col("doc_id"), bloom.build(wanted, F.col("doc"), blocks), blocks)
-    rows = need.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("grp", "chunk", "role", "set_id", "text")
+    rows = need.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("grp", "chunk", "role", "set_id", "comp", "text")
     rows = rows.repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk", "role")
 
     def compared(batches):
-        now, union, members = None, None, []
+        now, members, tokens = None, [], None
         for b in batches:
             src, dst = [], []
-            for grp, chunk_, role, i, t in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+            for grp, chunk_, role, i, comp, t in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5), strict=True):
                 s = shingle_set(t.as_py())
                 if set_id(s) != i:  # another row of the same id
                     continue
                 if (grp, chunk_) != now:
-                    now, union, members = (grp, chunk_), None, []
+                    now, members, tokens = (grp, chunk_), [], None
                 if role == 0:
-                    members.append((i, s))
+                    members.append((i, comp, s))
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([x for _, x in members])) if len(members) > 1 else members[0][1] if members else s[:0]
-                at = np.searchsorted(union, s)
-                if np.count_nonzero(union[np.minimum(at, len(union) - 1)] == s) < least(len(s)) if len(union) else True:
+                if not members:
                     continue
-                hit = next((j for j, x in members if j != i and links(s, x)), None)
-                if hit is not None:
-                    src.append(i)
-                    dst.append(hit)
+                if tokens is None:
+                    tokens = np.concatenate([x for *_, x in members])
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, owner = tokens[order], np.repeat(np.arange(len(members)), [len(x) for *_, x in members])[order]
+                    sizes = np.array([len(x) for *_, x in members])
+                lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+                n = hi - lo
+                if np.count_nonzero(n) < least(len(s)):  # the group need not be opened
+                    continue
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(members))
+                met = set()
+                for j in np.flatnonzero(100 * both >= SHARE * (sizes + len(s) - both)):
+                    other, its, _ = members[j]
+                    if other != i and its != comp and its not in met:
+                        met.add(its)
+                        src.append(i)
+                        dst.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return rows.mapInArrow(compared, "src long, dst long")
@@ -184,7 +191,7 @@ def _fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SHARE * F.greatest(a, b)
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = 64) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = 128) -> DataFrame:
     """(key, text) -> (key, n_shingles, component_id)."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = cut(_entries(src))
@@ -194,36 +201,49 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int
 
     # 1. groups: the likeliest of the leaders that an entry shares a min-hash with, if it holds
     bands = reps.select("set_id", "n", "mins", F.posexplode(F.slice("mins", 1, BANDS)).alias("band", "low"))
-    lead = bands.groupBy("band", "low").agg(F.min(F.struct("set_id", "n", "mins")).alias("lead")).where("lead is not null")
+    # an entry whose min-hashes are common stands in the middle of its like: it leads
+    common = bands.groupBy("band", "low").agg(F.count("*").alias("k"))
+    central = bands.join(common, ["band", "low"]).groupBy("set_id").agg(F.sum("k").alias("score"))
+    bands = cut(bands.join(central, "set_id"))
+    lead = bands.groupBy("band", "low").agg(F.max(F.struct("score", "set_id", "n", "mins")).alias("lead"))
     pairs = bands.join(lead, ["band", "low"]).where((F.col("set_id") != F.col("lead.set_id")) & _fits(F.col("n"), F.col("lead.n")))
     same = F.size(F.filter(F.zip_with("mins", "lead.mins", lambda a, b: a == b), lambda x: x))
-    pairs = pairs.select("set_id", F.struct(same.alias("same"), F.col("lead.set_id").alias("grp")).alias("to")).where(F.col("to.same") >= 9)
-    pairs = cut(pairs.groupBy("set_id").agg(F.max("to").alias("to")).select("set_id", F.col("to.grp").alias("grp")))
-    stars = cut(_compare(src, pairs.select("grp", F.col("grp").alias("set_id")).distinct(), pairs, reps))
-    first = stars.select(F.col("src").alias("set_id"), F.col("dst").alias("comp"))
+    pairs = pairs.select("set_id", F.struct(same.alias("same"), F.col("lead.score").alias("score"), F.col("lead.set_id").alias("grp")).alias("to")).where(F.col("to.same") >= ALIKE)
+    alike = cut(pairs.groupBy("set_id").agg(F.max("to").alias("to")).select("set_id", F.col("to.grp").alias("lead"), "to.same"))
+    alone = lambda df: df.withColumn("comp", F.col("set_id"))
+    pairs = alike.where(F.col("same") >= LIKELY).select(F.col("lead").alias("grp"), "set_id")
+    stars = cut(_compare(src, alone(pairs.select("grp", F.col("grp").alias("set_id")).distinct()), alone(pairs), reps))
 
-    # 2. the matrix: tokens that entries of different leaders look up
+    # 2. the matrix: tokens that entries of different groups look up
     rows = _prefix_rows(src, counts)
     w = Window.partitionBy("token")
     shared = rows.withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)}).where("lo < hi").select("token", "set_id", "n").distinct()
-    shared = shared.join(first, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    shared = cut(shared.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo < hi").select("token", "set_id", "n", "comp"))
-    sizes = first.groupBy("comp").agg(F.ceil(F.count("*") / part).alias("parts"))
-    grp = lambda: F.xxhash64("comp", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1))))
-    named = shared.select("set_id", "comp").distinct().join(sizes, "comp", "left").select("set_id", grp().alias("grp"))
-    cells = shared.join(named, "set_id")
-
-    # 3. entry and group of another leader, with sizes that can link
-    bounds = cells.groupBy("token", "grp", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    led = stars.select(F.col("src").alias("set_id"), F.col("dst").alias("up"))
+    led = led.join(led.select(F.col("set_id").alias("up"), F.col("up").alias("top")), "up", "left").select("set_id", F.coalesce("top", "up").alias("comp"))
+    score = bands.select("set_id", "score").distinct()
+    cells = cut(shared.join(led, "set_id", "left").join(score, "set_id").withColumn("comp", F.coalesce("comp", "set_id")))
+    # 3. entry and group, with sizes that can link: first only each token's most central entry
+    lead = cells.groupBy("token").agg(F.max(F.struct("score", "comp", "set_id", "n")).alias("lead"))
+    pairs = cells.join(lead, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n")))
+    pairs = cut(pairs.select(F.col("lead.set_id").alias("grp"), "set_id").distinct())
+    more = cut(_compare(src, alone(pairs.select("grp", F.col("grp").alias("set_id")).distinct()), alone(pairs), reps))
+
+    # then every entry and the groups that hold what it is not joined to yet, by their unions
+    first = components(stars.unionByName(more)).withColumnRenamed("id", "set_id").withColumnRenamed("component", "comp")
+    sizes = alike.groupBy("lead").agg(F.ceil((F.count("*") + 1) / part).alias("parts"))
+    of = reps.select("set_id").join(alike.select("set_id", "lead"), "set_id", "left").withColumn("lead", F.coalesce("lead", "set_id")).join(sizes, "lead", "left")
+    of = of.select("set_id", F.xxhash64("lead", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1)))).alias("grp")).join(first, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    of = cut(of)
+    cells = cells.select("token", "set_id", "n").join(of, "set_id")
+    cells = cut(cells.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo < hi").select("token", "set_id", "n", "comp", "grp"))
+    bounds = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     q, g = cells.alias("q"), bounds.alias("g")
-    met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.comp") > F.col("g.comp")) & (100 * F.col("g.high") >= SHARE * F.col("q.n")) & (100 * F.col("q.n") >= SHARE * F.col("g.low")))
-    met = cut(met.select(F.col("g.grp").alias("grp"), F.col("q.set_id").alias("set_id")).distinct())
-    members = first.join(sizes, "comp").select("set_id", grp().alias("grp"))
-    alone = named.join(first, "set_id", "left_anti")
-    members = members.unionByName(alone.select("set_id", "grp")).join(met.select("grp").distinct(), "grp", "left_semi")
-    found = _compare(src, members, met, reps)
-
-    whole = components(stars.unionByName(found)).withColumnRenamed("id", "set_id")
+    news = (F.col("g.lo") != F.col("q.comp")) | (F.col("g.hi") != F.col("q.comp"))
+    met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.grp") >= F.col("g.grp")) & news & (100 * F.col("g.high") >= SHARE * F.col("q.n")) & (100 * F.col("q.n") >= SHARE * F.col("g.low")))
+    met = cut(met.select(F.col("g.grp").alias("grp"), F.col("q.set_id").alias("set_id"), F.col("q.comp").alias("comp")).distinct())
+    found = _compare(src, of.join(met.select("grp").distinct(), "grp", "left_semi"), met, reps)
+
+    whole = components(stars.unionByName(more).unionByName(found)).withColumnRenamed("id", "set_id")
     named = reps.join(whole, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "component").select("set_id", "component_id")
