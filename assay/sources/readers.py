@@ -49,7 +49,7 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
     """Contamination keys with the SHA-256 of each file's bytes."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.sha2("content", 256).alias("file_sha256"), F.from_json(F.decode("content", F.lit("UTF-8")), T.KEYS).alias("k")).select("file_sha256", "k.*")
+    return raw.select(F.sha2("content", 256).alias("file_sha256"), F.from_json(F.decode("content", "UTF-8"), T.KEYS).alias("k")).select("file_sha256", "k.*")
 
 
 def keys_violations(keys: DataFrame) -> DataFrame:
