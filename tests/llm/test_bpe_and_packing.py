@@ -3,7 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import rows as R
+from . import rows as R
 
 from assay.llm import bpe, packing
 

@@ -1,7 +1,7 @@
 import hashlib
 
 import numpy as np
-import rows as R
+from . import rows as R
 
 from assay.llm import fingerprints as FP
 

@@ -3,7 +3,7 @@
 import random
 import zlib
 
-import rows as R
+from . import rows as R
 
 from assay.llm import langid, toxicity
 

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-import rows as R
+from . import rows as R
 
 from assay.llm import embed_dedup, line_dedup, ngram_join
 from assay.llm.common import components, shingle_set

@@ -1,5 +1,5 @@
 import corpus_pipeline
-import rows as R
+from . import rows as R
 
 
 def test_stages(spark, tmp_path):

@@ -1,4 +1,4 @@
-import rows as R  # noqa: F401
+from . import rows as R  # noqa: F401
 from pyspark.sql import functions as F
 
 from assay.llm import bloom
