@@ -4,6 +4,7 @@ five-word shingle sets and connected components."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -21,15 +22,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder the cluster names; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; one of our own only where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a written table in the shared folder, for what packs well in columns."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def part_of(column: Column, mod: int) -> Column:
     """crc32 of an id's decimal text modulo `mod`; null ids give null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(mod))

@@ -6,8 +6,8 @@ Texts with one set are one entry from the start. Then
     them (its min-hashes are the commonest) as leader, and each goes to its likeliest leader; those
     that the exact test confirms hang together with it;
  2. the matrix says which groups hold which tokens. Of an entry's tokens in a global order, rare
-    ones first, only the first n - ceil(0.75 n) + 1 are looked up: two entries that link share
-    one of these, whatever the order is;
+    ones first, only some three tenths are looked up: two entries that link share a twentieth of
+    their size there, whatever the order is;
  3. for every entry and every group of another leader met there, the entry's overlap with the union of the
     group's tokens bounds its overlap with any member. Only a group that reaches the bound is
     opened and its members are compared exactly.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, components, cut, mix64, set_id, shingle_set, shuffle_partitions, table
+from .common import U64, components, cut, mix64, set_id, shingle_set, shuffle_partitions, stored, table
 
 SHARE = 75  # of 100
 COUNTERS, SEGMENT = 1 << 22, 1 << 16
@@ -82,9 +82,15 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def hits(n: int) -> int:
+    """How many looked-up tokens a set of n shares with one of its size that it links with."""
+    return 1 + n // 20
+
+
 def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The tokens of a set to look up: the first in the order (sketched count, hash)."""
-    return s[np.lexsort((s, counts[_slots(s)]))[: len(s) - least(len(s)) + 1]]
+    """The tokens of a set to look up: the first n - least(n) + hits(n) in the order (sketched count,
+    hash). Sets that share least(n) tokens share hits(n) of these; if sizes differ, the lesser hits()."""
+    return s[np.lexsort((s, counts[_slots(s)]))[: len(s) - least(len(s)) + hits(len(s))]]
 
 
 def _entries(docs: DataFrame) -> DataFrame:
@@ -187,6 +193,12 @@ def _compare(docs: DataFrame, groups: DataFrame, queries: DataFrame, reps: DataF
     return rows.mapInArrow(compared, "src long, dst long")
 
 
+def _enough(n: Column, shared: Column) -> Column:
+    """Whether so many shared looked-up tokens leave a set of n a chance: hits() of the smallest set that
+    it can link with."""
+    return shared >= 1 + F.floor(F.ceil(SHARE * n / 100) / 20)
+
+
 def _fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SHARE * F.greatest(a, b)
 
@@ -204,7 +216,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int
     # an entry whose min-hashes are common stands in the middle of its like: it leads
     common = bands.groupBy("band", "low").agg(F.count("*").alias("k"))
     central = bands.join(common, ["band", "low"]).groupBy("set_id").agg(F.sum("k").alias("score"))
-    bands = cut(bands.join(central, "set_id"))
+    bands = bands.join(central, "set_id")
     lead = bands.groupBy("band", "low").agg(F.max(F.struct("score", "set_id", "n", "mins")).alias("lead"))
     pairs = bands.join(lead, ["band", "low"]).where((F.col("set_id") != F.col("lead.set_id")) & _fits(F.col("n"), F.col("lead.n")))
     same = F.size(F.filter(F.zip_with("mins", "lead.mins", lambda a, b: a == b), lambda x: x))
@@ -220,12 +232,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int
     shared = rows.withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)}).where("lo < hi").select("token", "set_id", "n").distinct()
     led = stars.select(F.col("src").alias("set_id"), F.col("dst").alias("up"))
     led = led.join(led.select(F.col("set_id").alias("up"), F.col("up").alias("top")), "up", "left").select("set_id", F.coalesce("top", "up").alias("comp"))
-    score = bands.select("set_id", "score").distinct()
-    cells = cut(shared.join(led, "set_id", "left").join(score, "set_id").withColumn("comp", F.coalesce("comp", "set_id")))
+    score = cut(central)
+    cells = stored(shared.join(led, "set_id", "left").join(score, "set_id").withColumn("comp", F.coalesce("comp", "set_id")))
     # 3. entry and group, with sizes that can link: first only each token's most central entry
     lead = cells.groupBy("token").agg(F.max(F.struct("score", "comp", "set_id", "n")).alias("lead"))
     pairs = cells.join(lead, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n")))
-    pairs = cut(pairs.select(F.col("lead.set_id").alias("grp"), "set_id").distinct())
+    pairs = pairs.groupBy(F.col("lead.set_id").alias("grp"), "set_id").agg(F.max("n").alias("n"), F.count("*").alias("k"))
+    pairs = cut(pairs.where(_enough(F.col("n"), F.col("k"))).select("grp", "set_id"))
     more = cut(_compare(src, alone(pairs.select("grp", F.col("grp").alias("set_id")).distinct()), alone(pairs), reps))
 
     # then every entry and the groups that hold what it is not joined to yet, by their unions
@@ -235,12 +248,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int
     of = of.select("set_id", F.xxhash64("lead", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1)))).alias("grp")).join(first, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     of = cut(of)
     cells = cells.select("token", "set_id", "n").join(of, "set_id")
-    cells = cut(cells.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo < hi").select("token", "set_id", "n", "comp", "grp"))
+    cells = cells.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo < hi").select("token", "set_id", "n", "comp", "grp")
     bounds = cells.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     q, g = cells.alias("q"), bounds.alias("g")
     news = (F.col("g.lo") != F.col("q.comp")) | (F.col("g.hi") != F.col("q.comp"))
     met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.grp") >= F.col("g.grp")) & news & (100 * F.col("g.high") >= SHARE * F.col("q.n")) & (100 * F.col("q.n") >= SHARE * F.col("g.low")))
-    met = cut(met.select(F.col("g.grp").alias("grp"), F.col("q.set_id").alias("set_id"), F.col("q.comp").alias("comp")).distinct())
+    met = met.groupBy(F.col("g.grp").alias("grp"), F.col("q.set_id").alias("set_id"), F.col("q.comp").alias("comp")).agg(F.max("q.n").alias("n"), F.count("*").alias("k"))
+    met = cut(met.where(_enough(F.col("n"), F.col("k"))).select("grp", "set_id", "comp"))
     found = _compare(src, of.join(met.select("grp").distinct(), "grp", "left_semi"), met, reps)
 
     whole = components(stars.unionByName(more).unionByName(found)).withColumnRenamed("id", "set_id")
