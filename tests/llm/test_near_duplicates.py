@@ -130,3 +130,18 @@ def test_pigeonholes_find_the_same(spark, monkeypatch):
     for blocks in ([13, 13, 13, 13, 12], 2), ([11, 11, 11, 11, 10, 10], 3):
         monkeypatch.setattr(line_dedup, "pigeonholes", lambda n, b=blocks: b)
         assert sorted(map(str, line_dedup.drops(docs).collect())) == a
+
+
+def test_lines_of_usual_length_link(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    docs = []
+    for k, n in enumerate((2, 3, 5, 7, 9, 10, 12, 15, 20, 24, 25, 30, 40, 60) * 6):
+        one = [word() for _ in range(n)]
+        two = list(one)
+        for at in r.sample(range(n), max(1, n // 10)):
+            two[at] = word()[:6] if n >= 10 else "q" + two[at][1:]
+        docs += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    want = {b for (a, x), (b, y) in zip(docs[::2], docs[1::2], strict=True) if _distance(x, y) <= max(len(x), len(y)) // line_dedup.TENTH}
+    assert len(want) == len(docs) // 2
+    assert {x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()} == want
