@@ -145,3 +145,10 @@ def test_lines_of_usual_length_link(spark):
     want = {b for (a, x), (b, y) in zip(docs[::2], docs[1::2], strict=True) if _distance(x, y) <= max(len(x), len(y)) // line_dedup.TENTH}
     assert len(want) == len(docs) // 2
     assert {x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()} == want
+
+
+def test_lines_of_other_numbers_stay(spark):
+    rows = [(12.5, 4711, 3), (98.7, 2056, 4), (31.4, 8890, 6)]
+    docs = [(k, f"Measured depth {d} m at station {s} on day {n}") for k, (d, s, n) in enumerate(rows)]
+    docs.append((9, docs[0][1].upper() + "!"))
+    assert [x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()] == [9]
