@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -96,32 +96,101 @@ def paired_p(*counts: str) -> Column:
     return F.pandas_udf(_paired, _PAIRED)(*counts)
 
 
-def label_permutation(rates: list[float], clean: list[bool], exact_limit: int = 2_000_000, draws: int = 200_000, seed: int = 20260915) -> dict:
-    """P of the gap between mean suppression of clean and of other cases over all ways to label as
-    many cases clean: exact up to `exact_limit` labellings, else seeded draws and labelled so; 1 when
-    no or every case is clean."""
-    r, mask = np.asarray(rates, float), np.asarray(clean, bool)
-    n, k = len(r), int(mask.sum())
+def _sides(total: float, k: int, n: int, s) -> np.ndarray:
+    return s / k - (total - s) / (n - k)
+
+
+def label_exact(rates: list[float], sizes: list[int], clean: list[int], exact_limit: int = 2_000_000) -> dict | None:
+    """The exact test over distinct rates with their cases and clean cases: the number of labellings by
+    (clean so far, sum so far), rate by rate. None where a step has more than `exact_limit` such states
+    (there are never more than labellings) or a rate is no fraction of small numbers."""
+    n, k = sum(sizes), sum(clean)
+    parts = [Fraction(r).limit_denominator(1_000_000) for r in rates]
+    if any(abs(float(p) - r) > 1e-12 for p, r in zip(parts, rates, strict=True)):
+        return None
+    unit = math.lcm(*(p.denominator for p in parts))
+    values = [int(p * unit) for p in parts]
+    states, left = {(0, 0): 1}, n
+    for v, m in zip(values, sizes, strict=True):
+        left -= m
+        ways, new = [math.comb(m, c) for c in range(m + 1)], {}
+        for (c, s), w in states.items():
+            for x in range(max(0, k - c - left), min(m, k - c) + 1):
+                key = (c + x, s + x * v)
+                new[key] = new.get(key, 0) + w * ways[x]
+            if len(new) > exact_limit:
+                return None
+        states = new
+    whole = sum(v * m for v, m in zip(values, sizes, strict=True))
+    seen = sum(v * c for v, c in zip(values, clean, strict=True))
+    every = sum(states.values())
+    one = sum(w for (_, s), w in states.items() if s >= seen)
+    two = sum(w for (_, s), w in states.items() if abs(s * n - whole * k) >= abs(seen * n - whole * k))
+    return {"p1": float(Fraction(one, every)), "p2": float(Fraction(two, every))}
+
+
+def label_hits(rates: list[float], sizes: list[int], clean: list[int], draws: int, seed: list[int]) -> tuple[int, int]:
+    """How many of `draws` random labellings have a gap as large, and as large either way: the clean cases
+    of each distinct rate are multivariate hypergeometric."""
+    r, m, c = np.asarray(rates, float), np.asarray(sizes, np.int64), np.asarray(clean, np.int64)
+    n, k, total = int(m.sum()), int(c.sum()), float(r @ m)
+    obs = _sides(total, k, n, float(r @ c))
+    g = _sides(total, k, n, np.random.default_rng(seed).multivariate_hypergeometric(m, k, size=draws, method="marginals") @ r)
+    return int((g >= obs - 1e-12).sum()), int((np.abs(g) >= abs(obs) - 1e-12).sum())
+
+
+def _label_start(rates: list[float], sizes: list[int], clean: list[int], exact_limit: int) -> dict:
+    n, k = sum(sizes), sum(clean)
     if n == 0 or k == 0 or k == n:
         return {"gap": 0.0, "p1": 1.0, "p2": 1.0, "method": "degenerate"}
-    gap = lambda s: s / k - (r.sum() - s) / (n - k)
-    obs = gap(r[mask].sum())
-    if math.comb(n, k) <= exact_limit:
-        sums, method = np.fromiter((sum(c) for c in combinations(r.tolist(), k)), float), "exact"
-    else:
-        rng = np.random.default_rng(seed)
-        sums, method = np.array([r[rng.permutation(n)[:k]].sum() for _ in range(draws)]), "monte carlo"
-    g = gap(sums)
-    return {"gap": float(obs), "p1": float((g >= obs - 1e-12).mean()), "p2": float((np.abs(g) >= abs(obs) - 1e-12).mean()), "method": method}
-
-
-def label_permutation_by(df: DataFrame, group: str, rate: str, clean: str, exact_limit: int = 2_000_000, draws: int = 200_000) -> DataFrame:
-    """(group, gap, p1, p2, method) of label_permutation for the per-case rows of each group; a
-    group is a cohort's cases, some tens to thousands of rows."""
-
-    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([clean, rate])
-        return pd.DataFrame([{group: key[0], **label_permutation(pdf[rate].tolist(), pdf[clean].tolist(), exact_limit, draws)}])
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.select(group, rate, clean).groupBy(group).applyInPandas(test, f"{group} {kind}, gap double, p1 double, p2 double, method string")
+    total, seen = sum(r * m for r, m in zip(rates, sizes, strict=True)), sum(r * c for r, c in zip(rates, clean, strict=True))
+    found = label_exact(rates, sizes, clean, exact_limit)
+    return {"gap": float(_sides(total, k, n, seen)), **(found or {"p1": None, "p2": None}), "method": "exact" if found else "monte carlo"}
+
+
+def label_permutation(rates: list[float], clean: list[bool], exact_limit: int = 2_000_000, draws: int = 200_000, seed: int = 20260915) -> dict:
+    """P of the gap between mean suppression of clean and of other cases over all ways to label as
+    many cases clean: exact where the counts of labellings fit `exact_limit` states, else from seeded
+    draws, with the observed labelling counted in (so never 0), and labelled so; 1 when no or every
+    case is clean."""
+    cells: dict[float, list[int]] = {}
+    for r, c in zip(rates, clean, strict=True):
+        cell = cells.setdefault(float(r), [0, 0])
+        cell[0] += 1
+        cell[1] += bool(c)
+    values = sorted(cells)
+    sizes, marked = [cells[v][0] for v in values], [cells[v][1] for v in values]
+    out = _label_start(values, sizes, marked, exact_limit)
+    if out["method"] == "monte carlo":
+        h1, h2 = label_hits(values, sizes, marked, draws, [seed])
+        out |= {"p1": (1 + h1) / (1 + draws), "p2": (1 + h2) / (1 + draws)}
+    return out
+
+
+#: Draws of one task.
+CHUNK = 4000
+
+
+def label_permutation_by(df: DataFrame, group: str, rate: str, clean: str, exact_limit: int = 2_000_000, draws: int = 200_000, seed: int = 20260915) -> DataFrame:
+    """(group, gap, p1, p2, method) of label_permutation for the per-case rows of each group. A group
+    travels as the counts of its distinct rates; draws are dealt in chunks, each with its own seed."""
+    cells = df.groupBy(F.col(group).alias("g"), F.col(rate).cast("double").alias("r")).agg(F.count("*").alias("n"), F.count_if(clean).alias("k"))
+    rows = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("r", "n", "k"))).alias("c")).select("g", "c.r", "c.n", "c.k")
+
+    def start(r: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        found = [_label_start([float(v) for v in a], [int(v) for v in b], [int(v) for v in c], exact_limit) for a, b, c in zip(r, n, k, strict=True)]
+        return pd.DataFrame(found, columns=["gap", "p1", "p2", "method"]).astype({"gap": float, "p1": float, "p2": float})
+
+    def hits(r: pd.Series, n: pd.Series, k: pd.Series, at: pd.Series) -> pd.DataFrame:
+        found = [label_hits(list(a), list(b), list(c), min(CHUNK, draws - CHUNK * int(i)), [seed, int(i)]) for a, b, c, i in zip(r, n, k, at, strict=True)]
+        return pd.DataFrame(found, columns=["h1", "h2"])
+
+    start.__annotations__ = {"r": pd.Series, "n": pd.Series, "k": pd.Series, "return": pd.DataFrame}
+    hits.__annotations__ = start.__annotations__ | {"at": pd.Series}
+    started = rows.withColumn("s", F.pandas_udf(start, "gap double, p1 double, p2 double, method string")("r", "n", "k"))
+    chunks = -(-draws // CHUNK)
+    dealt = started.where("s.method = 'monte carlo'").select("g", "r", "n", "k", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("at")).repartition(chunks, "g", "at")
+    drawn = dealt.withColumn("x", F.pandas_udf(hits, "h1 long, h2 long")("r", "n", "k", "at")).groupBy("g").agg(F.sum("x.h1").alias("h1"), F.sum("x.h2").alias("h2"))
+    out = started.join(drawn.withColumnRenamed("g", "d"), F.col("g").eqNullSafe(F.col("d")), "left")
+    p = lambda exact, h: F.coalesce(F.col(f"s.{exact}"), (1 + F.col(h)) / F.lit(1.0 + draws)).alias(exact)
+    return out.select(F.col("g").alias(group), "s.gap", p("p1", "h1"), p("p2", "h2"), "s.method")

@@ -167,7 +167,7 @@ def _(t):
 
 @query("j12_pr_permutation")
 def _(t):
-    return J.pr_permutation(J.pr_stats(_class(t)), draws=2000)
+    return J.pr_permutation(J.pr_stats(_class(t)))
 
 
 @query("j13_finding_fisher", f"WITH {CLASS}, q AS (SELECT arm, count(*) FILTER (negative AND NOT s) AS a, count(*) FILTER (negative AND s) AS b, count(*) FILTER (NOT negative AND NOT s) AS c, count(*) FILTER (NOT negative AND s) AS d FROM cls WHERE NOT new_by_stage3 GROUP BY arm), k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM q), z AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - (lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1))) AS p FROM k), h AS (SELECT *, max(p) FILTER (x = a) OVER (PARTITION BY arm) AS here FROM z) SELECT arm, a, b, c, d, round(least(1, sum(p) FILTER (p <= here * (1 + 1e-9))), 6) AS p FROM h GROUP BY arm, a, b, c, d")

@@ -1,10 +1,11 @@
 """The exact tests against hand computations, published figures and enumeration."""
 
+import math
 from itertools import product
 
 import pytest
 
-from assay.functions.stats import fisher_exact, label_permutation, paired_permutation
+from assay.functions.stats import fisher_exact, label_permutation, label_permutation_by, paired_permutation
 
 
 @pytest.mark.parametrize(("table", "p"), [((3, 1, 1, 3), 0.4857), ((0, 0, 0, 0), 1.0), ((2, 0, 0, 2), 1 / 3), ((16, 11, 0, 9), 0.0019), ((14, 6, 1, 14), 0.0003), ((18, 19, 1, 1), 1.0), ((12, 19, 15, 63), 0.0483)])
@@ -53,3 +54,20 @@ def test_label_permutation():
     r = label_permutation([1.0, 0.0, 0.0, 0.0], [True, False, False, False])
     assert r["gap"] == 1 and r["p1"] == 0.25 and r["method"] == "exact"
     assert label_permutation([0.1, 0.4, 0.9] * 4, [True, False, False] * 4, exact_limit=10, draws=500)["method"] == "monte carlo"
+
+
+def test_label_permutation_past_two_million_labellings_is_exact(spark):
+    rates, clean = [0.0] * 20 + [0.5] * 20 + [1.0] * 20, [True] * 4 + [False] * 16 + [True] * 10 + [False] * 10 + [True] * 16 + [False] * 4
+    r = label_permutation(rates, clean)
+    ways = {}
+    for x in range(21):
+        for y in range(max(0, 10 - x), min(20, 30 - x) + 1):
+            s = y + 2 * (30 - x - y)
+            ways[s] = ways.get(s, 0) + math.comb(20, x) * math.comb(20, y) * math.comb(20, 30 - x - y)
+    assert sum(ways.values()) == math.comb(60, 30)
+    assert r["method"] == "exact" and r["p1"] == pytest.approx(sum(w for s, w in ways.items() if s >= 42) / math.comb(60, 30), rel=1e-12)
+    rows = [("a", float(x), c) for x, c in zip(rates, clean, strict=True)]
+    drawn = [("b", x / 97, c) for (x, c) in zip(range(60), [False] * 30 + [True] * 30, strict=True)]
+    got = {x["arm"]: x for x in label_permutation_by(spark.createDataFrame(rows + drawn, "arm string, rate double, clean boolean"), "arm", "rate", "clean", exact_limit=500, draws=9000).collect()}
+    assert got["a"]["method"] == "exact" and got["a"]["p1"] == pytest.approx(r["p1"]) and got["a"]["p2"] == pytest.approx(r["p2"])
+    assert got["b"]["method"] == "monte carlo" and got["b"]["p1"] == pytest.approx(1 / 9001) and got["b"]["gap"] == pytest.approx(30 / 97)
