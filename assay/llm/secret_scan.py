@@ -6,8 +6,8 @@ given a value of 6 or more characters; `access`, AKIA and upper-case letters or
 more in all; `hex`, 24 or more lower-case hex digits. `entropy` adds candidate strings in
 which some window of 20 characters reaches the class's entropy: the window's counts are kept
 up by adding the character that enters and taking off the one that leaves. Candidates without
-both a letter and a digit, those on the allow list and those that overlap a rule's span are
-left alone; a rule's span is never suppressed.
+both a letter and a digit and those on the allow list are left alone; a rule's span is cut out
+of a candidate and what is left is tested on its own; a rule's span is never suppressed.
 
 Defined results: null text counts as empty and has no span; texts are read whole.
 """
@@ -29,8 +29,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-# Least entropy in bits of a window, by character class.
-HEX_BITS, WIDE_BITS = 3.2, 3.85
+# Least entropy in bits of a window, by character class (hex digits, upper case and
+# digits, lower case and digits, letters and digits, the rest): what 98 of 100 random strings of
+# 20 characters reach.
+HEX_BITS, UPPER_BITS, LOWER_BITS, MIXED_BITS, WIDE_BITS = 2.94, 3.4, 3.48, 3.68, 3.68
 # Strings that look random and are no secrets.
 ALLOW = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -59,7 +61,8 @@ def _located(text: Column, pattern: str, matches: Column, holds: Column, kind: s
 
 def _entropy_hit(s: Column) -> Column:
     """Whether some window of the string reaches its class's entropy."""
-    bits = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(WIDE_BITS))
+    bits = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).when(s.rlike("^[0-9A-Z]+=*$"), F.lit(UPPER_BITS)).when(s.rlike("^[0-9a-z]+=*$"), F.lit(LOWER_BITS))
+    bits = bits.when(s.rlike("^[0-9A-Za-z]+=*$"), F.lit(MIXED_BITS)).otherwise(F.lit(WIDE_BITS))
     # entropy of a window = log2(w) - sum(c log2 c) / w; the sum moves by f(c + 1) - f(c) and back
     chars = F.transform(F.split(s, ""), lambda c: F.ascii(c) - 43)  # + is 43, z is 122
     f = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
@@ -83,19 +86,35 @@ def _entropy_hit(s: Column) -> Column:
     return (F.lit(math.log2(WINDOW)) - least / WINDOW) >= bits
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with every span as blanks, so that positions stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+    tail = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), zero, step, tail)).otherwise(text)
+
+
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """Adds `out`: array<struct<start,order,end,kind>> by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
-    assign, access, hexes, wide = (F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in (ASSIGN, ACCESS, HEX, CANDIDATE))
+    assign, access, hexes = (F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in (ASSIGN, ACCESS, HEX))
     value = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= 6)
     always = lambda m: F.transform(m, lambda _: F.lit(True))
     base = F.concat(_located(t, ASSIGN, assign, value, "assign", 0), _located(t, ACCESS, access, always(access), "access", 1), _located(t, HEX, hexes, always(hexes), "hex", 2))
     allowed = lambda s: s.rlike(ALLOW[0]) | s.rlike(ALLOW[1]) | s.rlike(ALLOW[2]) | s.rlike(ALLOW[3])
+    df = docs.withColumn(out, base)
+    rest = out + "_rest"
+    while rest in df.columns:
+        rest += "_"
+    df = df.withColumn(rest, _blanked(t, F.col(out)))
+    wide = F.regexp_extract_all(F.col(rest), F.lit(CANDIDATE), F.lit(0))
     odd = F.transform(wide, lambda s: F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~allowed(s), _entropy_hit(s)).otherwise(False))
-    df = docs.withColumn(out, F.struct(base.alias("base"), _located(t, CANDIDATE, wide, odd, "entropy", 3).alias("more")))
-    x = F.col(out)
-    more = F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.withColumn(out, F.array_sort(F.concat(x["base"], more)))
+    return df.withColumn(out, F.array_sort(F.concat(F.col(out), _located(F.col(rest), CANDIDATE, wide, odd, "entropy", 3)))).drop(rest)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

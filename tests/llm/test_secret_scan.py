@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from . import rows as R
@@ -65,3 +67,20 @@ def test_redaction_keeps_the_rest(spark):
             at = max(at, z)
         assert out[i]["text"] == want + t[at:] and out[i]["n_chars"] == len(want + t[at:])
     assert S.redact(R.frame(spark, [])).count() == 0
+
+
+def test_random_tokens_of_every_alphabet(spark):
+    r = random.Random(4)
+    for name, alphabet in (("base32", string.ascii_uppercase + "234567"), ("base36", string.ascii_lowercase + string.digits), ("hex", "0123456789abcdef"), ("base62", string.ascii_letters + string.digits)):
+        rows = [(k, "tok " + "".join(r.choice(alphabet) for _ in range(20)) + " end") for k in range(300)]
+        rows = [(k, t) for k, t in rows if re.search("[0-9]", t) and re.search("[A-Za-z]", t[4:24])]
+        found = S.scan(R.frame(spark, rows)).where("size(spans) > 0").count()
+        assert found >= 0.94 * len(rows), (name, found, len(rows))
+
+
+def test_what_a_rule_leaves_of_a_candidate(spark):
+    key, secret = "AKIA" + "Q7Z2" * 4, "wJalrXUtnFEMI/K7MDENG+bPxRfiCY5Zk8Qp2Lm9"
+    text = f"é {key}/{secret} and plain words"
+    assert S.redact(R.frame(spark, [(1, text)])).first()["text"] == "é [secret][secret] and plain words"
+    got = S.scan(R.frame(spark, [(1, text)])).first()["spans"]
+    assert [(x["start"], x["end"], x["kind"]) for x in got] == [(2, 22, "access"), (22, 23 + len(secret), "entropy")]
