@@ -1,9 +1,12 @@
+import os
 import random
 
 import numpy as np
+import pytest
+
 from . import rows as R
 
-from assay.llm import embed_dedup, line_dedup, ngram_join
+from assay.llm import embed_dedup, line_dedup, lines, ngram_join
 from assay.llm.common import components, shingle_set
 
 
@@ -98,20 +101,19 @@ def _distance(a, b):
     return row[-1]
 
 
+def _lines(text):
+    """The normalised lines of a text, written out plainly."""
+    kept = "".join(c.lower() if "A" <= c <= "Z" else c if c == "\n" or c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text or "")
+    return [" ".join(x.split(" ")).strip() and " ".join(w for w in x.split(" ") if w) for x in kept.split("\n")]
+
+
 def test_lines_against_brute_force(spark):
     docs = [x for x in R.documents() if len(x[1] or "") < 5000]
     docs += [(700 + k, "\n".join([R.words(600 + k, 12), "a licence line with many words in it that only differs by " + "abcdefgh"[k % 8], "short", ""])) for k in range(16)]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(R.frame(spark, docs), removed="gone").collect()}
-    occ = [(i, no, b" ".join(w)) for i, t in docs if i is not None for no, w in enumerate(line_dedup.normal_lines(t)) if len(b" ".join(w)) >= 16]
+    occ = [(i, no, x) for i, t in docs if i is not None and t is not None for no, x in enumerate(_lines(t)) if len(x.encode()) >= 16]
     lines = sorted({x for *_, x in occ})
-    sims = line_dedup.simhashes([x.split() for x in lines]).view(np.uint64)
-    edges = []
-    for a in range(len(lines)):
-        for b in range(a):
-            if int(sims[a] ^ sims[b]).bit_count() <= line_dedup.APART:
-                x, y = lines[a].decode(), lines[b].decode()
-                if _distance(x, y) <= max(len(x), len(y)) // line_dedup.TENTH:
-                    edges.append((a, b))
+    edges = [(a, b) for a in range(len(lines)) for b in range(a) if _distance(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])) // line_dedup.TENTH]
     root = dict(zip(lines, _groups(len(lines), edges), strict=True))
     first = {}
     for i, no, x in sorted(occ):
@@ -124,12 +126,87 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(R.frame(spark, [])).count() == 0
 
 
-def test_pigeonholes_find_the_same(spark, monkeypatch):
-    docs = R.frame(spark, [x for x in R.documents() if x[0] is None or x[0] >= 100])
-    a = sorted(map(str, line_dedup.drops(docs).collect()))
-    for blocks in ([13, 13, 13, 13, 12], 2), ([11, 11, 11, 11, 10, 10], 3):
-        monkeypatch.setattr(line_dedup, "pigeonholes", lambda n, b=blocks: b)
-        assert sorted(map(str, line_dedup.drops(docs).collect())) == a
+def test_lines_odd_cases(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))  # one very long line, and it once more with a change
+    docs = [(1, long), (2, long.replace("w777 ", "x777 ")), (3, "y" * 80_000), (4, "y" * 80_000), (5, "A line of several words here\nsecond"), (5, "another text of the same id here\nA line of several words here"), (None, "A line of several words here"), (6, "A LINE of several words, here!")]
+    rows = [(i, t, "x", "y", "z", len(t)) for i, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _drop string, _drop_id string, h string, n_chars int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"], r["_drop"], r["_drop_id"], r["h"], r["n_chars"]) for r in out.collect())
+    text = {1: [long], 2: [""], 3: ["y" * 80_000], 4: [""], 5: ["A line of several words here\nsecond", "another text of the same id here"], 6: [""], 0: ["A line of several words here"]}
+    # the line stands in both rows of id 5, first on line 0 of the id: on line 1 it goes
+    assert got == sorted((i, t, "x", "y", "z", len(t)) for i, ts in text.items() for t in ts)
+    every = line_dedup.dedup_lines(R.frame(spark, [(1, "a b"), (2, "A  b!"), (3, "c")]), least_chars=0)
+    assert {r["doc_id"]: r["text"] for r in every.collect()} == {1: "a b", 2: "", 3: "c"}
+
+
+def test_common_keys_are_dealt_out(spark, monkeypatch):
+    docs = [(k, f"all rights to this page are reserved by the holder of number {k * 7919 % 100_000:05d}") for k in range(400)] + [(500 + k, R.words(k, 9)) for k in range(50)]
+    want = {x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()}
+    assert want == set(range(1, 400))
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(line_dedup, "COMMON", 20)
+    monkeypatch.setattr(line_dedup, "shuffle_partitions", lambda _: 32)
+    assert line_dedup.common_keys(R.frame(spark, docs), 16)
+    assert {x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()} == want
+
+
+def test_recall_on_real_lines(spark):
+    """Of planted links, checked by plain edit distance, 0.9 or more are found for every length and kind."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    r = random.Random(4)
+    pool = sorted({x for t in spark.read.parquet(path).select("text").collect() for x in _lines(t["text"]) if 8 <= x.count(" ") + 1 <= 70})
+    bands = [(8, 14), (15, 24), (25, 40), (41, 70)]
+    words = sorted({w for x in pool for w in x.split(" ")})
+    docs, kind, base = [], {}, 0
+    for lo, hi in bands:
+        for one in r.sample([x for x in pool if lo <= x.count(" ") + 1 <= hi], 60):
+            for how in ("typo", "word", "words", "typos"):
+                w = one.split(" ")
+                if how == "typo":
+                    k = r.randrange(len(w))
+                    w[k] = w[k] + "x"
+                elif how in ("word", "words"):
+                    for k in r.sample(range(len(w)), 1 if how == "word" else max(1, len(w) // 10)):
+                        w[k] = r.choice(words)
+                two = " ".join(w)
+                if how == "typos":
+                    c = list(two)
+                    for k in r.sample(range(len(c)), max(1, len(c) // 25)):
+                        c[k] = r.choice("aeinst")
+                    two = "".join(c)
+                if one == two or _distance(one, two) > max(len(one), len(two)) // 10:
+                    continue
+                docs.append((base, one, two))
+                kind[base] = (lo, how)
+                base += 2
+    plain = spark.createDataFrame([(i, t) for i, x, y in docs for i, t in ((i, x), (i + 1, y))], "doc_id long, text string")
+    pairs = line_dedup.candidate_pairs(plain, 16).select("a", "b")
+    h = {x["doc_id"]: x["h"] for x in line_dedup.occurrences(plain, 16).collect()}
+    found = {frozenset((x["a"], x["b"])) for x in pairs.collect()}
+    joined = components(line_dedup.links(plain, 16))
+    group = {x["id"]: x["component"] for x in joined.collect()}
+    for key in sorted(set(kind.values())):
+        own = [i for i in kind if kind[i] == key]
+        assert len(own) >= 20 or key[1] == "word", key
+        hit = sum(h[i] == h[i + 1] or group.get(h[i], h[i]) == group.get(h[i + 1], h[i + 1]) for i in own)
+        assert hit >= 0.9 * len(own), (key, hit, len(own))
+    assert found
+
+
+def test_close_is_the_edit_distance():
+    r = random.Random(2)
+    for _ in range(1500):
+        a = "".join(r.choice("ab cdé") for _ in range(r.randrange(1, 40)))
+        b = list(a)
+        for _ in range(r.randrange(6)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choice(["", "x", "a", " "])
+        b, most = "".join(b), r.randrange(6)
+        assert lines.close(a, b, most) == (_distance(a, b) <= most), (a, b, most)
 
 
 def test_lines_of_usual_length_link(spark):
