@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from . import rows as R
 
-from assay.llm import embed_dedup, line_dedup, lines, ngram_join
+from assay.llm import embed_dedup, line_dedup, ngram_join
 from assay.llm.common import components, shingle_set
 
 
@@ -187,7 +188,8 @@ def test_recall_on_real_lines(spark):
     pairs = line_dedup.candidate_pairs(plain, 16).select("a", "b")
     h = {x["doc_id"]: x["h"] for x in line_dedup.occurrences(plain, 16).collect()}
     found = {frozenset((x["a"], x["b"])) for x in pairs.collect()}
-    joined = components(line_dedup.links(plain, 16))
+    entry = line_dedup.occurrences(plain, 16).groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    joined = components(line_dedup.links(plain, entry, 16))
     group = {x["id"]: x["component"] for x in joined.collect()}
     for key in sorted(set(kind.values())):
         own = [i for i in kind if kind[i] == key]
@@ -197,16 +199,20 @@ def test_recall_on_real_lines(spark):
     assert found
 
 
-def test_close_is_the_edit_distance():
-    r = random.Random(2)
+def test_verified_is_the_edit_distance(spark):
+    r, pairs = random.Random(2), [("", ""), ("", "abc"), ("x", "")]
     for _ in range(1500):
-        a = "".join(r.choice("ab cdé") for _ in range(r.randrange(1, 40)))
+        a = "".join(r.choice("ab cdé") for _ in range(r.randrange(1, 60)))
         b = list(a)
-        for _ in range(r.randrange(6)):
+        for _ in range(r.randrange(8)):
             k = r.randrange(len(b) + 1)
             b[k : k + r.randrange(2)] = r.choice(["", "x", "a", " "])
-        b, most = "".join(b), r.randrange(6)
-        assert lines.close(a, b, most) == (_distance(a, b) <= most), (a, b, most)
+        pairs.append((a, "".join(b)))
+    texts = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "h long, s string")
+    asked = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs))], "a long, b long")
+    got = {x["src"] // 2 for x in line_dedup.verified(asked, texts).collect()}
+    want = {k for k, (a, b) in enumerate(pairs) if _distance(a, b) <= max(len(a), len(b)) // 10}
+    assert got == want and 100 < len(want) < 1400
 
 
 def test_lines_of_usual_length_link(spark):
