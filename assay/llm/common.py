@@ -91,30 +91,37 @@ def set_id(s: np.ndarray) -> int:
 
 # --- connected components ----------------------------------------------------------
 
+#: Edges of a task in a round: rounds shrink, and so do their tasks.
+ROUND = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(src long, dst long) -> (id long, component long): smallest id of the component, a row
     for every id that has a link.
 
-    Every round maps each vertex to the neighbour (itself included) of lowest hash and joins
-    the edges between the images, so edges shrink by a constant factor in expectation however
-    long the chains are; hubs are pre-aggregated by the partial min. Nothing is collected but
+    Every round maps each vertex to the one of lowest hash within two steps and joins the edges
+    between the images, so a star is one vertex after a round and edges shrink by a constant factor in
+    expectation however long the chains are; hubs are pre-aggregated by the partial min. Nothing is collected but
     the count that ends the loop.
     """
     e = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct())
     maps: list[DataFrame] = []
+    few = first = None
     for turn in range(64):
-        if e.isEmpty():
+        n = e.count()
+        if not n:
             break
-        both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        few = lambda df, n=n: df.coalesce(-(-n // ROUND))  # noqa: E731  else every small round writes files of all partitions
+        first = first or few
+        both = few(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))
-        to = both.groupBy("src").agg(F.min(rank("dst")).alias("m"))
-        to = to.select(F.col("src").alias("v"), F.least(F.col("m"), rank("src"))["v"].alias("r"))
+        near = few(both.groupBy("src").agg(F.least(F.min(rank("dst")), F.first(rank("src"))).alias("m"))).select(F.col("src").alias("dst"), "m")
+        to = cut(few(both.join(near, "dst").groupBy("src").agg(F.min("m").alias("m"))).select(F.col("src").alias("v"), F.col("m.v").alias("r")))
         maps.append(to)
         a = to.select(F.col("v").alias("src"), F.col("r").alias("a"))
         b = to.select(F.col("v").alias("dst"), F.col("r").alias("b"))
-        e = e.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-        e = cut(e.where("src <> dst").distinct())
+        e = few(few(e.join(a, "src")).join(b, "dst")).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        e = cut(few(e.where("src <> dst").distinct()))
     else:
         raise RuntimeError("components did not contract in 64 rounds")
     if not maps:
@@ -122,6 +129,6 @@ def components(edges: DataFrame) -> DataFrame:
     out = maps[0].select(F.col("v").alias("id"), F.col("r").alias("root"))
     for to in maps[1:]:
         step = to.select(F.col("v").alias("root"), F.col("r").alias("next"))
-        out = out.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    low = out.groupBy("root").agg(F.min("id").alias("component"))
-    return cut(out.join(low, "root").select("id", "component"))
+        out = first(out.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+    low = first(out.groupBy("root").agg(F.min("id").alias("component")))
+    return cut(first(out.join(low, "root").select("id", "component")))
