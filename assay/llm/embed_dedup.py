@@ -5,7 +5,7 @@ rotated (principal axes of a bounded sample) and cut into blocks; every block ge
 that distance in proportion to its variance. If two vectors are near, then in some block they are
 within its share, so a range join of every block finds every pair: the first axes of a block make a
 grid, a vector lives in its cell and visits the later neighbours that its range reaches. Pairs of
-a cell are compared in tiles of bounded size, by block distance, then exactly by cosine in double
+a cell are compared in tiles of bounded size, by block distance in single precision with slack, then exactly by cosine in double
 precision; a pair counts in the first block that has it within its share, so nothing needs a
 distinct. A tile returns sums of links and a spanning forest, never its pairs.
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, table
 
 GRID = 2  # axes of a block's grid
+NUMBERS = 4_000_000  # of a tile's vectors
+ROWS, SLACK = 512, 1e-5  # rows compared at once; what single precision may be wrong by, before the exact check
 _TILES = "a long, b long, link boolean"
 
 
@@ -74,21 +76,24 @@ def near_pairs(x1: np.ndarray, x2: np.ndarray, within: bool, block: int, m: dict
     n1, n2 = np.linalg.norm(x1, axis=1), np.linalg.norm(x2, axis=1)
     y1, y2 = (x1 / n1[:, None]) @ m["turn"], (x2 / n2[:, None]) @ m["turn"]
     a, z = m["bounds"][block], m["bounds"][block + 1]
-    b1, b2 = y1[:, a:z], y2[:, a:z]
-    d2 = (b1 * b1).sum(axis=1)[:, None] + (b2 * b2).sum(axis=1)[None, :] - 2 * b1 @ b2.T
-    meet = d2 <= m["budget"][block] + 1e-9
-    if within:
-        meet = np.triu(meet, 1)
-    i, j = np.nonzero(meet)
-    keep = []
-    for at in range(0, len(i), 20_000):
-        p, q = i[at : at + 20_000], j[at : at + 20_000]
-        each = np.add.reduceat((y1[p] - y2[q]) ** 2, m["bounds"][:-1], axis=1) <= m["budget"]
-        ok = each[:, block] & ~each[:, :block].any(axis=1)
-        ok &= np.einsum("ij,ij->i", x1[p], x2[q]) / (n1[p] * n2[q]) >= least
-        keep.append(np.flatnonzero(ok) + at)
-    keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
-    return i[keep], j[keep]
+    b1, b2 = y1[:, a:z].astype(np.float32), y2[:, a:z].astype(np.float32)
+    half, most = (b2 * b2).sum(axis=1) / 2, np.float32(m["budget"][block] + SLACK)
+    out = []
+    for at in range(0, len(x1), ROWS):  # the table of distances is never whole
+        one = b1[at : at + ROWS]
+        near = one @ b2.T >= ((one * one).sum(axis=1) - most)[:, None] / 2 + half[None, :]
+        if within:
+            near &= np.arange(len(x2))[None, :] > np.arange(at, at + len(one))[:, None]
+        i, j = np.nonzero(near)
+        for k in range(0, len(i), 20_000):
+            p, q = i[k : k + 20_000] + at, j[k : k + 20_000]
+            each = np.add.reduceat((y1[p] - y2[q]) ** 2, m["bounds"][:-1], axis=1) <= m["budget"]
+            ok = each[:, block] & ~each[:, :block].any(axis=1)
+            ok &= np.einsum("ij,ij->i", x1[p], x2[q]) / (n1[p] * n2[q]) >= least
+            out.append((p[ok], q[ok]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -104,9 +109,10 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, blocks: int = 4, tile: int = 1500, sample_rows: int = 10_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, blocks: int = 4, tile: int = 8000, sample_rows: int = 10_000) -> DataFrame:
     """(key, embedding) -> (key, n_links, component_id, kept)."""
     src = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = "<f4" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "<f8"  # as they travel
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     zero = F.forall("v", lambda x: x == 0)
     good = F.col("vec_id").isNotNull() & F.coalesce((F.size("v") > 0) & ~odd & ~zero, F.lit(False))
@@ -128,7 +134,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
             for d in {len(x) for x in lists}:
                 pick = np.array([i for i, x in enumerate(lists) if len(x) == d])
                 raw = np.stack([lists[i] for i in pick])
-                packed = np.array([x.tobytes() for x in raw], object)
+                packed = np.array([x.tobytes() for x in raw.astype(kind)], object)
                 for block, rows, c, role in route(raw / np.linalg.norm(raw, axis=1, keepdims=True), sent.value[d]):
                     if len(rows):
                         at = pick[rows]
@@ -136,7 +142,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
 
     rows = cut(entries.select("cid", "m", "v").mapInArrow(routed, "dim int, block int, cx long, cy long, role int, cid long, m long, v binary"))
     cell = ["dim", "block", "cx", "cy"]
-    size = rows.groupBy(*cell).agg(F.ceil(F.sum((F.col("role") == 0).cast("int")) / tile).cast("int").alias("s"), F.ceil(F.sum("role") / tile).cast("int").alias("q"))
+    fits = F.least(F.lit(tile), F.floor(F.lit(NUMBERS) / F.col("dim")) + 1)  # vectors of a tile
+    size = rows.groupBy(*cell).agg(F.sum((F.col("role") == 0).cast("int")).alias("s"), F.sum("role").alias("q"))
+    size = size.withColumns({c: F.ceil(F.col(c) / fits).cast("int") for c in ("s", "q")})
     large = size.where("s > 1 or q > 1")
     dealt = rows.join(large, cell, "left").withColumns({"s": F.greatest(F.coalesce("s", F.lit(1)), F.lit(1)), "q": F.greatest(F.coalesce("q", F.lit(1)), F.lit(1))})
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("cid"), F.when(F.col("role") == 0, F.col("s")).otherwise(F.col("q"))).cast("int"))
@@ -152,7 +160,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     def tiled(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         m, block = sent.value[int(first["dim"])], int(first["block"])
-        x = np.stack([np.frombuffer(v, "<f8") for v in pdf["v"]])
+        x = np.stack([np.frombuffer(v, kind) for v in pdf["v"]]).astype(float)
         role, salt_ = pdf["role"].to_numpy(), pdf["salt"].to_numpy()
         home, visit = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         tasks = []
