@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 from .common import part_of, table
 
 BUCKETS, DIMS = 1 << 13, 16
-LETTER = re.compile(r"[^\W\d_]")
 GAPS = re.compile(r"[\W\d_]+")
 
 
 def features(text: str | None) -> np.ndarray | None:
     """Counts of the hashed subwords by bucket; None for a text without a letter."""
-    if not text or not LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     raw = (" " + GAPS.sub(" ", text.lower()) + " ").encode("utf-32-le", "surrogatepass")
     p = np.frombuffer(raw, "<u4").astype(np.uint32)

@@ -9,7 +9,7 @@ that length follows an extreme-value law, fitted to the clean training documents
 turns it into a probability.
 
 Labelled rows are sampled to at most about `sample_labels`, documents are joined to that bounded
-sample by broadcast, and the model has at most `most_tokens` tokens; texts are never shuffled.
+sample by broadcast, so the tokens of the model are bounded by those of that sample; texts are never shuffled.
 
 Defined results: null text counts as empty; without a positive label every score is 0; without a
 clean label every score is 1; a document labelled both ways counts as toxic.
@@ -89,9 +89,9 @@ def probability(words: list[bytes], model: dict) -> float:
     return 1 / (1 + math.exp(-(model["a"] + model["b"] * surprise(best, len(words), model))))
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, sample_labels: int = 20_000, most_tokens: int = 20_000, prior: float = 50.0, least_z: float = 3.5, least_odds: float = 1.5, key: str = "doc_id") -> dict:
+def train(docs: DataFrame, labels: DataFrame, where: Column, sample_labels: int = 20_000, prior: float = 50.0, least_z: float = 3.5, least_odds: float = 1.5, key: str = "doc_id") -> dict:
     """The model of the labelled rows for which `where` (over the labels' key) holds."""
-    rows = labels.where(where & F.col("toxic").isNotNull() & F.col(key).isNotNull())
+    rows = labels.where(where & F.col("toxic").cast("int").isin(0, 1) & F.col(key).isNotNull())  # other labels tell nothing
     rows = rows.groupBy(F.col(key).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     count = dict(rows.groupBy("toxic").agg(F.count("*").alias("n")).collect())
     none = {"tokens": None, "base": 1.0 if count.get(1) else 0.0}
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, sample_labels: int
     y1, y0 = F.col("n1") + prior * pooled, F.col("n0") + prior * pooled
     odds = F.log(y1 / (d1 + prior - y1 + 1e-9)) - F.log(y0 / (d0 + prior - y0 + 1e-9))
     odd = df.where(F.col("w") != F.lit(b" ")).select("w", "n1", "n0", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
-    odd = odd.where((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds)).orderBy(F.abs("z").desc(), "w").limit(most_tokens)
+    odd = odd.where((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds))
     known = {bytes(r["w"]): float(np.clip(r["odds"], -8.0, 8.0)) for r in odd.collect()}
     model = {"tokens": known, "gap": -0.02, "lambda": 1.0, "k": 1.0, "a": 0.0, "b": 0.0}
     if not any(s > 0 for s in known.values()):

@@ -25,6 +25,7 @@ def test_language_edges(spark, tmp_path):
         assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and not got[i]["accepted"]
     assert all(r["lang_pred"] in ("en", "fr", "und") and 0 <= r["score"] <= 1 for r in got.values())
     assert langid.op4_language_id(spark, R.table(spark, tmp_path / "e", [])).count() == 0
+    assert langid.features("\u00bd \u00b2 \u2167") is None and langid.features("\u00bd x") is not None  # numerals are no letters
 
 
 def test_toxicity_held_out(spark):
@@ -65,3 +66,15 @@ def test_maximal_segments_against_brute_force():
             return [*split(lo, a), (a, b, best[0]), *split(b, hi)]
 
         assert toxicity.segments([(i, i + 1, v) for i, v in enumerate(x)]) == split(0, len(x))
+
+
+def test_toxicity_ignores_other_labels(spark, tmp_path):
+    docs = [(i, f"good day {R.words(i, 40)}" + (" vile slur here" if i % 4 == 0 else "")) for i in range(80)]
+    docs.append((100, "a plain text " * 30_000 + "vile slur here"))  # very long
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(80)]
+    odd = [(i, 1, x) for i, x in ((1, 2), (2, -1), (3, None), (None, 1))]
+    got = []
+    for k, rows in enumerate((marks, marks + odd)):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        got.append(sorted(map(tuple, toxicity.op7_toxicity(spark, R.table(spark, tmp_path / str(k), docs, labels=labels)).collect())))
+    assert got[0] == got[1] and len(got[0]) == 81
