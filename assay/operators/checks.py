@@ -40,16 +40,20 @@ def dropped_findings(findings: DataFrame, assessments: DataFrame) -> DataFrame:
 
 def citation_check(citations: DataFrame, files: DataFrame) -> DataFrame:
     """Citations that leave the snapshot, name no file of it, point outside its lines, or (a
-    warning) quote otherwise. citations: case_id, file, start_line, end_line, excerpt; files: case_id, path,
+    warning) quote otherwise, white space around aside. No lines (0, 0) mean the whole file, an end of 0 the
+    line of the start. citations: case_id, file, start_line, end_line, excerpt; files: case_id, path,
     text. Only cited files' lines are split."""
     c = citations.withColumn("path", clean_path(F.col("file")))
     lines = files.join(c.select("case_id", "path").distinct(), ["case_id", "path"], "left_semi").select("case_id", "path", F.split("text", "\n").alias("lines"))
     out = c.join(lines, ["case_id", "path"], "left")
-    away = F.startswith("path", F.lit("/")) | (F.col("path") == "..") | F.startswith("path", F.lit("../"))
-    a, z = F.col("start_line"), F.col("end_line")
+    away = F.startswith("path", F.lit("/")) | F.startswith("path", F.lit(".."))
+    a, z = F.col("start_line"), F.when(F.col("end_line") == 0, F.col("start_line")).otherwise(F.col("end_line"))
+    whole = (a == 0) & (z == 0)  # of the file
     quoted = F.array_join(F.slice("lines", F.greatest(a, F.lit(1)), F.greatest(z - a + 1, F.lit(0))), "\n")
-    outside = (a < 1) | (z < a) | (z > F.size("lines"))
-    rule = F.when(away, "escapes").when(F.col("lines").isNull(), "absent").when(outside, "lines outside").when((F.coalesce(F.trim("excerpt"), F.lit("")) != "") & ~F.contains(F.trim(quoted), F.trim("excerpt")), "excerpt differs")
+    outside = ~whole & ((a < 1) | (z < a) | (z > F.size("lines")))
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    differs = ~whole & (F.coalesce("excerpt", F.lit("")) != "") & (bare(quoted) != bare(F.col("excerpt")))
+    rule = F.when(away, "escapes").when(F.col("lines").isNull(), "absent").when(outside, "lines outside").when(differs, "excerpt differs")
     return out.withColumn("rule", rule).where("rule is not null").drop("lines")
 
 

@@ -307,12 +307,18 @@ def _(t):
     return R.dropped_findings(_found(t), _assessed(t)).select("run_id", "finding_id")
 
 
-@query("r4_citation_check", "SELECT doc_id AS case_id, rule FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'escapes' WHEN doc_id % 5 = 1 THEN 'absent' WHEN doc_id % 5 = 2 AND len(string_split(text, chr(10))) < 3 THEN 'lines outside' WHEN doc_id % 5 = 3 AND trim(string_split(text, chr(10))[1]) <> '' AND NOT contains(trim(string_split(text, chr(10))[1]), 'qqq') THEN 'excerpt differs' WHEN doc_id % 5 = 3 THEN 'excerpt differs' END AS rule FROM documents WHERE text IS NOT NULL) WHERE rule IS NOT NULL")
+_BARE = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("r4_citation_check", f"SELECT doc_id AS case_id, rule FROM (SELECT doc_id, CASE WHEN k = 0 THEN 'escapes' WHEN k = 1 THEN 'absent' WHEN k = 2 AND n < 3 THEN 'lines outside' WHEN k = 4 AND even AND n < 2 THEN 'lines outside' WHEN k = 3 AND even AND head <> '' AND {_BARE.format('line')} <> {_BARE.format('head')} THEN 'excerpt differs' END AS rule FROM (SELECT doc_id, doc_id % 5 AS k, doc_id % 2 = 0 AS even, len(string_split(text, chr(10))) AS n, string_split(text, chr(10))[1] AS line, substr(string_split(text, chr(10))[1], 1, 5) AS head FROM documents WHERE text IS NOT NULL)) WHERE rule IS NOT NULL")
 def _(t):
     d = t("documents").where("text is not null")
-    k = F.col("doc_id") % 5
+    k, even, line = F.col("doc_id") % 5, F.col("doc_id") % 2 == 0, F.split("text", "\n")[0]
     file = F.when(k == 0, "../etc").when(k == 1, "none.txt").otherwise("./a//doc.txt")
-    c = d.select(F.col("doc_id").alias("case_id"), file.alias("file"), F.lit(1).alias("start_line"), F.when(k == 2, 3).otherwise(1).alias("end_line"), F.when(k == 3, "qqq").otherwise("").alias("excerpt"))
+    # of five citations: outside the snapshot, of no file, of lines 1-3, a part of line 1 or all of it in blanks, of line 2 without an end or of the whole file
+    start, end = F.when(k < 4, 1).when(even, 2).otherwise(0), F.when(k == 2, 3).when(k < 4, 1).otherwise(0)
+    excerpt = F.when((k == 3) & even, F.substring(line, 1, 5)).when(k == 3, F.concat(F.lit(" "), line, F.lit("  "))).otherwise("")
+    c = d.select(F.col("doc_id").alias("case_id"), file.alias("file"), start.alias("start_line"), end.alias("end_line"), excerpt.alias("excerpt"))
     return R.citation_check(c, d.select(F.col("doc_id").alias("case_id"), F.lit("a/doc.txt").alias("path"), "text")).select("case_id", "rule")
 
 
