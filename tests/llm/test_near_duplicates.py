@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rows as R
 
-from assay.llm import embed_dedup, line_dedup, ngram_join
+from assay.llm import embed_dedup, line_dedup, lines, ngram_join
 from assay.llm.common import components, shingle_set
 
 
@@ -235,3 +235,33 @@ def test_lines_of_other_numbers_stay(spark):
     docs = [(k, f"Measured depth {d} m at station {s} on day {n}") for k, (d, s, n) in enumerate(rows)]
     docs.append((9, docs[0][1].upper() + "!"))
     assert [x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()] == [9]
+
+
+def _distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        above, row = row, [i]
+        for j, d in enumerate(y, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
+    return row[-1]
+
+
+def test_pairs_side_by_side_have_the_brute_force_edit_distance():
+    rng = np.random.default_rng(5)
+    for letters in ("ab", "abcdé漢\U0001f642"):
+        xs, ys = [], []
+        for _ in range(400):
+            x = [letters[k] for k in rng.integers(0, len(letters), rng.integers(1, 40))]
+            y = list(x)
+            for _ in range(rng.integers(0, 8)):
+                at, c = rng.integers(0, len(y) + 1), letters[rng.integers(0, len(letters))]
+                y[at : at + rng.integers(0, 2)] = [c] * rng.integers(0, 2)
+            xs.append("".join(x))
+            ys.append("".join(y) or "b")
+        d = np.array([_distance(x, y) for x, y in zip(xs, ys, strict=True)])
+        most = rng.integers(0, 7, len(xs))
+        near = np.array([abs(len(x) - len(y)) for x, y in zip(xs, ys, strict=True)]) <= most
+        pick = np.flatnonzero(near)
+        got = lines.side_by_side([xs[k] for k in pick], [ys[k] for k in pick], most[pick])
+        assert got.tolist() == (d <= most)[pick].tolist()
+        assert lines.close(xs, ys, 10).tolist() == [e <= max(len(x), len(y)) // 10 for e, x, y in zip(d.tolist(), xs, ys, strict=True)]
