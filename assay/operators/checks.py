@@ -89,7 +89,7 @@ def judge_consistency(judged: DataFrame, verdicts: DataFrame, labels: DataFrame)
 def opaque_check(pool: DataFrame) -> DataFrame:
     """Opaque ids that are not their hash or contain the arm or run id, whatever the case."""
     want = opaque_id(F.col("case_id"), F.col("arm"), F.concat_ws(":", "run_id", "pos"))
-    tells = lambda c: F.contains(F.lower("opaque_id"), F.lower(F.col(c).cast("string"))) & (F.length(F.col(c).cast("string")) > 3)
+    tells = lambda c: F.contains(F.lower("opaque_id"), F.lower(F.col(c).cast("string"))) & (F.col(c).cast("string") != "")
     return pool.where((F.col("opaque_id") != want) | tells("arm") | tells("run_id"))
 
 

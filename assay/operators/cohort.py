@@ -70,11 +70,16 @@ def recall_by_class(labels: DataFrame, verdicts: DataFrame, arms: list[str]) ->
     return out.withColumn("recall", rate(F.col("hit"), F.col("n")))
 
 
+def is_fallback() -> Column:
+    """Whether a pair was matched by its subsystem alone; where no flag says so, what it was matched on does."""
+    return F.coalesce("fallback_pair", F.col("match_key_used") == F.array(F.lit("subsystem")))
+
+
 def with_strata(labels: DataFrame) -> DataFrame:
-    """labels with a row for each covariate they record (dim, bucket)."""
-    f = F.when(F.col("fallback_pair"), "fallback").when(~F.col("fallback_pair"), "fully matched")
+    """labels with a row for each of the five covariates they record (dim, bucket)."""
+    f = F.when(is_fallback(), "fallback").when(~is_fallback(), "fully matched")
     c = F.when(F.col("fix_before_cutoff"), "before cutoff").when(~F.col("fix_before_cutoff"), "after cutoff")
-    return labels.withColumn("s", F.explode(strata(subsystem=F.col("subsystem"), fallback_pair=f, fix_before_cutoff=c))).select("*", "s.dim", "s.bucket").drop("s")
+    return labels.withColumn("s", F.explode(strata(subsystem=F.col("subsystem"), admission_description=F.col("admission.description"), source=F.coalesce("source", "source_window"), fallback_pair=f, fix_before_cutoff=c))).select("*", "s.dim", "s.bucket").drop("s")
 
 
 def stratified(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def paired_test(counts: DataFrame) -> DataFrame:
 def comparisons(labels: DataFrame, verdicts: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Paired counts of every comparison, over all cases and without fallback pairs."""
     out = None
-    for subset, some in (("all", labels), ("without fallback", labels.where("not coalesce(fallback_pair, false)"))):
+    for subset, some in (("all", labels), ("without fallback", labels.where(~F.coalesce(is_fallback(), F.lit(False))))):
         for t, b in pairs:
             row = paired_counts(some, verdicts, t, b).withColumn("subset", F.lit(subset))
             out = row if out is None else out.unionByName(row)
@@ -152,8 +157,9 @@ def apply_verification(verdicts: DataFrame, verified: DataFrame) -> DataFrame:
 
 
 def verify_summary(verified: DataFrame) -> DataFrame:
-    """Verifications by disposition (ERROR where one failed, unparseable is INCONCLUSIVE)."""
-    d = F.when(F.coalesce("error", F.lit("")) != "", "ERROR").otherwise(F.coalesce("disposition", F.lit("INCONCLUSIVE")))
+    """Verifications by disposition, in capitals (ERROR where one failed; INCONCLUSIVE where there is none or
+    the first response could not be read)."""
+    d = F.when(F.coalesce("error", F.lit("")) != "", "ERROR").when(F.coalesce("unparseable_first_response", F.lit(False)), "INCONCLUSIVE").otherwise(F.upper(F.coalesce("disposition", F.lit("INCONCLUSIVE"))))
     return verified.groupBy("arm", d.alias("disposition")).agg(F.count("*").alias("n"))
 
 

@@ -51,23 +51,27 @@ def windows(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def discussion_index(discussion: DataFrame, exclusion: DataFrame | None = None) -> DataFrame:
-    """C4: window -> first source over the discussion bodies in order, without excluded windows.
+    """C4: window -> first source over the discussion bodies in order, without windows excluded for all
+    runs (those that one run excludes go in novel_windows).
     discussion: source_pos, source, body (and case_id where keys differ by case)."""
     by = ["case_id"] if "case_id" in discussion.columns else []
     rows = windows(discussion, "body", *by, "source_pos", "source")
     if exclusion is not None:
-        rows = rows.join(exclusion.select(*by, "h", "shingle").distinct(), [*by, "h", "shingle"], "left_anti")
+        rows = rows.join(exclusion.where("run_id is null").select(*by, "h", "shingle").distinct(), [*by, "h", "shingle"], "left_anti")
     return rows.groupBy(*by, "h", "shingle").agg(F.min_by("source", F.struct("source_pos", "pos")).alias("source"))
 
 
 def exclusion_shingles(shown: DataFrame, cited: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """Windows of what a reviewer was shown: texts of the case, and the cited files that exist in
-    its snapshot. A file is cut into windows once per case, whatever number of runs cite it."""
-    out = windows(shown, "text", "case_id").select("case_id", "h", "shingle")
+    """Windows of what a reviewer was shown: texts of the case, and the files of its snapshot that a run
+    cites. What is shown counts for every run of the case (its run_id is null), a cited file only for the
+    runs that cite it. A file is cut into windows once per case, whatever number of runs cite it.
+    shown: case_id, text; cited: run_id, case_id, file; files: case_id, path, text."""
+    out = windows(shown, "text", "case_id").select("case_id", F.lit(None).cast("long").alias("run_id"), "h", "shingle").distinct()
     if cited is not None and files is not None:
-        c = cited.withColumn("path", S.clean_path(F.col("file"))).where(~F.startswith("path", F.lit("/")) & ~F.startswith("path", F.lit("../")) & (F.col("path") != "..")).select("case_id", "path").distinct()
-        out = out.unionByName(windows(files.join(c, ["case_id", "path"], "left_semi"), "text", "case_id").select("case_id", "h", "shingle"))
-    return out.distinct()
+        c = cited.withColumn("path", S.clean_path(F.col("file"))).where(~F.startswith("path", F.lit("/")) & ~F.startswith("path", F.lit("../")) & (F.col("path") != "..")).select("run_id", "case_id", "path").distinct()
+        w = windows(files.join(c, ["case_id", "path"], "left_semi"), "text", "case_id", "path").select("case_id", "path", "h", "shingle").distinct()
+        out = out.unionByName(w.join(c, ["case_id", "path"]).select("case_id", "run_id", "h", "shingle").distinct())
+    return out
 
 
 def novel_windows(strings: DataFrame, index: DataFrame, exclusion: DataFrame | None = None) -> DataFrame:
@@ -76,12 +80,14 @@ def novel_windows(strings: DataFrame, index: DataFrame, exclusion: DataFrame | N
     computed for strings with a match."""
     by = ["case_id"] if "case_id" in index.columns else []
     w = windows(strings.where(~F.endswith("path", F.lit(SKIP_SUFFIX))), "text", "run_id", "case_id", "path")
-    hit = w.join(index, [*by, "h", "shingle"]).select("run_id", "case_id", "path", "pos", "source")
+    hit = w.join(index, [*by, "h", "shingle"])
     if exclusion is None:
-        return hit
+        return hit.select("run_id", "case_id", "path", "pos", "source")
+    shown, own = exclusion.where("run_id is null").select(*by, "h", "shingle").distinct(), exclusion.where("run_id is not null").select("run_id", "h", "shingle").distinct()
+    hit = hit.join(own, ["run_id", "h", "shingle"], "left_anti").select("run_id", "case_id", "path", "pos", "source")
     some = w.join(hit.select("run_id", "path").distinct(), ["run_id", "path"], "left_semi")
-    marked = some.join(exclusion.select(*by, "h", "shingle").distinct().withColumn("ex", F.lit(1)), [*by, "h", "shingle"], "left")
-    cover = marked.where("ex = 1").select("run_id", "path", F.explode(F.sequence("pos", F.col("pos") + (SHINGLE - 1))).alias("token")).distinct()
+    marked = some.join(shown, [*by, "h", "shingle"], "left_semi").select("run_id", "path", "pos").unionByName(some.join(own, ["run_id", "h", "shingle"], "left_semi").select("run_id", "path", "pos"))
+    cover = marked.select("run_id", "path", F.explode(F.sequence("pos", F.col("pos") + (SHINGLE - 1))).alias("token")).distinct()
     need = hit.select("run_id", "path", "pos", F.explode(F.sequence("pos", F.col("pos") + (SHINGLE - 1))).alias("token"))
     covered = need.join(cover, ["run_id", "path", "token"]).groupBy("run_id", "path", "pos").agg(F.count("*").alias("covered"))
     out = hit.join(covered, ["run_id", "path", "pos"], "left")

@@ -18,12 +18,13 @@ THRESHOLDS = {"strong": 3, "strong+medium": 2, "all": 1}
 
 def path_evidence(signals: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
     """O1: per case and path the strongest tier, sorted distinct signal types and symbols; a medium
-    signal without a path stands under its symbol; a path only an overlap names has tier 0."""
+    signal without a path stands under its symbol; a path only an overlap names has tier 0. Of several
+    overlaps of a path the last one counts (by pos, where overlaps have it)."""
     key = F.coalesce(F.nullif("path", F.lit("")), F.when(F.col("tier") == 2, F.nullif("symbol", F.lit(""))))
     set_of = lambda c: F.array_sort(F.collect_set(F.nullif(c, F.lit(""))))
     out = signals.withColumn("path", key).where("path is not null").groupBy("case_id", "path").agg(F.max("tier").alias("tier"), set_of("signal_type").alias("signal_types"), set_of(F.when(F.col("tier") == 2, F.col("symbol"))).alias("symbols"))
     if overlaps is not None:
-        o = overlaps.where("coalesce(path, '') <> ''").groupBy("case_id", "path").agg(F.max("overlap").alias("overlap"))
+        o = overlaps.where("coalesce(path, '') <> ''").groupBy("case_id", "path").agg((F.max_by("overlap", "pos") if "pos" in overlaps.columns else F.max("overlap")).alias("overlap"))
         out = out.join(o, ["case_id", "path"], "full_outer").withColumn("tier", F.coalesce("tier", F.lit(0)))
     return out
 

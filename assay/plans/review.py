@@ -206,7 +206,7 @@ def _(t):
     return J.transitions(p, p.withColumn("agreement", F.expr(TWO)))
 
 
-@query("r9_opaque_check", f"WITH {POOL} SELECT run_id, pos FROM pool WHERE partkey % 43 = 0")
+@query("r9_opaque_check", f"WITH {POOL} SELECT run_id, pos FROM pool WHERE partkey % 43 = 0 OR contains(opaque_id, lower(arm)) OR contains(opaque_id, CAST(run_id AS VARCHAR))")
 def _(t):
     bad = _pool(t).withColumn("opaque_id", F.when(F.col("partkey") % 43 == 0, F.concat(F.lit("x"), "opaque_id")).otherwise(F.col("opaque_id")))
     return R.opaque_check(bad).select("run_id", "pos")

@@ -9,7 +9,9 @@ from ..functions import leaves as L
 from ..functions import scalars as S
 from ..operators import contamination as C
 from ..operators.scoring import count_if
+from ..operators.cohort import with_strata
 from .common import query
+from .verdicts import STRATA, _labels
 
 TOKS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 
@@ -166,11 +168,9 @@ def _(t):
     return t("documents").where("text is not null").select("doc_id", S.excerpt_around(F.col("text"), F.lit("Token")).alias("excerpt"))
 
 
-@query("p23_strata", "SELECT case_id, 'subsystem' AS dim, subsystem AS bucket FROM b_labels WHERE coalesce(subsystem, '') <> '' UNION ALL SELECT case_id, 'fallback_pair', CASE WHEN fallback_pair THEN 'fallback' ELSE 'fully matched' END FROM b_labels UNION ALL SELECT case_id, 'fix_before_cutoff', CASE WHEN fix_before_cutoff THEN 'before cutoff' ELSE 'after cutoff' END FROM b_labels WHERE fix_before_cutoff IS NOT NULL")
+@query("p23_strata", f"WITH {STRATA} SELECT case_id, dim, bucket FROM s")
 def _(t):
-    from ..operators.cohort import with_strata
-
-    return with_strata(t("b_labels")).select("case_id", "dim", "bucket")
+    return with_strata(_labels(t)).select("case_id", "dim", "bucket")
 
 
 # --- contamination: documents are the runs' strings, benchmark items the discussion -----------
@@ -182,11 +182,11 @@ def _strings(t) -> DataFrame:
 
 
 def _sha_keys(t) -> DataFrame:
-    tok = t("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 100).alias("case_id"), F.explode(S.sha_tokens(F.col("text"))).alias("sha"))
+    tok = t("documents").select(F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 100).alias("case_id"), F.explode(S.sha_tokens(F.col("text"))).alias("sha"))
     return tok.where("length(sha) = 40")
 
 
-KEYS_SQL = f"keys AS (SELECT ordinal, case_id, lower(sha) AS sha FROM (SELECT doc_id AS ordinal, doc_id % 100 AS case_id, unnest({SHA_SQL}) AS sha FROM documents WHERE doc_id % 2 = 0) WHERE length(sha) = 40)"
+KEYS_SQL = f"keys AS (SELECT ordinal, case_id, lower(sha) AS sha FROM (SELECT doc_id AS ordinal, doc_id % 100 AS case_id, unnest({SHA_SQL}) AS sha FROM documents) WHERE length(sha) = 40)"
 TOK_SQL = f"tok AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN lang = 'de' THEN '$.text.excerpt' ELSE '$.text' END AS path, unnest({SHA_SQL}) AS matched FROM documents)"
 
 
@@ -246,6 +246,19 @@ def _(t):
     return C.novel_windows(_strings(t), C.discussion_index(_discussion(t), _exclusion(t)), _exclusion(t)).select("run_id", "pos", "source")
 
 
+OWN_SQL = f"bw AS ({_win('benchmark', 'item_id')}), own AS (SELECT DISTINCT w.doc_id AS run_id, w.pos FROM w JOIN bw ON bw.item_id = w.doc_id % 40 AND bw.shingle = w.shingle)"
+
+
+@query("c6_cited_windows", f"WITH {EX_SQL}, {INDEX_SQL}, {DOCW}, {OWN_SQL}, m AS (SELECT doc_id AS run_id, pos, source FROM w JOIN idx USING (shingle) WHERE lang <> 'de' AND NOT EXISTS (SELECT 1 FROM own WHERE own.run_id = w.doc_id AND own.pos = w.pos)), cov AS (SELECT DISTINCT run_id, pos + unnest(range(0, 8)) AS token FROM (SELECT doc_id AS run_id, pos FROM w WHERE shingle IN (SELECT shingle FROM ex) UNION SELECT run_id, pos FROM own)), need AS (SELECT run_id, pos, source, pos + unnest(range(0, 8)) AS token FROM m) SELECT need.run_id, pos, CAST(source AS VARCHAR) AS source FROM need LEFT JOIN cov ON need.run_id = cov.run_id AND need.token = cov.token GROUP BY need.run_id, pos, source HAVING count(*) - count(cov.token) >= 3")
+def _(t):
+    """Every run cites one item as a file: its windows are hidden from that run, not from the others."""
+    cited = t("documents").select(F.col("doc_id").alias("run_id"), F.lit(0).alias("case_id"), F.concat(F.lit("./items//"), (F.col("doc_id") % 40).cast("string")).alias("file"))
+    files = t("benchmark").select(F.lit(0).alias("case_id"), F.concat(F.lit("items/"), F.col("item_id").cast("string")).alias("path"), "text")
+    shown = t("documents").where("source in ('src0', 'src1')").select(F.lit(0).alias("case_id"), "text")
+    hidden = C.exclusion_shingles(shown, cited, files)
+    return C.novel_windows(_strings(t), C.discussion_index(_discussion(t), hidden), hidden).select("run_id", "pos", "source")
+
+
 SPAN_SQL = f"{NOVEL_SQL}, isl AS (SELECT *, pos - row_number() OVER (PARTITION BY run_id ORDER BY pos) AS island FROM novel), spans AS (SELECT run_id, min(pos) AS first_pos, count(*) AS n_windows, min_by(source, pos) AS source FROM isl GROUP BY run_id, island)"
 
 
@@ -258,11 +271,30 @@ def _(t):
     return _spans(t).select("run_id", "first_pos", "n_windows", "n_tokens", "source")
 
 
+ALL_TEXT = f"concat(coalesce(text, ''), ' ', CASE WHEN doc_id % 7 = 3 THEN {REFS.replace('n_chars', 'length(text)')} ELSE '' END)"
+REF_KEYS_SQL = "prk AS (SELECT DISTINCT case_id % 100 AS case_id, CAST(case_id % 97 AS VARCHAR) AS number FROM b_labels), cvk AS (SELECT DISTINCT case_id % 100 AS case_id, concat('CVE-2024-', CAST(10000 + case_id % 900 AS VARCHAR)) AS cve FROM b_labels)"
+REF_SQL = rf"refs AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN lang = 'de' THEN '$.text.excerpt' ELSE '$.text' END AS path, {ALL_TEXT} AS r FROM documents), {REF_KEYS_SQL}, prh AS (SELECT run_id, s.case_id, path, s.number AS matched FROM (SELECT run_id, case_id, path, unnest({PR_SQL}) AS number FROM refs) s JOIN prk ON s.case_id = prk.case_id AND s.number = prk.number), cvh AS (SELECT run_id, s.case_id, path, matched, coalesce(cve, 'other') AS key_ref FROM (SELECT run_id, case_id, path, unnest(regexp_extract_all(r, '(?i)\bCVE-\d{{4}}-\d{{4,7}}\b')) AS matched FROM refs) s LEFT JOIN cvk ON s.case_id = cvk.case_id AND upper(matched) = cve)"
+
+
+def _all_strings(t) -> DataFrame:
+    """The strings with references in some of them."""
+    return _strings(t).withColumn("text", F.expr(ALL_TEXT.replace("VARCHAR", "STRING").replace("doc_id", "run_id")))
+
+
+def _numbers(t) -> DataFrame:
+    return t("b_labels").select((F.col("case_id") % 100).alias("case_id"), (F.col("case_id") % 97).alias("number"))
+
+
+def _cves(t) -> DataFrame:
+    return t("b_labels").select((F.col("case_id") % 100).alias("case_id"), F.concat(F.lit("CVE-2024-"), (10000 + F.col("case_id") % 900).cast("string")).alias("cve"))
+
+
 def _hits(t) -> DataFrame:
-    return C.scan_sha(_strings(t), _sha_keys(t)).unionByName(C.span_hits(_strings(t), _spans(t)))
+    ids = C.scan_sha(_strings(t), _sha_keys(t)).unionByName(C.scan_pr(_all_strings(t), _numbers(t))).unionByName(C.scan_cve(_all_strings(t), _cves(t)))
+    return ids.unionByName(C.span_hits(_strings(t), _spans(t)))
 
 
-SCAN_SQL = f"{KEYS_SQL}, {TOK_SQL}, {SPAN_SQL}, hits AS (SELECT run_id, 'sha' AS kind FROM (SELECT DISTINCT run_id, path, matched FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched))) UNION ALL SELECT run_id, 'discussion' FROM spans), n AS (SELECT run_id, count(*) AS n FROM hits GROUP BY run_id), scans AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'G' END AS arm, CASE WHEN doc_id % 100 IN (SELECT case_id FROM keys) THEN CASE WHEN n > 0 THEN 'void' ELSE 'clean' END ELSE 'skipped' END AS state, coalesce(n, 0) AS n_hits FROM documents LEFT JOIN n ON doc_id = run_id)"
+SCAN_SQL = f"{KEYS_SQL}, {TOK_SQL}, {REF_SQL}, {SPAN_SQL}, hits AS (SELECT run_id, 'sha' AS kind FROM (SELECT DISTINCT run_id, path, matched FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched))) UNION ALL SELECT run_id, 'pr' FROM prh UNION ALL SELECT run_id, 'cve' FROM cvh UNION ALL SELECT run_id, 'discussion' FROM spans), n AS (SELECT run_id, count(*) AS n FROM hits GROUP BY run_id), scans AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'G' END AS arm, CASE WHEN doc_id % 100 IN (SELECT case_id FROM keys) THEN CASE WHEN n > 0 THEN 'void' ELSE 'clean' END ELSE 'skipped' END AS state, coalesce(n, 0) AS n_hits FROM documents LEFT JOIN n ON doc_id = run_id)"
 
 
 def _scans(t) -> DataFrame:
@@ -286,15 +318,14 @@ def _(t):
 
 
 def _preflight(t) -> DataFrame:
-    inputs = _strings(t).withColumn("is_diff", F.col("run_id") % 2 == 1).select("case_id", "path", "text", "is_diff")
-    none = lambda c, kind: t("b_labels").where("false").select("case_id", F.lit(None).cast(kind).alias(c))
-    return C.preflight_scan(inputs, _sha_keys(t), none("number", "int"), none("cve", "string"))
+    inputs = _all_strings(t).withColumn("is_diff", F.col("run_id") % 2 == 1).select("case_id", "path", "text", "is_diff")
+    return C.preflight_scan(inputs, _sha_keys(t), _numbers(t), _cves(t))
 
 
-PRE_SQL = f"{KEYS_SQL}, {TOK_SQL}, pre AS (SELECT DISTINCT tok.case_id, path, matched, min_by(sha, ordinal) AS key_ref FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) GROUP BY ALL)"
+PRE_SQL = f"{KEYS_SQL}, {TOK_SQL}, {REF_SQL}, pre AS (SELECT tok.case_id, 'sha' AS kind, path, matched, min_by(sha, ordinal) AS key_ref FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) GROUP BY ALL UNION ALL SELECT case_id, 'pr', path, matched, matched FROM prh UNION ALL SELECT case_id, 'cve', path, matched, key_ref FROM cvh)"
 
 
-@query("c10_preflight_scan", f"WITH {PRE_SQL} SELECT case_id, 'sha' AS kind, path, matched, key_ref FROM pre")
+@query("c10_preflight_scan", f"WITH {PRE_SQL} SELECT case_id, kind, path, matched, key_ref FROM pre")
 def _(t):
     return _preflight(t)
 
@@ -305,17 +336,13 @@ def _(t):
 
 
 def _probe_hits(t) -> DataFrame:
-    answers = _ref_strings(t).select("case_id", F.lit("p").alias("probe"), F.when(F.col("run_id") % 3 == 0, F.col("text")).alias("answer"))
-    numbers = t("b_labels").select((F.col("case_id") % 100).alias("case_id"), (F.col("case_id") % 97).alias("number"))
-    return C.probe_scan(answers, _sha_keys(t), numbers, t("b_labels").where("case_id % 50 = 0").select((F.col("case_id") % 100).alias("case_id"), F.concat(F.lit("CVE-2024-"), (10000 + F.col("case_id") % 900).cast("string")).alias("cve")))
+    answers = _all_strings(t).select("case_id", F.lit("p").alias("probe"), F.col("text").alias("answer"))
+    return C.probe_scan(answers, _sha_keys(t), _numbers(t), _cves(t))
 
 
-@query("c12_probe_scan", rf"""WITH a AS (SELECT doc_id % 100 AS case_id, {REFS} AS r FROM documents WHERE doc_id % 3 = 0)
-SELECT case_id, kind, count(*) AS n FROM (
-  SELECT s.case_id, 'pr' AS kind FROM (SELECT case_id, unnest({PR_SQL}) AS number FROM a) s JOIN (SELECT DISTINCT case_id % 100 AS case_id, CAST(case_id % 97 AS VARCHAR) AS number FROM b_labels) k ON s.case_id = k.case_id AND s.number = k.number
-  UNION ALL SELECT case_id, 'cve' FROM (SELECT case_id, unnest(regexp_extract_all(r, '(?i)\bCVE-\d{{4}}-\d{{4,7}}\b')) AS c FROM a)) GROUP BY case_id, kind""")
+@query("c12_probe_scan", f"WITH {KEYS_SQL}, {TOK_SQL}, {REF_SQL} SELECT case_id, kind, count(*) AS n FROM (SELECT DISTINCT tok.case_id, 'sha' AS kind, matched FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) UNION ALL SELECT case_id, 'pr', matched FROM prh UNION ALL SELECT case_id, 'cve', matched FROM cvh) GROUP BY case_id, kind")
 def _(t):
-    return _probe_hits(t).where("kind <> 'sha'").groupBy("case_id", "kind").agg(F.count("*").alias("n"))
+    return _probe_hits(t).groupBy("case_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("c13_probe_decide", "SELECT case_id, CASE WHEN case_id % 4 = 0 THEN 'void' WHEN risky THEN 'void' WHEN risky IS NULL THEN 'unresolved' ELSE 'clear' END AS state, CASE WHEN case_id % 8 = 0 THEN 'pr,sha' WHEN case_id % 4 = 0 THEN 'sha' ELSE '' END AS kinds FROM b_labels LEFT JOIN b_history USING (case_id)")

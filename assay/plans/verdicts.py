@@ -21,6 +21,11 @@ def _f(t) -> DataFrame:
     return t("b_findings").drop("partkey", "suppkey")
 
 
+def _labels(t) -> DataFrame:
+    """The labels with the admission as they are read."""
+    return t("b_labels").withColumn("admission", F.struct(F.col("admission_description").alias("description")))
+
+
 def _verdict(t) -> DataFrame:
     return E.case_verdict(t("b_runs"), _f(t))
 
@@ -100,12 +105,12 @@ def _(t):
     return H.recall_by_class(t("b_labels"), _risky(t), ["T", "G"])
 
 
-STRATA = "s AS (SELECT case_id, label, 'subsystem' AS dim, subsystem AS bucket FROM b_labels UNION ALL SELECT case_id, label, 'fallback_pair', CASE WHEN fallback_pair THEN 'fallback' ELSE 'fully matched' END FROM b_labels UNION ALL SELECT case_id, label, 'fix_before_cutoff', CASE WHEN fix_before_cutoff THEN 'before cutoff' ELSE 'after cutoff' END FROM b_labels WHERE fix_before_cutoff IS NOT NULL)"
+STRATA = "s AS (SELECT case_id, label, 'subsystem' AS dim, subsystem AS bucket FROM b_labels WHERE coalesce(subsystem, '') <> '' UNION ALL SELECT case_id, label, 'admission_description', admission_description FROM b_labels WHERE admission_description IS NOT NULL UNION ALL SELECT case_id, label, 'source', coalesce(source, source_window) FROM b_labels WHERE coalesce(source, source_window) IS NOT NULL UNION ALL SELECT case_id, label, 'fallback_pair', CASE WHEN fb THEN 'fallback' ELSE 'fully matched' END FROM (SELECT *, coalesce(fallback_pair, match_key_used = ['subsystem']) AS fb FROM b_labels) WHERE fb IS NOT NULL UNION ALL SELECT case_id, label, 'fix_before_cutoff', CASE WHEN fix_before_cutoff THEN 'before cutoff' ELSE 'after cutoff' END FROM b_labels WHERE fix_before_cutoff IS NOT NULL)"
 
 
 @query("h6_strata", f"WITH {VERDICT}, {STRATA}, c AS (SELECT arm, dim, bucket, count(*) AS n_cases, count(*) FILTER (label = 'positive' AND risky) AS tp, count(*) FILTER (label = 'negative' AND risky) AS fp, count(*) FILTER (label = 'positive' AND NOT risky) AS fn, count(*) FILTER (label = 'negative' AND NOT risky) AS tn FROM v JOIN s ON v.case_id = s.case_id GROUP BY arm, dim, bucket) SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c")
 def _(t):
-    return H.stratified(t("b_labels"), _risky(t)).drop("precision_absent", "recall_absent")
+    return H.stratified(_labels(t), _risky(t)).drop("precision_absent", "recall_absent")
 
 
 @query("h7_hit_rate", f"WITH {VERDICT}, rec AS (SELECT DISTINCT arm, case_id, rec_path FROM cand WHERE counts), tp AS (SELECT v.arm, v.case_id FROM v JOIN b_labels l ON v.case_id = l.case_id WHERE risky AND label = 'positive'), x AS (SELECT tp.arm, tp.case_id, path IS NOT NULL AS has, EXISTS (SELECT 1 FROM rec WHERE rec.arm = tp.arm AND rec.case_id = tp.case_id AND (rec_path = path OR starts_with(path, rec_path || '/'))) AS hit FROM tp LEFT JOIN b_fixing_paths p ON tp.case_id = p.case_id) SELECT arm, count(*) FILTER (has) AS with_paths, count(*) FILTER (NOT has) AS without_paths, count(*) FILTER (has AND hit) AS hits, count(*) FILTER (has AND hit) / nullif(count(*) FILTER (has), 0) AS hit_rate FROM x GROUP BY arm")
@@ -122,7 +127,7 @@ def _(t):
     return H.vs_chance(H.confusion(t("b_labels"), _risky(t))).select("arm", "tp", "fp", "fn", "tn", F.round("p", 7).alias("p"))
 
 
-PAIR = f"{VERDICT}, j AS (SELECT label = 'positive' AS p, a.risky AS a, b.risky AS b, fallback_pair FROM b_labels l JOIN v a ON a.case_id = l.case_id AND a.arm = 'T' JOIN v b ON b.case_id = l.case_id AND b.arm = 'G')"
+PAIR = f"{VERDICT}, j AS (SELECT label = 'positive' AS p, a.risky AS a, b.risky AS b, coalesce(fallback_pair, match_key_used = ['subsystem'], FALSE) AS fallback FROM b_labels l JOIN v a ON a.case_id = l.case_id AND a.arm = 'T' JOIN v b ON b.case_id = l.case_id AND b.arm = 'G')"
 PAIR_COUNTS = "count(*) AS common, count(*) FILTER (p) AS positives, count(*) FILTER (p AND a AND b) AS b_pos, count(*) FILTER (NOT p AND a AND b) AS b_neg, count(*) FILTER (p AND a AND NOT b) AS t_pos, count(*) FILTER (NOT p AND a AND NOT b) AS t_neg, count(*) FILTER (p AND NOT a AND b) AS u_pos, count(*) FILTER (NOT p AND NOT a AND b) AS u_neg"
 
 
@@ -143,7 +148,7 @@ def _(t):
     return H.paired_test(H.paired_counts(t("b_labels"), _risky(t), "T", "G")).select("comparison", "common", "delta_precision", "p1_precision", "p2_precision")
 
 
-@query("h11_pairwise_subset", f"WITH {PAIR} SELECT 'T-G' AS comparison, 'all' AS subset, {PAIR_COUNTS} FROM j UNION ALL SELECT 'T-G', 'without fallback', {PAIR_COUNTS} FROM j WHERE NOT fallback_pair")
+@query("h11_pairwise_subset", f"WITH {PAIR} SELECT 'T-G' AS comparison, 'all' AS subset, {PAIR_COUNTS} FROM j UNION ALL SELECT 'T-G', 'without fallback', {PAIR_COUNTS} FROM j WHERE NOT fallback")
 def _(t):
     return H.comparisons(t("b_labels"), _risky(t), [("T", "G")])
 
@@ -162,9 +167,10 @@ def _(t):
     return H.apply_verification(_risky(t), _verified(t))
 
 
-@query("h13_verify_summary", f"WITH {VERIFY} SELECT arm, CASE WHEN error <> '' THEN 'ERROR' ELSE coalesce(disposition, 'INCONCLUSIVE') END AS disposition, count(*) AS n FROM ver GROUP BY 1, 2")
+@query("h13_verify_summary", f"WITH {VERIFY} SELECT arm, CASE WHEN error <> '' THEN 'ERROR' WHEN case_id % 6 = 1 THEN 'INCONCLUSIVE' ELSE upper(coalesce(disposition, 'INCONCLUSIVE')) END AS disposition, count(*) AS n FROM ver GROUP BY 1, 2")
 def _(t):
-    return H.verify_summary(_verified(t))
+    odd = _verified(t).withColumn("unparseable_first_response", F.col("case_id") % 6 == 1)
+    return H.verify_summary(odd.withColumn("disposition", F.when(F.col("case_id") % 2 == 0, F.lower("disposition")).otherwise(F.col("disposition"))))
 
 
 @query("h13_verify_pairs", f"WITH {VERIFY} SELECT arm, count(*) FILTER (covered) AS covered, count(*) FILTER (covered AND NOT confirmed) AS withdrawn FROM pair GROUP BY arm")
@@ -187,7 +193,7 @@ def _(t):
 
 @query("h16_stratum_case_counts", f"WITH {STRATA} SELECT dim, bucket, count(*) AS n, sum(count(*)) OVER (PARTITION BY dim)::BIGINT AS recorded, (SELECT count(*) FROM b_labels) AS n_cases FROM s GROUP BY dim, bucket")
 def _(t):
-    return H.stratum_counts(t("b_labels"))
+    return H.stratum_counts(_labels(t))
 
 
 # --- accounting ---------------------------------------------------------------------------

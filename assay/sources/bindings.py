@@ -15,7 +15,11 @@ BINDINGS = {
       CASE WHEN c_custkey % 2 = 0 THEN concat('class', CAST(c_nationkey % 10 AS VARCHAR)) END AS class,
       c_mktsegment AS subsystem,
       CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_acctbal > 5000 END AS fix_before_cutoff,
-      CAST(floor(c_custkey/2) AS BIGINT) % 5 = 0 AS fallback_pair FROM customer""",
+      CASE WHEN c_custkey % 3 <> 0 THEN CAST(floor(c_custkey/2) AS BIGINT) % 5 = 0 END AS fallback_pair,
+      CASE c_custkey % 12 WHEN 0 THEN split('subsystem', ',') WHEN 3 THEN split('subsystem,size', ',') WHEN 6 THEN split('size', ',') END AS match_key_used,
+      CASE WHEN c_nationkey % 4 <> 0 THEN concat('described ', CAST(c_nationkey % 3 AS VARCHAR)) END AS admission_description,
+      CASE WHEN c_custkey % 4 = 0 THEN concat('window ', CAST(c_custkey % 3 AS VARCHAR)) END AS source,
+      CASE WHEN c_custkey % 2 = 0 THEN 'window 9' END AS source_window FROM customer""",
     "b_all_runs": """SELECT o_orderkey AS run_id, o_custkey AS case_id,
       CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'G' END AS arm,
       CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status FROM orders""",
