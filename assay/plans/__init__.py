@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import review, text, verdicts  # noqa: F401
+from . import review, sources, text, verdicts  # noqa: F401
 from .common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

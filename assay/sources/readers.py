@@ -1,7 +1,8 @@
 """Readers and writers of trees of sealed review documents, over any path Spark can read.
 
-Schemas are explicit. A document that does not parse raises when it is read (FAILFAST); *_violations()
-functions return what breaks a document's own rules, so that callers decide what to do.
+Schemas are explicit. A document that breaks a rule of its own fails the read that is strict (the default)
+with its file and rule; otherwise it is left out and stands in the *_violations() of the same tree.
+Sealed trees have one document a file; `pattern` reads trees that write_tree() made.
 """
 
 from __future__ import annotations
@@ -10,58 +11,85 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as T
+from .documents import accepted, documents, path_part, violations
 
 KEYS_VERSION = "contamination-keys/v1"
+RUN_VERSION = "run-result/v1"
+GATE_VERSION = "contamination-probe-gate/v1"
+REVIEWS = {"a": (T.REVIEW_A, "findings"), "b": (T.REVIEW_B, "assessments"), "c": (T.REVIEW_C, "verdicts")}
 
 
-def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+def run_documents(spark: SparkSession, root: str, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
+    return documents(spark, f"{root}/{pattern}", T.RUN, version, closed=True)
 
 
-def _part(k: int) -> Column:
-    """The k-th part of the file's path from its end (1 is the file name)."""
-    return F.element_at(F.split("file_path", "/"), -k)
+def read_runs(spark: SparkSession, root: str, pattern: str = "*/run.json", version: str | None = None, strict: bool = True) -> DataFrame:
+    """Run manifests, one a run folder."""
+    df = accepted(run_documents(spark, root, pattern, version), strict)
+    return df.withColumn("run_dir", path_part("run_dir", 2))
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Run manifests, one a run folder."""
-    return _json(spark, f"{root}/*/run.json", T.RUN)
+def runs_violations(spark: SparkSession, root: str, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
+    """run_dir, rule, detail of manifests that are not readable, of another version or not closed."""
+    return violations(run_documents(spark, root, pattern, version), run_dir=path_part("run_dir", 2))
+
+
+def review_documents(spark: SparkSession, root: str, letter: str = "a", pattern: str | None = None) -> DataFrame:
+    return documents(spark, f"{root}/{pattern or f'*/stages/*/review-{letter}.json'}", REVIEWS[letter][0], closed=True)
 
 
-def read_reviews(spark: SparkSession, root: str, letter: str = "a") -> DataFrame:
+def read_reviews(spark: SparkSession, root: str, letter: str = "a", pattern: str | None = None, strict: bool = True) -> DataFrame:
     """Stage documents of one kind with run folder and stage; the array position is the rank."""
-    df = _json(spark, f"{root}/*/stages/*/review-{letter}.json", {"a": T.REVIEW_A, "b": T.REVIEW_B, "c": T.REVIEW_C}[letter])
-    items = {"a": "findings", "b": "assessments", "c": "verdicts"}[letter]
-    return df.select(_part(4).alias("run_dir"), _part(2).alias("stage"), F.posexplode(items).alias("pos", "item")).select("run_dir", "stage", "pos", "item.*")
+    df = accepted(review_documents(spark, root, letter, pattern), strict)
+    return df.select(path_part("run_dir", 4).alias("run_dir"), path_part("stage", 2).alias("stage"), F.posexplode(REVIEWS[letter][1]).alias("pos", "item")).select("run_dir", "stage", "pos", "item.*")
+
+
+def new_findings(spark: SparkSession, root: str, pattern: str | None = None, strict: bool = True) -> DataFrame:
+    """What stage 3 found itself, by rank."""
+    df = accepted(review_documents(spark, root, "c", pattern), strict)
+    return df.select(path_part("run_dir", 4).alias("run_dir"), path_part("stage", 2).alias("stage"), F.posexplode("new_findings").alias("pos", "item")).select("run_dir", "stage", "pos", "item.*")
+
 
+def reviews_violations(spark: SparkSession, root: str, letter: str = "a", pattern: str | None = None) -> DataFrame:
+    """run_dir, stage, rule, detail."""
+    return violations(review_documents(spark, root, letter, pattern), run_dir=path_part("run_dir", 4), stage=path_part("stage", 2))
 
-def read_telemetry(spark: SparkSession, root: str) -> DataFrame:
-    """S3: attempts of every stage."""
-    df = _json(spark, f"{root}/*/stages/*/telemetry.json", T.TELEMETRY)
-    return df.select(_part(4).alias("run_dir"), "stage", F.explode("attempts").alias("a")).select("run_dir", "stage", "a.*")
 
+def telemetry_documents(spark: SparkSession, root: str, pattern: str = "*/stages/*/telemetry.json") -> DataFrame:
+    return documents(spark, f"{root}/{pattern}", T.TELEMETRY)
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """Event logs, one JSON a line."""
-    return _json(spark, f"{root}/*/events.jsonl", T.EVENTS, lines=True).withColumn("run_dir", _part(2)).drop("file_path")
 
+def read_telemetry(spark: SparkSession, root: str, pattern: str = "*/stages/*/telemetry.json", strict: bool = True) -> DataFrame:
+    """S3: attempts of every stage in their order (pos); the stage is the document's, or else its folder."""
+    df = accepted(telemetry_documents(spark, root, pattern), strict)
+    stage = F.coalesce(F.nullif("stage", F.lit("")), path_part("stage", 2))
+    return df.select(path_part("run_dir", 4).alias("run_dir"), stage.alias("stage"), F.posexplode("attempts").alias("pos", "a")).select("run_dir", "stage", "pos", "a.*")
 
-def read_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Contamination keys with the SHA-256 of each file's bytes."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.sha2("content", 256).alias("file_sha256"), F.from_json(F.decode("content", "UTF-8"), T.KEYS).alias("k")).select("file_sha256", "k.*")
+
+def event_documents(spark: SparkSession, root: str, pattern: str = "*/events.jsonl") -> DataFrame:
+    return documents(spark, f"{root}/{pattern}", T.EVENTS, lines=True)
+
+
+def read_events(spark: SparkSession, root: str, pattern: str = "*/events.jsonl", strict: bool = True) -> DataFrame:
+    """Event logs, one JSON a line; blank lines are none."""
+    return accepted(event_documents(spark, root, pattern), strict).withColumn("run_dir", path_part("run_dir", 2)).drop("file_path", "file_sha256")
+
+
+def read_keys(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Contamination keys with the SHA-256 of each file's bytes; unknown fields are let pass."""
+    return accepted(documents(spark, path, T.KEYS), strict).drop("file_path")
 
 
 def keys_violations(keys: DataFrame) -> DataFrame:
     """Keys of another version, without a case, or with a commit that is not 40 hex digits."""
-    bad_sha = F.exists("fixing_shas", lambda s: ~s.rlike("^[0-9a-fA-F]{40}$"))
+    bad_sha = F.coalesce(F.exists("fixing_shas", lambda s: ~s.rlike("^[0-9a-fA-F]{40}$")), F.lit(False))
     rule = F.when(~F.col("schema_version").eqNullSafe(F.lit(KEYS_VERSION)), "schema version").when(F.coalesce("case_id", F.lit("")) == "", "no case").when(bad_sha, "malformed commit")
     return keys.withColumn("rule", rule).where("rule is not null").select("file_sha256", "case_id", "rule")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Labels, a row a case, with the manifest's hash."""
-    return _json(spark, path, T.LABELS).select("cohort_manifest_sha256", F.explode("cases").alias("c")).select("cohort_manifest_sha256", "c.*")
+    return accepted(documents(spark, path, T.LABELS), strict).select("cohort_manifest_sha256", F.explode("cases").alias("c")).select("cohort_manifest_sha256", "c.*")
 
 
 def labels_violations(labels: DataFrame) -> DataFrame:
@@ -82,9 +110,9 @@ def manifest_violations(spark: SparkSession, labels: DataFrame, manifest_path: s
     return labels.select("cohort_manifest_sha256").distinct().join(real, F.col("cohort_manifest_sha256") == F.col("real"), "left_anti")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
+def read_history(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """History baselines; a null `risky` stays null with its reason."""
-    return _json(spark, path, T.HISTORY).drop("file_path")
+    return accepted(documents(spark, path, T.HISTORY), strict).drop("file_path", "file_sha256")
 
 
 def history_of(labels: DataFrame, history: DataFrame) -> DataFrame:
@@ -94,15 +122,21 @@ def history_of(labels: DataFrame, history: DataFrame) -> DataFrame:
     return out.select("case_id", "risky", F.when(F.col("there").isNull(), "no history file").when(F.col("risky").isNull(), F.coalesce("reason", F.lit("not recorded"))).alias("absent"))
 
 
-def read_fixing_paths(spark: SparkSession, path: str) -> DataFrame:
+def read_fixing_paths(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Paths that the fix touched, a row a path."""
-    return _json(spark, path, T.FIXING_PATHS).select("case_id", F.explode("paths").alias("path"))
+    return accepted(documents(spark, path, T.FIXING_PATHS), strict).select("case_id", F.explode("paths").alias("path"))
+
+
+def oracle_documents(spark: SparkSession, root: str, pattern: str = "*/correlated-report.json") -> DataFrame:
+    """Correlated records; one without a version breaks a rule."""
+    docs = documents(spark, f"{root}/{pattern}", T.ORACLE)
+    none = F.col("rule").isNull() & (F.coalesce("doc.schema_version", F.lit("")) == "")
+    return docs.withColumn("rule", F.when(none, "no schema_version").otherwise(F.col("rule"))).withColumn("detail", F.when(none, "").otherwise(F.col("detail")))
 
 
-def read_oracle(spark: SparkSession, root: str) -> DataFrame:
-    """Correlated records, the case being the folder; raises on one without a version."""
-    df = _json(spark, f"{root}/*/correlated-report.json", T.ORACLE).withColumn("case_id", _part(2))
-    return df.withColumn("schema_version", F.when(F.coalesce("schema_version", F.lit("")) == "", F.raise_error(F.concat(F.lit("no schema_version in "), "file_path"))).otherwise(F.col("schema_version"))).drop("file_path")
+def read_oracle(spark: SparkSession, root: str, pattern: str = "*/correlated-report.json", strict: bool = True) -> DataFrame:
+    """Correlated records, the case being the folder."""
+    return accepted(oracle_documents(spark, root, pattern), strict).withColumn("case_id", path_part("case_id", 2)).drop("file_path", "file_sha256")
 
 
 def signals_of(oracle: DataFrame) -> DataFrame:
@@ -117,39 +151,79 @@ def signals_of(oracle: DataFrame) -> DataFrame:
     return strong.unionByName(medium).unionByName(tier(1, "weak_signals", F.array("s.file_path"), none))
 
 
-def read_judge(spark: SparkSession, path: str) -> DataFrame:
+def overlaps_of(oracle: DataFrame) -> DataFrame:
+    """Reversal overlaps in their order: case_id, pos, path, overlap."""
+    rows = oracle.select("case_id", F.posexplode("retrospective.reversal.path_overlaps").alias("pos", "o"))
+    return rows.select("case_id", "pos", "o.path", F.col("o.lineage_supported_removed_overlap_count").alias("overlap"))
+
+
+def read_judge(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Case-level judge reports, a row a verdict."""
-    df = _json(spark, path, T.JUDGE)
+    df = accepted(documents(spark, path, T.JUDGE), strict)
     return df.select("case_id", "judge_model", "in_family", F.explode("verdicts").alias("key", "v")).select("case_id", "judge_model", "in_family", "v.*")
 
 
-def read_verify(spark: SparkSession, path: str) -> DataFrame:
+def read_verify(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Verification reports, a row a unit."""
-    return _json(spark, path, T.VERIFY).select("unit.*", "disposition", "unparseable_first_response", "error")
+    return accepted(documents(spark, path, T.VERIFY), strict).select("unit.*", "disposition", "unparseable_first_response", "error")
+
+
+def verify_violations(spark: SparkSession, path: str) -> DataFrame:
+    """file_sha256, rule of reports that are not readable or name no arm or case."""
+    docs = documents(spark, path, T.VERIFY)
+    unnamed = (F.coalesce("doc.unit.arm", F.lit("")) == "") | (F.coalesce("doc.unit.case_id", F.lit("")) == "")
+    return docs.withColumn("rule", F.coalesce("rule", F.when(unnamed, "no arm or case"))).where("rule is not null").select("file_sha256", "rule")
 
 
-def read_probes(spark: SparkSession, path: str) -> DataFrame:
+def read_probes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Probe reports, a row an answer."""
-    return _json(spark, path, T.PROBE).select("case_id", "void", F.explode("responses").alias("r")).select("case_id", "void", "r.*")
+    return accepted(documents(spark, path, T.PROBE), strict).select("case_id", "void", F.explode("responses").alias("r")).select("case_id", "void", "r.*")
+
+
+def gate_documents(spark: SparkSession, path: str, records: str) -> DataFrame:
+    """Gates, held against the cohort's records: a gate breaks a rule if it is of another version or
+    its records_sha256 is not the digest of a file at `records`."""
+    docs = documents(spark, path, T.GATE, GATE_VERSION)
+    real = spark.read.format("binaryFile").load(records).select(F.sha2("content", 256).alias("digest")).distinct()
+    docs = docs.join(real, F.col("doc.records_sha256") == F.col("digest"), "left")
+    wrong = F.col("rule").isNull() & F.col("digest").isNull()
+    detail = F.when(wrong, F.coalesce("doc.records_sha256", F.lit(""))).otherwise(F.col("detail"))
+    return docs.select("file_path", "file_sha256", "doc", F.when(wrong, "other records").otherwise(F.col("rule")).alias("rule"), detail.alias("detail"))
+
 
+def read_gate(spark: SparkSession, path: str, records: str | None = None, strict: bool = True) -> DataFrame:
+    """The gate's statement for every case; with `records`, only of gates written for them."""
+    docs = gate_documents(spark, path, records) if records else documents(spark, path, T.GATE)
+    return accepted(docs, strict).select("records_sha256", F.explode("cases").alias("case_id", "state"))
 
-def read_gate(spark: SparkSession, path: str) -> DataFrame:
-    """The gate's statement for every case."""
-    return _json(spark, path, T.GATE).select("records_sha256", F.explode("cases").alias("case_id", "state"))
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
 def read_bundle_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file of every bundle with its bytes; the case is the folder under the root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rest = F.regexp_extract("path", r"/([^/]+)/((?:reviewer|control)/.*)$", 2)
-    return raw.select(F.regexp_extract("path", r"/([^/]+)/((?:reviewer|control)/.*)$", 1).alias("case_id"), rest.alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("link_target"), "content").where("path <> ''")
+    """Every file of every bundle with its bytes; the case is the folder under the root, or the one
+    called case_id=..., with the path in one called path=... below it."""
+    shape, written = r"/([^/]+)/((?:reviewer|control)/.*)$", r"/case_id=([^/]+)/path=([^/]+)/[^/]+$"
+    at = F.col("file_path")
+    named = F.regexp_extract(at, written, 1) != ""
+    once = lambda c: F.url_decode(F.replace(c, F.lit("%25"), F.lit("%")))  # noqa: E731  a folder's name is escaped again in a URI
+    case = F.when(named, once(F.regexp_extract(at, written, 1))).otherwise(F.regexp_extract(at, shape, 1))
+    path = F.when(named, once(F.regexp_extract(at, written, 2))).otherwise(F.regexp_extract(at, shape, 2))
+    raw = _files(spark, root).withColumnRenamed("path", "file_path")
+    return raw.select(case.alias("case_id"), path.alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("link_target"), "content").where("path <> ''")
+
+
+def bundle_digests(files: DataFrame) -> DataFrame:
+    """case_id, path, digest; contents stay where they are read."""
+    return files.select("case_id", "path", F.sha2("content", 256).alias("digest"))
 
 
 def read_checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Digest and path of each line; blank lines are skipped, others than two fields malformed."""
     df = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file_path")).where("line <> ''")
     f = F.split("line", r"\s+")
-    return df.select("file_path", F.get(f, 0).alias("digest"), F.get(f, 1).alias("path"), (F.size(f) != 2).alias("malformed"))
+    return df.select("file_path", path_part("case_id", 3).alias("case_id"), F.get(f, 0).alias("digest"), F.get(f, 1).alias("path"), (F.size(f) != 2).alias("malformed"))
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str, form: str = "parquet") -> None:
@@ -157,9 +231,18 @@ def write_partitioned(df: DataFrame, path: str, *by: str, form: str = "parquet")
     df.write.mode("overwrite").partitionBy(*by).format(form).save(path)
 
 
+def write_tree(df: DataFrame, path: str, *by: str, order: str = "value") -> None:
+    """One text file a folder: the column `value`, in order, of the rows of that folder."""
+    write_partitioned(df.select("value", *by).repartition(*by).sortWithinPartitions(*by, order), path, *by, form="text")
+
+
+def checksum_lines(files: DataFrame, *by: str) -> DataFrame:
+    """By..., value: a `sha256  path` line of every file but manifests. files: by..., path, digest."""
+    return files.where(F.element_at(F.split("path", "/"), -1) != "checksums.sha256").select(*by, F.concat("digest", F.lit("  "), "path").alias("value"))
+
+
 def checksum_tree(spark: SparkSession, root: str, manifest: str = "checksums.sha256") -> DataFrame:
     """`sha256  path` lines of every file under the root but the manifest, in order of the path."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.instr("path", root.rstrip("/").split(":")[-1].lstrip("/")) + F.length(F.lit(root.rstrip("/").split(":")[-1].lstrip("/"))) + 1
-    out = raw.select(F.sha2("content", 256).alias("digest"), F.substring("path", at, F.length("path")).alias("path")).where(F.col("path") != manifest)
+    out = _files(spark, root).select(F.sha2("content", 256).alias("digest"), F.substring("path", at, F.length("path")).alias("path")).where(F.col("path") != manifest)
     return out.orderBy("path").select(F.concat("digest", F.lit("  "), "path").alias("line"))
