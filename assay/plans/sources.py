@@ -1,5 +1,5 @@
-"""Queries of the sources: trees of documents written from the given tables, odd ones among them, and
-read back by the readers. Folders of a tree are named, so that its writer is Spark."""
+"""Queries of the sources: documents written from the given tables, odd ones among them, and read back by
+the readers: telemetry, events, gates, bundles and manifests from trees of files, the others from archives."""
 
 from __future__ import annotations
 
@@ -23,6 +23,12 @@ def _written(df: DataFrame, name: str, *by: str, order: str = "value") -> str:
     return path
 
 
+def _archived(df: DataFrame, name: str, *path: Column | str) -> DataFrame:
+    """df with `value`, its documents under the path of these parts."""
+    parts = [p.cast("string") if isinstance(p, Column) else F.lit(p) for p in path]
+    return IO.write_archive(df.select(F.concat_ws("/", F.lit("sealed"), *parts).alias("file_path"), "value"), new_folder(df.sparkSession, name))
+
+
 def _cut(value: Column) -> Column:
     return F.substring(value, F.lit(1), F.length(value) - 9)
 
@@ -40,7 +46,7 @@ def _text(c: Column) -> Column:
 RUNS_SQL = "SELECT r.run_id AS k, CAST(r.run_id AS VARCHAR) AS run_dir, r.case_id, r.arm, o_totalprice, o_orderdate, CASE WHEN r.run_id % 101 = 0 OR r.run_id % 107 = 0 OR r.run_id % 127 = 0 THEN 'malformed' WHEN r.run_id % 109 = 0 THEN 'schema version' WHEN r.run_id % 103 = 0 THEN 'unknown field' END AS rule FROM b_runs r JOIN orders ON o_orderkey = r.run_id"
 
 
-def _runs(t) -> str:
+def _runs(t) -> DataFrame:
     k, price = F.col("run_id"), F.col("o_totalprice")
     df = t("b_runs").join(t("orders"), F.col("run_id") == F.col("o_orderkey"))
     usage = F.struct(F.floor(price).alias("input_tokens"), (price / 1000).alias("cost_usd"))
@@ -52,20 +58,20 @@ def _runs(t) -> str:
     )
     value = F.to_json(doc, ONE)
     value = F.when(k % 101 == 0, _cut(value)).when(k % 107 == 0, '{"run_id": "x", "stages": "none"}').when(k % 127 == 0, "").when(k % 103 == 0, _extra(value)).otherwise(value)
-    return _written(df.select(value.alias("value"), _text(k).alias("run_dir")), "runs", "run_dir")
+    return _archived(df.withColumn("value", value), "runs", k, "run.json")
 
 
 @query("s1_read_runs", f"SELECT run_dir, concat('r', run_dir) AS run_id, CAST(case_id AS VARCHAR) AS case_id, concat('p-', arm) AS protocol_version, strftime(o_orderdate, '%Y-%m-%d') AS created, k % 5 <> 0 AS sealed, CASE WHEN k % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN k % 113 = 0 THEN 0 ELSE k % 3 + 1 END AS n_stages, CASE WHEN k % 113 = 0 THEN NULL ELSE (k % 3 + 1) * floor(o_totalprice) END AS tokens FROM ({RUNS_SQL}) WHERE rule IS NULL")
 def _(t):
     root = _runs(t)
-    df = IO.read_runs(t("orders").sparkSession, root, RUN_TREE, IO.RUN_VERSION, strict=False)
+    df = IO.read_runs(t("orders").sparkSession, root, version=IO.RUN_VERSION, strict=False)
     tokens = F.aggregate("stages", F.lit(0).cast("long"), lambda acc, s: acc + s["usage"]["input_tokens"])
     return df.select("run_dir", "run_id", "case_id", "protocol_version", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.col("sealed_at").isNotNull().alias("sealed"), "status", F.coalesce(F.size("stages"), F.lit(0)).alias("n_stages"), tokens.cast("double").alias("tokens")).withColumn("n_stages", F.greatest("n_stages", F.lit(0)))
 
 
 @query("s1_runs_violations", f"SELECT run_dir, rule, CASE rule WHEN 'schema version' THEN 'run-result/v0' WHEN 'unknown field' THEN 'extra' ELSE '' END AS detail FROM ({RUNS_SQL}) WHERE rule IS NOT NULL")
 def _(t):
-    return IO.runs_violations(t("orders").sparkSession, _runs(t), RUN_TREE, IO.RUN_VERSION)
+    return IO.runs_violations(t("orders").sparkSession, _runs(t), version=IO.RUN_VERSION)
 
 
 # --- S2: reviews ---------------------------------------------------------------------
@@ -79,7 +85,7 @@ REVIEWS_SQL = """f AS (SELECT b.* FROM b_findings b JOIN b_runs r ON b.run_id =
     UNION ALL SELECT run_id, 'c', row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1, pos, c_disp FROM f WHERE c_disp IS NOT NULL)"""
 
 
-def _reviews(t) -> dict[str, str]:
+def _reviews(t) -> DataFrame:
     k = F.col("run_id")
     f = t("b_findings").join(t("b_runs").select("run_id"), "run_id")
     fid = F.concat(F.lit("f"), _text(F.col("pos")))
@@ -90,32 +96,32 @@ def _reviews(t) -> dict[str, str]:
     ranked = lambda item: F.transform(F.array_sort(F.collect_list(item)), lambda s: s["x"])
     docs = f.groupBy("run_id").agg(ranked(a).alias("a"), ranked(b).alias("b"), ranked(c).alias("c"))
     new = F.when(k % 10 == 0, F.array(F.struct(F.lit("n1").alias("id"), F.lit("high").alias("severity"))))
-    out = {}
+    out = []
     for n, (letter, doc) in enumerate({"a": F.struct(F.when(k % 89 != 0, F.col("a")).alias("findings")), "b": F.struct(F.col("b").alias("assessments")), "c": F.struct(F.col("c").alias("verdicts"), new.alias("new_findings"))}.items()):
         plain = F.to_json(doc)
         comma = F.when(F.size(F.json_object_keys(plain)) > 0, ",").otherwise("")
         odd = F.concat(F.lit('{"extra": 1'), comma, F.substring(plain, F.lit(2), F.length(plain)))
         value = F.to_json(doc, ONE)
         value = F.when((k + n) % 97 == 0, _cut(value)).when((k + n) % 91 == 0, odd).otherwise(value)
-        out[letter] = _written(docs.select(value.alias("value"), _text(k).alias("run_dir"), F.lit(f"stage-{letter}").alias("stage")), f"review-{letter}", "run_dir", "stage")
-    return out
+        out.append(F.struct(F.lit(f"stage-{letter}").alias("stage"), F.lit(f"review-{letter}.json").alias("name"), value.alias("value")))
+    return _archived(docs.select("run_id", F.inline(F.array(*out))), "reviews", k, "stages", F.col("stage"), F.col("name"))
 
 
 @query("s2_read_reviews", f"WITH {REVIEWS_SQL} SELECT i.letter, CAST(i.run_id AS VARCHAR) AS run_dir, concat('stage-', i.letter) AS stage, i.pos, concat('f', CAST(id AS VARCHAR)) AS finding_id, value FROM items i JOIN docs d ON d.run_id = i.run_id AND d.letter = i.letter WHERE d.rule IS NULL UNION ALL SELECT 'new', CAST(run_id AS VARCHAR), 'stage-c', 0, 'n1', 'high' FROM docs WHERE letter = 'c' AND rule IS NULL AND run_id % 10 = 0")
 def _(t):
-    spark, roots = t("orders").sparkSession, _reviews(t)
+    spark, root = t("orders").sparkSession, _reviews(t)
     kinds = {"a": ("id", "severity"), "b": ("finding_id", "disposition"), "c": ("finding_id", "disposition")}
-    out = IO.new_findings(spark, roots["c"], STAGE_TREE, strict=False).select(F.lit("new").alias("letter"), "run_dir", "stage", "pos", F.col("id").alias("finding_id"), F.col("severity").alias("value"))
+    out = IO.new_findings(spark, root, strict=False).select(F.lit("new").alias("letter"), "run_dir", "stage", "pos", F.col("id").alias("finding_id"), F.col("severity").alias("value"))
     for letter, (fid, value) in kinds.items():
-        rows = IO.read_reviews(spark, roots[letter], letter, STAGE_TREE, strict=False)
+        rows = IO.read_reviews(spark, root, letter, strict=False)
         out = out.unionByName(rows.select(F.lit(letter).alias("letter"), "run_dir", "stage", "pos", F.col(fid).alias("finding_id"), F.col(value).alias("value")))
     return out
 
 
 @query("s2_reviews_violations", f"WITH {REVIEWS_SQL} SELECT CAST(run_id AS VARCHAR) AS run_dir, concat('stage-', letter) AS stage, rule, CASE rule WHEN 'malformed' THEN '' ELSE 'extra' END AS detail FROM docs WHERE rule IS NOT NULL")
 def _(t):
-    spark, roots = t("orders").sparkSession, _reviews(t)
-    a, b, c = (IO.reviews_violations(spark, roots[letter], letter, STAGE_TREE) for letter in "abc")
+    spark, root = t("orders").sparkSession, _reviews(t)
+    a, b, c = (IO.reviews_violations(spark, root, letter) for letter in "abc")
     return a.unionByName(b).unionByName(c)
 
 
@@ -165,8 +171,8 @@ def _keys(t) -> DataFrame:
         F.when(k % 37 != 0, F.array(F.when(k % 31 == 0, F.substring(commit, 1, 12)).otherwise(F.upper(commit)))).alias("fixing_shas"), F.array(k).alias("fixing_pr_numbers"), F.array(F.lit("other")).alias("unknown_to_us"),
     )
     value = F.when(k % 41 == 0, "[1]").otherwise(F.to_json(doc, ONE))
-    root = _written(t("b_labels").select(value.alias("value"), _text(k).alias("case_id")), "keys", "case_id")
-    return IO.read_keys(t("b_labels").sparkSession, f"{root}/{CASE_TREE}", strict=False)
+    root = _archived(t("b_labels").withColumn("value", value), "keys", F.concat(_text(k), F.lit(".json")))
+    return IO.read_keys(root.sparkSession, root, strict=False)
 
 
 KEYS_SQL = "SELECT CASE WHEN case_id % 29 = 0 THEN '' ELSE CAST(case_id AS VARCHAR) END AS case_id, CASE WHEN case_id % 23 = 0 THEN 'schema version' WHEN case_id % 29 = 0 THEN 'no case' WHEN case_id % 31 = 0 AND case_id % 37 <> 0 THEN 'malformed commit' END AS rule, case_id AS k FROM b_labels WHERE case_id % 41 <> 0"
@@ -187,8 +193,8 @@ def _(t):
     k = F.col("case_id")
     paths = F.when(k % 3 == 0, F.array("path", F.concat(F.lit("doc/"), _text(k)))).otherwise(F.array("path"))
     doc = F.to_json(F.struct(F.lit("h1-fixing-paths/v1").alias("schema_version"), _text(k).alias("case_id"), paths.alias("paths")), ONE)
-    root = _written(t("b_fixing_paths").select(F.when(k % 43 == 0, _cut(doc)).otherwise(doc).alias("value"), _text(k).alias("case_id")), "fixing", "case_id")
-    return IO.read_fixing_paths(t("b_fixing_paths").sparkSession, f"{root}/{CASE_TREE}", strict=False)
+    root = _archived(t("b_fixing_paths").withColumn("value", F.when(k % 43 == 0, _cut(doc)).otherwise(doc)), "fixing", F.concat(_text(k), F.lit(".json")))
+    return IO.read_fixing_paths(root.sparkSession, root, strict=False)
 
 
 def _oracle(t) -> DataFrame:
@@ -202,8 +208,7 @@ def _oracle(t) -> DataFrame:
     docs = t("b_signals").groupBy("case_id").agg(F.collect_list(paths(3)).alias("strong_signals"), F.collect_list(medium).alias("medium_signals"), F.collect_list(weak).alias("weak_signals"), F.flatten(F.collect_list(overlaps)).alias("path_overlaps"))
     found = F.struct("strong_signals", "medium_signals", "weak_signals", F.struct("path_overlaps").alias("reversal"))
     doc = F.to_json(F.struct(F.when(k % 47 != 0, "report/v2").alias("schema_version"), found.alias("retrospective")), ONE)
-    root = _written(docs.select(doc.alias("value"), _text(k).alias("case_id")), "oracle", "case_id")
-    return IO.read_oracle(docs.sparkSession, root, CASE_TREE, strict=False)
+    return IO.read_oracle(docs.sparkSession, _archived(docs.withColumn("value", doc), "oracle", k, "correlated-report.json"), strict=False)
 
 
 @query("s9_read_oracle", "SELECT CAST(case_id AS VARCHAR) AS case_id, path, tier, signal_type, CASE WHEN tier = 2 THEN symbol END AS symbol, concat('ref', CAST(case_id AS VARCHAR)) AS source_ref FROM b_signals WHERE case_id % 47 <> 0")
@@ -222,8 +227,8 @@ def _(t):
     rows = t("b_runs").join(t("b_findings").where("pos = 0"), "run_id").select("case_id", "arm", F.struct("arm", _text(F.col("run_id")).alias("run_id"), "agreement").alias("v"))
     docs = rows.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("arm", "v"))).alias("verdicts"))
     doc = F.to_json(F.struct(F.lit("h1-judge/v1").alias("schema_version"), _text(k).alias("case_id"), F.when(k % 5 == 0, "model 2").otherwise("model 1").alias("judge_model"), "verdicts"), ONE)
-    root = _written(docs.select(F.when(k % 53 == 0, _cut(doc)).otherwise(doc).alias("value"), _text(k).alias("case_id")), "judge", "case_id")
-    return IO.read_judge(docs.sparkSession, f"{root}/{CASE_TREE}", strict=False).select("case_id", "arm", "run_id", "agreement", "judge_model")
+    root = _archived(docs.withColumn("value", F.when(k % 53 == 0, _cut(doc)).otherwise(doc)), "judge", F.concat(_text(k), F.lit(".h1-judge.json")))
+    return IO.read_judge(docs.sparkSession, root, strict=False).select("case_id", "arm", "run_id", "agreement", "judge_model")
 
 
 @query("s10_read_verify", "SELECT CAST(r.case_id AS VARCHAR) AS case_id, CASE WHEN r.run_id % 61 <> 0 THEN r.arm END AS arm, c_disp AS disposition, r.run_id % 6 = 0 AS unparseable, CASE WHEN r.run_id % 59 = 0 THEN 'timeout' ELSE '' END AS error, r.run_id % 61 = 0 AS broken FROM b_runs r JOIN b_findings f ON f.run_id = r.run_id AND pos = 0")
@@ -232,10 +237,9 @@ def _(t):
     rows = t("b_runs").join(t("b_findings").where("pos = 0"), "run_id")
     unit = F.struct(_text(F.col("case_id")).alias("case_id"), F.when(k % 61 != 0, F.col("arm")).alias("arm"), _text(k).alias("run_id"))
     doc = F.to_json(F.struct(unit.alias("unit"), F.col("c_disp").alias("disposition"), (k % 6 == 0).alias("unparseable_first_response"), F.when(k % 59 == 0, "timeout").otherwise("").alias("error")), ONE)
-    root = _written(rows.select(doc.alias("value"), _text(k).alias("run_dir")), "verify", "run_dir")
-    path = f"{root}/{RUN_TREE}"
-    bad = IO.verify_violations(rows.sparkSession, path).select("file_sha256", F.lit(True).alias("bad"))
-    docs = IO.documents(rows.sparkSession, path, IO.T.VERIFY).select("file_sha256", "doc.*").join(bad, "file_sha256", "left")
+    root = _archived(rows.withColumn("value", doc), "verify", F.concat(_text(k), F.lit(".h1-verify.json")))
+    bad = IO.verify_violations(rows.sparkSession, root).select("file_sha256", F.lit(True).alias("bad"))
+    docs = IO.documents(rows.sparkSession, root, IO.T.VERIFY).select("file_sha256", "doc.*").join(bad, "file_sha256", "left")
     return docs.select("unit.case_id", "unit.arm", "disposition", F.col("unparseable_first_response").alias("unparseable"), "error", F.coalesce("bad", F.lit(False)).alias("broken"))
 
 
@@ -244,8 +248,8 @@ def _(t):
     k = F.col("conv_id")
     docs = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("probe"), x["text"].alias("answer"))).alias("responses"))
     doc = F.to_json(F.struct(_text(k).alias("case_id"), "responses"), ONE)
-    root = _written(docs.select(F.when(k % 67 == 0, _cut(doc)).otherwise(doc).alias("value"), _text(k).alias("case_id")), "probes", "case_id")
-    return IO.read_probes(docs.sparkSession, f"{root}/{CASE_TREE}", strict=False).select("case_id", "probe", "answer")
+    root = _archived(docs.withColumn("value", F.when(k % 67 == 0, _cut(doc)).otherwise(doc)), "probes", F.concat(_text(k), F.lit(".json")))
+    return IO.read_probes(docs.sparkSession, root, strict=False).select("case_id", "probe", "answer")
 
 
 #: A gate for every hundred cases; some are written for other records or have another version.
@@ -283,32 +287,31 @@ def _(t):
 # --- S11, S12, S14: bundles and their checksums --------------------------------------
 
 
+def _paths(t) -> DataFrame:
+    """Twenty documents are the files of a case."""
+    return t("documents").select(F.floor(F.col("doc_id") / 20).alias("case_id"), F.concat(F.lit("reviewer/repository/d"), _text(F.col("doc_id")), F.lit(".md")).alias("path"), F.col("doc_id").alias("k"), F.col("text").alias("value"))
+
+
 def _bundles(t) -> DataFrame:
-    k = _text(F.col("doc_id"))
-    one = F.struct(F.lit("reviewer/repository/text.md").alias("path"), F.col("text").alias("value"))
-    two = F.struct(F.lit("reviewer/metadata.json").alias("path"), F.to_json(F.struct("lang", "source")).alias("value"))
-    root = _written(t("documents").select(k.alias("case_id"), F.inline(F.array(one, two))), "bundles", "case_id", "path")
+    root = _written(_paths(t), "bundles", "case_id", "path")
     return IO.read_bundle_files(t("documents").sparkSession, root)
 
 
-def _manifest(t, files: DataFrame) -> DataFrame:
-    """Lines of the files read, with faults by case: a file left out, a digest changed, lines added."""
-    k = F.col("case_id").cast("long")
-    text = F.endswith("value", F.lit("text.md"))
-    lines = IO.checksum_lines(IO.bundle_digests(files), "case_id").where(~((k % 7 == 0) & text))
-    lines = lines.withColumn("value", F.when((k % 11 == 0) & text, F.concat(F.reverse(F.substring("value", 1, 64)), F.substring("value", 65, 999))).otherwise(F.col("value")))
-    more = F.concat(F.when(k % 13 == 0, F.array(F.lit("only"))).otherwise(F.array()), F.when(k % 17 == 0, F.array(F.concat(F.repeat(F.lit("0"), 64), F.lit("  reviewer/gone")))).otherwise(F.array()), F.when(k % 3 == 0, F.array(F.lit(""))).otherwise(F.array()))
-    lines = lines.unionByName(files.select("case_id").distinct().select("case_id", F.explode(more).alias("value")))
-    root = _written(lines, "manifests", "case_id")
-    return IO.read_checksum_manifest(files.sparkSession, f"{root}/{CASE_TREE}")
+def _manifest(t) -> DataFrame:
+    """Manifests with faults: a file left out, a digest changed, lines added."""
+    k = F.col("k")
+    digest = F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256)
+    rows = _paths(t).withColumn("digest", F.when(k % 11 == 0, F.reverse(digest)).otherwise(digest))
+    lines = IO.checksum_lines(rows.where("k % 7 <> 0"), "case_id")
+    more = F.concat(F.when(k % 13 == 0, F.array(F.lit("only"))).otherwise(F.array()), F.when(k % 17 == 0, F.array(F.concat(F.repeat(F.lit("0"), 64), F.lit("  reviewer/gone"), _text(k)))).otherwise(F.array()), F.when(k % 3 == 0, F.array(F.lit(""))).otherwise(F.array()))
+    root = _written(lines.unionByName(rows.select("case_id", F.explode(more).alias("value"))), "manifests", "case_id")
+    return IO.read_checksum_manifest(rows.sparkSession, f"{root}/{CASE_TREE}")
 
 
-FILES_SQL = """f AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS case_id, 'reviewer/repository/text.md' AS path, concat(text, chr(10)) AS content FROM documents
-  UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR), 'reviewer/metadata.json', concat('{"lang":"', lang, '","source":"', source, '"}', chr(10)) FROM documents),
-  files AS (SELECT k, case_id, path, sha256(content) AS digest, octet_length(encode(content)) AS n_bytes FROM f),
-  lines AS (SELECT case_id, CASE WHEN k % 11 = 0 AND path LIKE '%text.md' THEN reverse(digest) ELSE digest END AS digest, path, FALSE AS malformed FROM files WHERE k % 7 <> 0 OR path NOT LIKE '%text.md'
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'only', NULL, TRUE FROM documents WHERE doc_id % 13 = 0
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), repeat('0', 64), 'reviewer/gone', FALSE FROM documents WHERE doc_id % 17 = 0)"""
+FILES_SQL = """files AS (SELECT doc_id AS k, CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR) AS case_id, concat('reviewer/repository/d', CAST(doc_id AS VARCHAR), '.md') AS path, sha256(concat(text, chr(10))) AS digest, octet_length(encode(text)) + 1 AS n_bytes FROM documents),
+  lines AS (SELECT case_id, CASE WHEN k % 11 = 0 THEN reverse(digest) ELSE digest END AS digest, path, FALSE AS malformed FROM files WHERE k % 7 <> 0
+    UNION ALL SELECT case_id, 'only', NULL, TRUE FROM files WHERE k % 13 = 0
+    UNION ALL SELECT case_id, repeat('0', 64), concat('reviewer/gone', CAST(k AS VARCHAR)), FALSE FROM files WHERE k % 17 = 0)"""
 
 
 @query("s11_bundle_files", f"WITH {FILES_SQL} SELECT case_id, path, digest, n_bytes FROM files")
@@ -319,7 +322,7 @@ def _(t):
 
 @query("s12_checksum_manifest", f"WITH {FILES_SQL} SELECT * FROM lines")
 def _(t):
-    return _manifest(t, _bundles(t)).select("case_id", "digest", "path", "malformed")
+    return _manifest(t).select("case_id", "digest", "path", "malformed")
 
 
 @query("s14_checksum_lines", f"WITH {FILES_SQL} SELECT case_id, concat(digest, '  ', path) AS value FROM files")
@@ -329,8 +332,7 @@ def _(t):
 
 @query("v7_checksum_files", f"WITH {FILES_SQL} SELECT coalesce(f.case_id, l.case_id) AS case_id, 'checksums' AS rule, coalesce(f.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'not listed' WHEN f.path IS NULL THEN 'missing' ELSE 'digest differs' END AS detail FROM files f FULL OUTER JOIN (SELECT * FROM lines WHERE NOT malformed) l ON l.case_id = f.case_id AND l.path = f.path WHERE f.digest IS DISTINCT FROM l.digest UNION ALL SELECT case_id, 'checksums', path, 'malformed line' FROM lines WHERE malformed")
 def _(t):
-    files = _bundles(t)
-    return V.checksum_reconcile(IO.bundle_digests(files), _manifest(t, files))
+    return V.checksum_reconcile(IO.bundle_digests(_bundles(t)), _manifest(t))
 
 
 @query("s13_write_partitioned", "SELECT arm, count(*) AS n, sum(case_id) AS cases FROM b_runs GROUP BY arm")

@@ -25,11 +25,22 @@ def path_part(name: str, k: int) -> Column:
     return F.when(named != "", F.url_decode(named)).otherwise(F.element_at(F.split("file_path", "/"), -k))
 
 
-def documents(spark: SparkSession, path: str, schema: str, version: str | None = None, closed: bool = False, lines: bool = False) -> DataFrame:
+def texts(spark: SparkSession, source: str | DataFrame, lines: bool = False) -> DataFrame:
+    """file_path, value: whole files (or lines) under a path or glob; or an archive, which is a table of
+    those two columns, as many small documents are better kept."""
+    if isinstance(source, str):
+        at = F.col("_metadata.file_path").alias("file_path")
+        if lines:
+            return spark.read.text(source).select(at, "value")
+        return spark.read.format("binaryFile").load(source).select(at, F.col("content").cast("string").alias("value"))  # files of no bytes too
+    return source.select("file_path", F.explode(F.split("value", "\n")).alias("value")) if lines else source.select("file_path", "value")
+
+
+def documents(spark: SparkSession, source: str | DataFrame, schema: str, version: str | None = None, closed: bool = False, lines: bool = False) -> DataFrame:
     """file_path, file_sha256 (of a line, where there is one document a line), doc, rule, detail: every
-    document under a path or glob. rule is null, or `malformed` (not JSON, or a field of another type),
+    document of texts(). rule is null, or `malformed` (not JSON, or a field of another type),
     `schema version`, or `unknown field` (of a closed schema, at its top level). Blank lines are none."""
-    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    raw = texts(spark, source, lines)
     if lines:
         raw = raw.where(F.trim("value") != "")
     doc = F.from_json("value", f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})

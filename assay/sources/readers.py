@@ -2,7 +2,8 @@
 
 Schemas are explicit. A document that breaks a rule of its own fails the read that is strict (the default)
 with its file and rule; otherwise it is left out and stands in the *_violations() of the same tree.
-Sealed trees have one document a file; `pattern` reads trees that write_tree() made.
+A root is the folder of a sealed tree, with one document a file, or an archive of it (a table of
+file_path and value); `pattern` reads trees that write_tree() made.
 """
 
 from __future__ import annotations
@@ -19,63 +20,68 @@ GATE_VERSION = "contamination-probe-gate/v1"
 REVIEWS = {"a": (T.REVIEW_A, "findings"), "b": (T.REVIEW_B, "assessments"), "c": (T.REVIEW_C, "verdicts")}
 
 
-def run_documents(spark: SparkSession, root: str, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
-    return documents(spark, f"{root}/{pattern}", T.RUN, version, closed=True)
+def _at(root: str | DataFrame, pattern: str, name: str) -> str | DataFrame:
+    """The files of a pattern under a root; in an archive, those of that name."""
+    return f"{root}/{pattern}" if isinstance(root, str) else root.where(F.element_at(F.split("file_path", "/"), -1) == name)
 
 
-def read_runs(spark: SparkSession, root: str, pattern: str = "*/run.json", version: str | None = None, strict: bool = True) -> DataFrame:
+def run_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
+    return documents(spark, _at(root, pattern, "run.json"), T.RUN, version, closed=True)
+
+
+def read_runs(spark: SparkSession, root: str | DataFrame, pattern: str = "*/run.json", version: str | None = None, strict: bool = True) -> DataFrame:
     """Run manifests, one a run folder."""
     df = accepted(run_documents(spark, root, pattern, version), strict)
     return df.withColumn("run_dir", path_part("run_dir", 2))
 
 
-def runs_violations(spark: SparkSession, root: str, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
+def runs_violations(spark: SparkSession, root: str | DataFrame, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
     """run_dir, rule, detail of manifests that are not readable, of another version or not closed."""
     return violations(run_documents(spark, root, pattern, version), run_dir=path_part("run_dir", 2))
 
 
-def review_documents(spark: SparkSession, root: str, letter: str = "a", pattern: str | None = None) -> DataFrame:
-    return documents(spark, f"{root}/{pattern or f'*/stages/*/review-{letter}.json'}", REVIEWS[letter][0], closed=True)
+def review_documents(spark: SparkSession, root: str | DataFrame, letter: str = "a", pattern: str | None = None) -> DataFrame:
+    return documents(spark, _at(root, pattern or f"*/stages/*/review-{letter}.json", f"review-{letter}.json"), REVIEWS[letter][0], closed=True)
 
 
-def read_reviews(spark: SparkSession, root: str, letter: str = "a", pattern: str | None = None, strict: bool = True) -> DataFrame:
+def read_reviews(spark: SparkSession, root: str | DataFrame, letter: str = "a", pattern: str | None = None, strict: bool = True) -> DataFrame:
     """Stage documents of one kind with run folder and stage; the array position is the rank."""
     df = accepted(review_documents(spark, root, letter, pattern), strict)
     return df.select(path_part("run_dir", 4).alias("run_dir"), path_part("stage", 2).alias("stage"), F.posexplode(REVIEWS[letter][1]).alias("pos", "item")).select("run_dir", "stage", "pos", "item.*")
 
 
-def new_findings(spark: SparkSession, root: str, pattern: str | None = None, strict: bool = True) -> DataFrame:
+def new_findings(spark: SparkSession, root: str | DataFrame, pattern: str | None = None, strict: bool = True) -> DataFrame:
     """What stage 3 found itself, by rank."""
     df = accepted(review_documents(spark, root, "c", pattern), strict)
     return df.select(path_part("run_dir", 4).alias("run_dir"), path_part("stage", 2).alias("stage"), F.posexplode("new_findings").alias("pos", "item")).select("run_dir", "stage", "pos", "item.*")
 
 
-def reviews_violations(spark: SparkSession, root: str, letter: str = "a", pattern: str | None = None) -> DataFrame:
+def reviews_violations(spark: SparkSession, root: str | DataFrame, letter: str = "a", pattern: str | None = None) -> DataFrame:
     """run_dir, stage, rule, detail."""
     return violations(review_documents(spark, root, letter, pattern), run_dir=path_part("run_dir", 4), stage=path_part("stage", 2))
 
 
-def telemetry_documents(spark: SparkSession, root: str, pattern: str = "*/stages/*/telemetry.json") -> DataFrame:
-    return documents(spark, f"{root}/{pattern}", T.TELEMETRY)
+def telemetry_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/stages/*/telemetry.json") -> DataFrame:
+    return documents(spark, _at(root, pattern, "telemetry.json"), T.TELEMETRY)
 
 
-def read_telemetry(spark: SparkSession, root: str, pattern: str = "*/stages/*/telemetry.json", strict: bool = True) -> DataFrame:
+def read_telemetry(spark: SparkSession, root: str | DataFrame, pattern: str = "*/stages/*/telemetry.json", strict: bool = True) -> DataFrame:
     """S3: attempts of every stage in their order (pos); the stage is the document's, or else its folder."""
     df = accepted(telemetry_documents(spark, root, pattern), strict)
     stage = F.coalesce(F.nullif("stage", F.lit("")), path_part("stage", 2))
     return df.select(path_part("run_dir", 4).alias("run_dir"), stage.alias("stage"), F.posexplode("attempts").alias("pos", "a")).select("run_dir", "stage", "pos", "a.*")
 
 
-def event_documents(spark: SparkSession, root: str, pattern: str = "*/events.jsonl") -> DataFrame:
-    return documents(spark, f"{root}/{pattern}", T.EVENTS, lines=True)
+def event_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/events.jsonl") -> DataFrame:
+    return documents(spark, _at(root, pattern, "events.jsonl"), T.EVENTS, lines=True)
 
 
-def read_events(spark: SparkSession, root: str, pattern: str = "*/events.jsonl", strict: bool = True) -> DataFrame:
+def read_events(spark: SparkSession, root: str | DataFrame, pattern: str = "*/events.jsonl", strict: bool = True) -> DataFrame:
     """Event logs, one JSON a line; blank lines are none."""
     return accepted(event_documents(spark, root, pattern), strict).withColumn("run_dir", path_part("run_dir", 2)).drop("file_path", "file_sha256")
 
 
-def read_keys(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_keys(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """Contamination keys with the SHA-256 of each file's bytes; unknown fields are let pass."""
     return accepted(documents(spark, path, T.KEYS), strict).drop("file_path")
 
@@ -87,7 +93,7 @@ def keys_violations(keys: DataFrame) -> DataFrame:
     return keys.withColumn("rule", rule).where("rule is not null").select("file_sha256", "case_id", "rule")
 
 
-def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_labels(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """Labels, a row a case, with the manifest's hash."""
     return accepted(documents(spark, path, T.LABELS), strict).select("cohort_manifest_sha256", F.explode("cases").alias("c")).select("cohort_manifest_sha256", "c.*")
 
@@ -110,7 +116,7 @@ def manifest_violations(spark: SparkSession, labels: DataFrame, manifest_path: s
     return labels.select("cohort_manifest_sha256").distinct().join(real, F.col("cohort_manifest_sha256") == F.col("real"), "left_anti")
 
 
-def read_history(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_history(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """History baselines; a null `risky` stays null with its reason."""
     return accepted(documents(spark, path, T.HISTORY), strict).drop("file_path", "file_sha256")
 
@@ -122,19 +128,19 @@ def history_of(labels: DataFrame, history: DataFrame) -> DataFrame:
     return out.select("case_id", "risky", F.when(F.col("there").isNull(), "no history file").when(F.col("risky").isNull(), F.coalesce("reason", F.lit("not recorded"))).alias("absent"))
 
 
-def read_fixing_paths(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_fixing_paths(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """Paths that the fix touched, a row a path."""
     return accepted(documents(spark, path, T.FIXING_PATHS), strict).select("case_id", F.explode("paths").alias("path"))
 
 
-def oracle_documents(spark: SparkSession, root: str, pattern: str = "*/correlated-report.json") -> DataFrame:
+def oracle_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/correlated-report.json") -> DataFrame:
     """Correlated records; one without a version breaks a rule."""
-    docs = documents(spark, f"{root}/{pattern}", T.ORACLE)
+    docs = documents(spark, _at(root, pattern, "correlated-report.json"), T.ORACLE)
     none = F.col("rule").isNull() & (F.coalesce("doc.schema_version", F.lit("")) == "")
     return docs.withColumn("rule", F.when(none, "no schema_version").otherwise(F.col("rule"))).withColumn("detail", F.when(none, "").otherwise(F.col("detail")))
 
 
-def read_oracle(spark: SparkSession, root: str, pattern: str = "*/correlated-report.json", strict: bool = True) -> DataFrame:
+def read_oracle(spark: SparkSession, root: str | DataFrame, pattern: str = "*/correlated-report.json", strict: bool = True) -> DataFrame:
     """Correlated records, the case being the folder."""
     return accepted(oracle_documents(spark, root, pattern), strict).withColumn("case_id", path_part("case_id", 2)).drop("file_path", "file_sha256")
 
@@ -157,25 +163,25 @@ def overlaps_of(oracle: DataFrame) -> DataFrame:
     return rows.select("case_id", "pos", "o.path", F.col("o.lineage_supported_removed_overlap_count").alias("overlap"))
 
 
-def read_judge(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_judge(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """Case-level judge reports, a row a verdict."""
     df = accepted(documents(spark, path, T.JUDGE), strict)
     return df.select("case_id", "judge_model", "in_family", F.explode("verdicts").alias("key", "v")).select("case_id", "judge_model", "in_family", "v.*")
 
 
-def read_verify(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_verify(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """Verification reports, a row a unit."""
     return accepted(documents(spark, path, T.VERIFY), strict).select("unit.*", "disposition", "unparseable_first_response", "error")
 
 
-def verify_violations(spark: SparkSession, path: str) -> DataFrame:
+def verify_violations(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """file_sha256, rule of reports that are not readable or name no arm or case."""
     docs = documents(spark, path, T.VERIFY)
     unnamed = (F.coalesce("doc.unit.arm", F.lit("")) == "") | (F.coalesce("doc.unit.case_id", F.lit("")) == "")
     return docs.withColumn("rule", F.coalesce("rule", F.when(unnamed, "no arm or case"))).where("rule is not null").select("file_sha256", "rule")
 
 
-def read_probes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_probes(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     """Probe reports, a row an answer."""
     return accepted(documents(spark, path, T.PROBE), strict).select("case_id", "void", F.explode("responses").alias("r")).select("case_id", "void", "r.*")
 
@@ -236,12 +242,19 @@ def write_tree(df: DataFrame, path: str, *by: str, order: str = "value") -> None
     write_partitioned(df.select("value", *by).repartition(*by).sortWithinPartitions(*by, order), path, *by, form="text")
 
 
+def write_archive(df: DataFrame, path: str) -> DataFrame:
+    """Documents as an archive, read again: file_path (as in a sealed tree) and value. Millions of small
+    files cost a cluster more in listing than in reading."""
+    df.select("file_path", "value").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checksum_lines(files: DataFrame, *by: str) -> DataFrame:
     """By..., value: a `sha256  path` line of every file but manifests. files: by..., path, digest."""
     return files.where(F.element_at(F.split("path", "/"), -1) != "checksums.sha256").select(*by, F.concat("digest", F.lit("  "), "path").alias("value"))
 
 
-def checksum_tree(spark: SparkSession, root: str, manifest: str = "checksums.sha256") -> DataFrame:
+def checksum_tree(spark: SparkSession, root: str | DataFrame, manifest: str = "checksums.sha256") -> DataFrame:
     """`sha256  path` lines of every file under the root but the manifest, in order of the path."""
     at = F.instr("path", root.rstrip("/").split(":")[-1].lstrip("/")) + F.length(F.lit(root.rstrip("/").split(":")[-1].lstrip("/"))) + 1
     out = _files(spark, root).select(F.sha2("content", 256).alias("digest"), F.substring("path", at, F.length("path")).alias("path")).where(F.col("path") != manifest)

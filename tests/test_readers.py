@@ -88,3 +88,39 @@ def test_bundle_and_checksums(spark, tmp_path):
 def test_write_partitioned(spark, tmp_path):
     R.write_partitioned(spark.createDataFrame([(1, "T"), (2, "G")], "x int, arm string"), f"{tmp_path}/o", "arm")
     assert spark.read.parquet(f"{tmp_path}/o").where("arm = 'T'").first()["x"] == 1
+
+
+def test_rules_of_documents(spark, tmp_path):
+    for name, body in {"ok": {"run_id": "1", "schema_version": R.RUN_VERSION}, "old": {"run_id": "2", "schema_version": "x"}, "more": {"run_id": "3", "schema_version": R.RUN_VERSION, "b": 1, "a": 2}, "type": {"run_id": "4", "stages": "none"}}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run.json").write_text(json.dumps(body, indent=2))
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "run.json").write_text('{"run_id": "5"')
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "run.json").write_text("")
+    got = {tuple(r) for r in R.runs_violations(spark, str(tmp_path), version=R.RUN_VERSION).collect()}
+    assert got == {("old", "schema version", "x"), ("more", "unknown field", "a,b"), ("type", "malformed", ""), ("cut", "malformed", ""), ("none", "malformed", "")}
+    assert [r["run_dir"] for r in R.read_runs(spark, str(tmp_path), version=R.RUN_VERSION, strict=False).collect()] == ["ok"]
+    with pytest.raises(Exception, match="malformed"):
+        R.read_runs(spark, f"{tmp_path}", "cut/run.json").collect()
+
+
+def test_trees_and_archives_read_alike(spark, tmp_path):
+    rows = [("r 1/x", "a", '{"stage": "a", "attempts": [{"attempt": 1}, {"attempt": 2}]}'), ("r2", "b", '{"attempts": [{"attempt": 7}]}')]
+    df = spark.createDataFrame(rows, "run_dir string, stage string, value string")
+    R.write_tree(df, f"{tmp_path}/tree", "run_dir", "stage")
+    got = {tuple(r)[:4] for r in R.read_telemetry(spark, f"{tmp_path}/tree", "run_dir=*/stage=*/*.txt").collect()}
+    assert got == {("r 1/x", "a", 0, 1), ("r 1/x", "a", 1, 2), ("r2", "b", 0, 7)}
+    packed = R.write_archive(df.selectExpr("concat_ws('/', 'x', replace(run_dir, '/', '_'), 'stages', stage, 'telemetry.json') file_path", "value").unionByName(spark.createDataFrame([("x/r/run.json", "{")], "file_path string, value string")), f"{tmp_path}/archive")
+    assert {tuple(r)[:4] for r in R.read_telemetry(spark, packed).collect()} == {("r 1_x", "a", 0, 1), ("r 1_x", "a", 1, 2), ("r2", "b", 0, 7)}
+
+
+def test_gate_of_other_records(spark, tmp_path):
+    (tmp_path / "records").write_text("a\nb\n")
+    digest = hashlib.sha256(b"a\nb\n").hexdigest()
+    for name, sha in (("good", digest), ("bad", "0" * 64)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"schema_version": R.GATE_VERSION, "records_sha256": sha, "cases": {"a": "clean"}}))
+    assert R.read_gate(spark, f"{tmp_path}/good.json", f"{tmp_path}/records").count() == 1
+    assert [(r["rule"], r["detail"]) for r in R.gate_documents(spark, f"{tmp_path}/*.json", f"{tmp_path}/records").where("rule is not null").collect()] == [("other records", "0" * 64)]
+    with pytest.raises(Exception, match="other records"):
+        R.read_gate(spark, f"{tmp_path}/bad.json", f"{tmp_path}/records").collect()
