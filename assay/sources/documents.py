@@ -32,13 +32,13 @@ def texts(spark: SparkSession, source: str | DataFrame, lines: bool = False) ->
         at = F.col("_metadata.file_path").alias("file_path")
         if lines:
             return spark.read.text(source).select(at, "value")
-        return spark.read.format("binaryFile").load(source).select(at, F.col("content").cast("string").alias("value"))  # files of no bytes too
+        return spark.read.format("binaryFile").load(source).select(at, F.col("content").cast("string").alias("value"))
     return source.select("file_path", F.explode(F.split("value", "\n")).alias("value")) if lines else source.select("file_path", "value")
 
 
 def documents(spark: SparkSession, source: str | DataFrame, schema: str, version: str | None = None, closed: bool = False, lines: bool = False) -> DataFrame:
     """file_path, file_sha256 (of a line, where there is one document a line), doc, rule, detail: every
-    document of texts(). rule is null, or `malformed` (not JSON, or a field of another type),
+    document of texts(); Spark lists no file of no bytes, so one has no row. rule is null, or `malformed` (not JSON, or a field of another type),
     `schema version`, or `unknown field` (of a closed schema, at its top level). Blank lines are none."""
     raw = texts(spark, source, lines)
     if lines:

@@ -97,7 +97,7 @@ def test_rules_of_documents(spark, tmp_path):
     (tmp_path / "cut").mkdir()
     (tmp_path / "cut" / "run.json").write_text('{"run_id": "5"')
     (tmp_path / "none").mkdir()
-    (tmp_path / "none" / "run.json").write_text("")
+    (tmp_path / "none" / "run.json").write_text("\n")
     got = {tuple(r) for r in R.runs_violations(spark, str(tmp_path), version=R.RUN_VERSION).collect()}
     assert got == {("old", "schema version", "x"), ("more", "unknown field", "a,b"), ("type", "malformed", ""), ("cut", "malformed", ""), ("none", "malformed", "")}
     assert [r["run_dir"] for r in R.read_runs(spark, str(tmp_path), version=R.RUN_VERSION, strict=False).collect()] == ["ok"]
