@@ -1,4 +1,5 @@
-"""Strings and citations of nested documents, by expressions made from the schema."""
+"""Strings and citations of nested documents, by expressions made from the schema, or over VARIANT where
+there is none."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
+from ..sources.shared import shared_dir
+
 _EMPTY = "CAST(array() AS array<struct<path:string,value:string>>)"
 
 
@@ -30,6 +33,37 @@ def string_leaves(df: DataFrame, document: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(found if found is not None else F.expr(_EMPTY)).alias("leaf")).select(*keep, "leaf.path", "leaf.value")
 
 
+#: Levels of nesting that open_leaves() goes down in one pass over the documents.
+LEVELS = 12
+_HOLDS = "(kind LIKE 'OBJECT<%' OR kind LIKE 'ARRAY<%') AND kind NOT IN ('OBJECT<>', 'ARRAY<VOID>')"
+
+
+def open_leaves(df: DataFrame, document: str, *keep: str, levels: int = LEVELS) -> DataFrame:
+    """P1 for open JSON text: the rows of string_leaves() to any depth, without a schema. A text that is no
+    JSON has none, and a key stands as it is written (of repeated keys of an object the last counts).
+
+    A document is parsed once into a VARIANT; `levels` explodes in a row send containers down to their
+    children and let scalars pass, all in one stage without a shuffle. What is nested deeper is written to the
+    checkpoint folder and goes down as many levels again.
+    """
+    spark = df.sparkSession
+    names = ", ".join(f"d.`{k}`" for k in keep)
+    at = df.select(*keep, F.lit("$").alias("path"), F.try_parse_json(F.col(document)).alias("v")).where("v is not null")
+    out = None
+    while True:
+        for _ in range(levels):
+            below = "CASE WHEN x.key IS NOT NULL THEN concat(d.path, '.', x.key) WHEN x.pos IS NOT NULL THEN concat(d.path, '[', x.pos, ']') ELSE d.path END"
+            at = spark.sql(f"SELECT {names}, {below} AS path, coalesce(x.value, d.v) AS v FROM {{at}} d, LATERAL variant_explode_outer(d.v) x", at=at)
+        at = at.withColumn("kind", F.schema_of_variant("v"))
+        found = at.where("kind = 'STRING'").select(*keep, "path", F.variant_get("v", "$", "string").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        shared_dir(spark)
+        deeper = at.where(_HOLDS).drop("kind").checkpoint()
+        if deeper.isEmpty():
+            return out
+        at = deeper
+
+
 def cited_files(leaves: DataFrame, *by: str) -> DataFrame:
     """The sorted distinct non-empty strings at a path that ends in .file."""
     some = leaves.where(F.endswith("path", F.lit(".file")) & (F.col("value") != ""))

@@ -23,6 +23,17 @@ def _(t):
     return L.string_leaves(docs, "doc", "run_id")
 
 
+#: Documents without a schema: nested deeper than one pass goes, odd keys, empty containers; some are no JSON.
+OPEN_DOC = """CASE WHEN run_id % 29 = 0 THEN '{"cut": [' ELSE concat('{"n": ', CAST(pos AS VARCHAR), ', "none": null, "empty": {}, "list": [[], "', severity, '", {"file": "', file, '"}, [["', rec_path, '"]]], "a b": {"": "', severity, '"}, "deep": ',
+  repeat('{"x":[', CAST(run_id % 9 AS INTEGER)), '"end"', repeat(']}', CAST(run_id % 9 AS INTEGER)), '}') END"""
+
+
+@query("p1_open_json", """SELECT run_id, pos, path, value FROM (SELECT run_id, pos, unnest(['$.list[1]', '$.list[2].file', '$.list[3][0][0]', '$.a b.', concat('$.deep', repeat('.x[0]', CAST(run_id % 9 AS INTEGER)))]) AS path, unnest([severity, file, rec_path, severity, 'end']) AS value FROM b_findings WHERE run_id % 29 <> 0)""")
+def _(t):
+    docs = t("b_findings").select("run_id", "pos", F.expr(OPEN_DOC.replace("VARCHAR", "STRING").replace("INTEGER", "INT")).alias("body"))
+    return L.open_leaves(docs, "body", "run_id", "pos")
+
+
 @query("p9_cited_files", "SELECT run_id, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM b_findings GROUP BY run_id")
 def _(t):
     leaves = t("b_findings").select("run_id", F.concat(F.lit("$.findings["), F.col("pos").cast("string"), F.lit("].file")).alias("path"), F.col("file").alias("value"))
