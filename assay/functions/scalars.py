@@ -52,6 +52,12 @@ def pr_numbers(text: Column) -> Column:
     return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in PR])
 
 
+def pr_mentions(text: Column) -> Column:
+    """P5: (mention, number) of the same references, the mention as it stands in the text."""
+    pair = lambda p: F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda m, n: F.struct(m.alias("mention"), n.alias("number")))
+    return F.concat(*[pair(p) for p in PR])
+
+
 def cve_ids(text: Column) -> Column:
     """CVE ids as they stand in the text."""
     return F.regexp_extract_all(text, F.lit(CVE), F.lit(0))

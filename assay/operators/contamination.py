@@ -1,7 +1,8 @@
 """Contamination scan: does a run's text show knowledge of the later fix?
 
-strings: run_id, case_id, path (of the string in its document), text. keys: case_id, ordinal, sha /
-number / cve. Identifiers are found by regular expressions and matched by equality joins. Phrases
+strings: run_id, case_id, path (of the string in its document), text, and stage where it is known. keys:
+case_id, ordinal, sha / number / cve. Identifiers are found by regular expressions and matched by equality
+joins, a hit for each occurrence. Phrases
 are exact eight-token windows of the discussion, joined by hash and text; what the reviewer was
 shown is excluded. A string's windows are followed in order by position columns.
 """
@@ -13,35 +14,41 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import SHINGLE
+from .discussion import NOVEL, SKIP_SUFFIX, spans  # NOVEL: uncovered tokens that a matching window needs
 from .scoring import count_if
 
-NOVEL = 3  # uncovered tokens that a matching window needs
-SKIP_SUFFIX = ".excerpt"
 HIT = ("run_id", "case_id", "kind", "path", "matched", "key_ref")
+LEAST_SHA = 7
+
+
+def _hit_columns(strings: DataFrame) -> list[str]:
+    return [*HIT, *(["stage"] if "stage" in strings.columns else [])]
 
 
 def scan_sha(strings: DataFrame, keys: DataFrame) -> DataFrame:
-    """Hex runs that are a prefix (7 or more) of a fixing commit; the first such key. Joined on the
-    case and the first seven digits, which every match shares."""
-    tok = strings.withColumn("matched", F.explode(S.sha_tokens(F.col("text"))))
-    tok = tok.withColumn("low", F.lower("matched")).withColumn("head", F.substring("low", 1, 7))
-    k = keys.select("case_id", F.lower("sha").alias("sha"), F.substring(F.lower("sha"), 1, 7).alias("head"), "ordinal")
-    hit = tok.join(k, ["case_id", "head"]).where(F.startswith("sha", "low"))
-    return hit.groupBy("run_id", "case_id", "path", "matched").agg(F.min_by("sha", "ordinal").alias("key_ref")).withColumn("kind", F.lit("sha")).select(*HIT)
+    """Hex runs that are a prefix (7 or more) of a fixing commit, with the first such key; a hit an
+    occurrence. Joined on the case and the first seven digits, which every match shares; the keys of
+    one such head are one row, so occurrences stay apart without a grouping."""
+    tok = strings.withColumn("matched", F.explode(S.sha_tokens(F.col("text")))).withColumn("low", F.lower("matched")).withColumn("head", F.substring("low", 1, LEAST_SHA))
+    k = keys.select("case_id", F.lower("sha").alias("sha"), "ordinal").where("sha is not null").withColumn("head", F.substring("sha", 1, LEAST_SHA))
+    k = k.groupBy("case_id", "head").agg(F.array_sort(F.collect_set(F.struct("ordinal", "sha"))).alias("known"))
+    first = F.get(F.filter("known", lambda x: F.startswith(x["sha"], F.col("low"))), F.lit(0))
+    return tok.join(k, ["case_id", "head"]).withColumn("key_ref", first["sha"]).where("key_ref is not null").withColumn("kind", F.lit("sha")).select(*_hit_columns(strings))
 
 
 def scan_pr(strings: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pull-request references whose number, as text, is a key; one row for each shape."""
-    tok = strings.withColumn("number", F.explode(S.pr_numbers(F.col("text"))))
+    """Pull-request references whose number, as text, is a key; a hit for each shape and occurrence,
+    with the whole mention."""
+    tok = strings.withColumn("m", F.explode(S.pr_mentions(F.col("text")))).withColumns({"number": F.col("m.number"), "matched": F.col("m.mention")})
     k = keys.select("case_id", F.col("number").cast("string").alias("number")).distinct()
-    return tok.join(k, ["case_id", "number"]).select("run_id", "case_id", F.lit("pr").alias("kind"), "path", F.col("number").alias("matched"), F.col("number").alias("key_ref"))
+    return tok.join(k, ["case_id", "number"]).withColumns({"kind": F.lit("pr"), "key_ref": F.col("number")}).select(*_hit_columns(strings))
 
 
 def scan_cve(strings: DataFrame, keys: DataFrame) -> DataFrame:
     """Every CVE is a hit; key_ref is `other` where it is no key of the case."""
     tok = strings.withColumn("matched", F.explode(S.cve_ids(F.col("text")))).withColumn("cve", F.upper("matched"))
     k = keys.select("case_id", F.upper("cve").alias("cve")).distinct().withColumn("known", F.col("cve"))
-    return tok.join(k, ["case_id", "cve"], "left").select("run_id", "case_id", F.lit("cve").alias("kind"), "path", "matched", F.coalesce("known", F.lit("other")).alias("key_ref"))
+    return tok.join(k, ["case_id", "cve"], "left").withColumns({"kind": F.lit("cve"), "key_ref": F.coalesce("known", F.lit("other"))}).select(*_hit_columns(strings))
 
 
 def windows(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -111,13 +118,37 @@ def span_hits(strings: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.select("run_id", "case_id", F.lit("discussion").alias("kind"), "path", text.alias("matched"), F.col("source").alias("key_ref"))
 
 
-def contamination_scan(runs: DataFrame, hits: DataFrame, keyed: DataFrame, exclusion_applied: bool = True) -> DataFrame:
-    """Run -> void and hit count; runs whose case has no keys are skipped, not clean."""
+def discussion_hits(found: DataFrame) -> DataFrame:
+    """C7 as hits: the spans of discussion.matched(), and whether they were made without an exclusion."""
+    rows = spans(found).withColumns({"kind": F.lit("discussion"), "key_ref": F.col("source")})
+    return rows.select(*_hit_columns(found), "unexcluded")
+
+
+def all_hits(identifiers: list[DataFrame], found: DataFrame) -> DataFrame:
+    """Hits of all four rules; `unexcluded` is only set on those of the discussion."""
+    out = discussion_hits(found)
+    for df in identifiers:
+        out = out.unionByName(df.withColumn("unexcluded", F.lit(False)))
+    return out
+
+
+def contamination_scan(runs: DataFrame, hits: DataFrame, keyed: DataFrame, exclusion_applied: bool | DataFrame = True, stages: DataFrame | None = None) -> DataFrame:
+    """Run -> void and hit count; runs whose case has no keys are skipped, not clean. exclusion_applied:
+    for all runs, or the cases (case_id) whose bundle was at hand; stages: (run_id, stage) that were read.
+    The rules as applied stand beside: digits of a commit, tokens of a window, novel tokens."""
     n = hits.groupBy("run_id").agg(F.count("*").alias("n_hits"))
     out = runs.join(keyed.select("case_id").distinct().withColumn("has_keys", F.lit(True)), "case_id", "left").join(n, "run_id", "left")
+    if isinstance(exclusion_applied, DataFrame):
+        out = out.join(exclusion_applied.select("case_id").distinct().withColumn("bundled", F.lit(True)), "case_id", "left").withColumn("bundled", F.coalesce("bundled", F.lit(False)))
+    else:
+        out = out.withColumn("bundled", F.lit(exclusion_applied))
+    if stages is not None:
+        out = out.join(stages.groupBy("run_id").agg(F.array_sort(F.collect_set("stage")).alias("stages")), "run_id", "left")
     hits_ = F.coalesce("n_hits", F.lit(0))
     state = F.when(F.col("has_keys").isNull(), "skipped").when(hits_ > 0, "void").otherwise("clean")
-    return out.select("run_id", "case_id", "arm", state.alias("state"), hits_.alias("n_hits"), F.lit(exclusion_applied).alias("exclusion_applied"))
+    rules = [F.lit(LEAST_SHA).alias("sha_min_prefix"), F.lit(SHINGLE).alias("shingle_tokens"), F.lit(NOVEL).alias("min_novel_tokens")]
+    seen = [F.array_join("stages", ",").alias("stages_scanned")] if stages is not None else []
+    return out.select("run_id", "case_id", "arm", state.alias("state"), hits_.alias("n_hits"), F.col("bundled").alias("exclusion_applied"), *rules, *seen)
 
 
 def contamination_summary(scans: DataFrame) -> DataFrame:

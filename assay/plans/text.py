@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import leaves as L
 from ..functions import scalars as S
 from ..operators import contamination as C
+from ..operators import discussion as D
 from ..operators.scoring import count_if
 from ..operators.cohort import with_strata
 from .common import query
@@ -71,6 +72,9 @@ REFS = "concat('Fixes #', CAST(doc_id AS VARCHAR), ', see PR ', CAST(n_chars % 9
 PR_SQL = r"list_concat(list_concat(regexp_extract_all(r, '#(\d+)\b', 1), regexp_extract_all(r, '(?i)\bPR[ -]?#?(\d+)\b', 1)), list_concat(regexp_extract_all(r, '(?i)\bpull/(\d+)\b', 1), regexp_extract_all(r, '(?i)\bpull request #?(\d+)\b', 1)))"
 
 
+PR_MENTION_SQL = PR_SQL.replace(", 1)", ", 0)")
+
+
 def _refs(t) -> DataFrame:
     return t("documents").select("doc_id", F.expr(REFS.replace("VARCHAR", "STRING")).alias("r"))
 
@@ -192,25 +196,37 @@ def _strings(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("run_id"), (F.col("doc_id") % 100).alias("case_id"), path.alias("path"), "text")
 
 
+#: Every fifth text also stands a second time, so that its identifiers occur twice.
+TWICE = "CASE WHEN doc_id % 5 = 0 THEN concat(text, ' ', text) ELSE text END"
+
+
+def _twice(t) -> DataFrame:
+    return _strings(t).withColumn("text", F.expr(TWICE.replace("doc_id", "run_id")))
+
+
 def _sha_keys(t) -> DataFrame:
     tok = t("documents").select(F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 100).alias("case_id"), F.explode(S.sha_tokens(F.col("text"))).alias("sha"))
     return tok.where("length(sha) = 40")
 
 
 KEYS_SQL = f"keys AS (SELECT ordinal, case_id, lower(sha) AS sha FROM (SELECT doc_id AS ordinal, doc_id % 100 AS case_id, unnest({SHA_SQL}) AS sha FROM documents) WHERE length(sha) = 40)"
-TOK_SQL = f"tok AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN lang = 'de' THEN '$.text.excerpt' ELSE '$.text' END AS path, unnest({SHA_SQL}) AS matched FROM documents)"
+TOK_SQL = f"tok AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN lang = 'de' THEN '$.text.excerpt' ELSE '$.text' END AS path, unnest({SHA_SQL.replace('(text,', '(' + TWICE + ',')}) AS matched FROM documents)"
 
 
-@query("c1_scan_sha", f"WITH {KEYS_SQL}, {TOK_SQL} SELECT run_id, tok.case_id, 'sha' AS kind, path, matched, min_by(sha, ordinal) AS key_ref FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) GROUP BY ALL")
+#: A row an occurrence; dealt by its place, so that repeats of one token stay apart.
+SHAH_SQL = "shah AS (SELECT run_id, tok.case_id, path, matched, min_by(sha, ordinal) AS key_ref FROM (SELECT *, row_number() OVER () AS occurrence FROM tok) tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) GROUP BY run_id, tok.case_id, path, matched, occurrence)"
+
+
+@query("c1_scan_sha", f"WITH {KEYS_SQL}, {TOK_SQL}, {SHAH_SQL} SELECT run_id, case_id, 'sha' AS kind, path, matched, key_ref FROM shah")
 def _(t):
-    return C.scan_sha(_strings(t), _sha_keys(t))
+    return C.scan_sha(_twice(t), _sha_keys(t))
 
 
 def _ref_strings(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("run_id"), (F.col("doc_id") % 100).alias("case_id"), F.lit("$.text").alias("path"), F.expr(REFS.replace("VARCHAR", "STRING")).alias("text"))
 
 
-@query("c2_scan_pr", f"SELECT run_id, s.case_id, 'pr' AS kind, '$.text' AS path, s.number AS matched, s.number AS key_ref FROM (SELECT doc_id AS run_id, doc_id % 100 AS case_id, unnest({PR_SQL}) AS number FROM (SELECT doc_id, {REFS} AS r FROM documents)) s JOIN (SELECT DISTINCT case_id % 100 AS case_id, CAST(case_id % 97 AS VARCHAR) AS number FROM b_labels) k ON s.case_id = k.case_id AND s.number = k.number")
+@query("c2_scan_pr", f"SELECT run_id, s.case_id, 'pr' AS kind, '$.text' AS path, mention AS matched, s.number AS key_ref FROM (SELECT doc_id AS run_id, doc_id % 100 AS case_id, unnest({PR_SQL}) AS number, unnest({PR_MENTION_SQL}) AS mention FROM (SELECT doc_id, {REFS} AS r FROM documents)) s JOIN (SELECT DISTINCT case_id % 100 AS case_id, CAST(case_id % 97 AS VARCHAR) AS number FROM b_labels) k ON s.case_id = k.case_id AND s.number = k.number")
 def _(t):
     return C.scan_pr(_ref_strings(t), t("b_labels").select((F.col("case_id") % 100).alias("case_id"), (F.col("case_id") % 97).alias("number")))
 
@@ -252,9 +268,17 @@ DOCW = f"w AS ({_win('documents', 'doc_id, lang')})"
 NOVEL_SQL = f"{EX_SQL}, {INDEX_SQL}, {DOCW}, m AS (SELECT doc_id AS run_id, pos, source FROM w JOIN idx USING (shingle) WHERE lang <> 'de'), cov AS (SELECT DISTINCT doc_id AS run_id, pos + unnest(range(0, 8)) AS token FROM w WHERE shingle IN (SELECT shingle FROM ex)), need AS (SELECT run_id, pos, source, pos + unnest(range(0, 8)) AS token FROM m), novel AS (SELECT need.run_id, pos, source FROM need LEFT JOIN cov ON need.run_id = cov.run_id AND need.token = cov.token GROUP BY need.run_id, pos, source HAVING count(*) - count(cov.token) >= 3)"
 
 
+def _shown(t) -> DataFrame:
+    return t("documents").where("source in ('src0', 'src1')").select("text")
+
+
+def _found(t) -> DataFrame:
+    return D.matched(_strings(t), _discussion(t), _shown(t))
+
+
 @query("c6_novel_windows", f"WITH {NOVEL_SQL} SELECT run_id, pos, CAST(source AS VARCHAR) AS source FROM novel")
 def _(t):
-    return C.novel_windows(_strings(t), C.discussion_index(_discussion(t), _exclusion(t)), _exclusion(t)).select("run_id", "pos", "source")
+    return D.novel_windows(_found(t)).select("run_id", "pos", "source")
 
 
 OWN_SQL = f"bw AS ({_win('benchmark', 'item_id')}), own AS (SELECT DISTINCT w.doc_id AS run_id, w.pos FROM w JOIN bw ON bw.item_id = w.doc_id % 40 AND bw.shingle = w.shingle)"
@@ -265,26 +289,25 @@ def _(t):
     """Every run cites one item as a file: its windows are hidden from that run, not from the others."""
     cited = t("documents").select(F.col("doc_id").alias("run_id"), F.lit(0).alias("case_id"), F.concat(F.lit("./items//"), (F.col("doc_id") % 40).cast("string")).alias("file"))
     files = t("benchmark").select(F.lit(0).alias("case_id"), F.concat(F.lit("items/"), F.col("item_id").cast("string")).alias("path"), "text")
-    shown = t("documents").where("source in ('src0', 'src1')").select(F.lit(0).alias("case_id"), "text")
-    hidden = C.exclusion_shingles(shown, cited, files)
-    return C.novel_windows(_strings(t), C.discussion_index(_discussion(t), hidden), hidden).select("run_id", "pos", "source")
+    return D.novel_windows(D.matched(_strings(t), _discussion(t), _shown(t), cited, files)).select("run_id", "pos", "source")
 
 
 SPAN_SQL = f"{NOVEL_SQL}, isl AS (SELECT *, pos - row_number() OVER (PARTITION BY run_id ORDER BY pos) AS island FROM novel), spans AS (SELECT run_id, min(pos) AS first_pos, count(*) AS n_windows, min_by(source, pos) AS source FROM isl GROUP BY run_id, island)"
 
 
-def _spans(t) -> DataFrame:
-    return C.discussion_spans(C.novel_windows(_strings(t), C.discussion_index(_discussion(t), _exclusion(t)), _exclusion(t)))
+@query("c7_discussion_spans", f"WITH {SPAN_SQL} SELECT run_id, first_pos, n_windows, n_windows + 7 AS n_tokens, CAST(source AS VARCHAR) AS source FROM spans")
+def _(t):
+    return D.spans(_found(t)).select("run_id", "first_pos", "n_windows", "n_tokens", "source")
 
 
-@query("c7_discussion_spans", f"WITH {SPAN_SQL} SELECT run_id, first_pos, n_windows, n_windows + 7 AS n_tokens, CAST(source AS VARCHAR) AS source FROM spans")
+@query("c7_discussion_text", f"WITH {SPAN_SQL}, toks AS (SELECT doc_id, {TOKS} AS k FROM documents) SELECT run_id, 'discussion' AS kind, array_to_string(list_slice(k, first_pos + 1, first_pos + n_windows + 7), ' ') AS matched, CAST(source AS VARCHAR) AS key_ref FROM spans JOIN toks ON doc_id = run_id")
 def _(t):
-    return _spans(t).select("run_id", "first_pos", "n_windows", "n_tokens", "source")
+    return C.discussion_hits(_found(t)).select("run_id", "kind", "matched", "key_ref")
 
 
-ALL_TEXT = f"concat(coalesce(text, ''), ' ', CASE WHEN doc_id % 7 = 3 THEN {REFS.replace('n_chars', 'length(text)')} ELSE '' END)"
+ALL_TEXT = f"concat(coalesce({TWICE}, ''), ' ', CASE WHEN doc_id % 7 = 3 THEN {REFS.replace('n_chars', 'length(text)')} ELSE '' END)"
 REF_KEYS_SQL = "prk AS (SELECT DISTINCT case_id % 100 AS case_id, CAST(case_id % 97 AS VARCHAR) AS number FROM b_labels), cvk AS (SELECT DISTINCT case_id % 100 AS case_id, concat('CVE-2024-', CAST(10000 + case_id % 900 AS VARCHAR)) AS cve FROM b_labels)"
-REF_SQL = rf"refs AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN lang = 'de' THEN '$.text.excerpt' ELSE '$.text' END AS path, {ALL_TEXT} AS r FROM documents), {REF_KEYS_SQL}, prh AS (SELECT run_id, s.case_id, path, s.number AS matched FROM (SELECT run_id, case_id, path, unnest({PR_SQL}) AS number FROM refs) s JOIN prk ON s.case_id = prk.case_id AND s.number = prk.number), cvh AS (SELECT run_id, s.case_id, path, matched, coalesce(cve, 'other') AS key_ref FROM (SELECT run_id, case_id, path, unnest(regexp_extract_all(r, '(?i)\bCVE-\d{{4}}-\d{{4,7}}\b')) AS matched FROM refs) s LEFT JOIN cvk ON s.case_id = cvk.case_id AND upper(matched) = cve)"
+REF_SQL = rf"refs AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN lang = 'de' THEN '$.text.excerpt' ELSE '$.text' END AS path, {ALL_TEXT} AS r FROM documents), {REF_KEYS_SQL}, prh AS (SELECT run_id, s.case_id, path, mention AS matched, s.number AS key_ref FROM (SELECT run_id, case_id, path, unnest({PR_SQL}) AS number, unnest({PR_MENTION_SQL}) AS mention FROM refs) s JOIN prk ON s.case_id = prk.case_id AND s.number = prk.number), cvh AS (SELECT run_id, s.case_id, path, matched, coalesce(cve, 'other') AS key_ref FROM (SELECT run_id, case_id, path, unnest(regexp_extract_all(r, '(?i)\bCVE-\d{{4}}-\d{{4,7}}\b')) AS matched FROM refs) s LEFT JOIN cvk ON s.case_id = cvk.case_id AND upper(matched) = cve)"
 
 
 def _all_strings(t) -> DataFrame:
@@ -300,20 +323,39 @@ def _cves(t) -> DataFrame:
     return t("b_labels").select((F.col("case_id") % 100).alias("case_id"), F.concat(F.lit("CVE-2024-"), (10000 + F.col("case_id") % 900).cast("string")).alias("cve"))
 
 
+#: Cases that end in 9 have no bundle: nothing is excluded for their runs.
+NOVEL8_SQL = f"""{EX_SQL}, {INDEX_SQL}, idx0 AS (SELECT shingle, min_by(item_id, item_id * 1000000 + pos) AS source FROM ({_win('benchmark', 'item_id')}) GROUP BY shingle), {DOCW},
+  m AS (SELECT doc_id AS run_id, pos, source FROM w JOIN idx USING (shingle) WHERE lang <> 'de' AND doc_id % 10 <> 9 UNION ALL SELECT doc_id, pos, source FROM w JOIN idx0 USING (shingle) WHERE lang <> 'de' AND doc_id % 10 = 9),
+  cov AS (SELECT DISTINCT doc_id AS run_id, pos + unnest(range(0, 8)) AS token FROM w WHERE doc_id % 10 <> 9 AND shingle IN (SELECT shingle FROM ex)), need AS (SELECT run_id, pos, source, pos + unnest(range(0, 8)) AS token FROM m),
+  novel AS (SELECT need.run_id, pos, source FROM need LEFT JOIN cov ON need.run_id = cov.run_id AND need.token = cov.token GROUP BY need.run_id, pos, source HAVING count(*) - count(cov.token) >= 3),
+  isl AS (SELECT *, pos - row_number() OVER (PARTITION BY run_id ORDER BY pos) AS island FROM novel), spans AS (SELECT run_id, min(pos) AS first_pos, count(*) AS n_windows, min_by(source, pos) AS source FROM isl GROUP BY run_id, island)"""
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    return df.withColumn("stage", F.concat(F.lit("stage "), (F.col("run_id") % 3).cast("string")))
+
+
 def _hits(t) -> DataFrame:
-    ids = C.scan_sha(_strings(t), _sha_keys(t)).unionByName(C.scan_pr(_all_strings(t), _numbers(t))).unionByName(C.scan_cve(_all_strings(t), _cves(t)))
-    return ids.unionByName(C.span_hits(_strings(t), _spans(t)))
+    strings, whole = _staged(_strings(t)), _staged(_all_strings(t))
+    ids = [C.scan_sha(whole, _sha_keys(t)), C.scan_pr(whole, _numbers(t)), C.scan_cve(whole, _cves(t))]
+    bundled = D.matched(strings.where("case_id % 10 <> 9"), _discussion(t), _shown(t))
+    return C.all_hits(ids, bundled.unionByName(D.matched(strings.where("case_id % 10 = 9"), _discussion(t))))
 
 
-SCAN_SQL = f"{KEYS_SQL}, {TOK_SQL}, {REF_SQL}, {SPAN_SQL}, hits AS (SELECT run_id, 'sha' AS kind FROM (SELECT DISTINCT run_id, path, matched FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched))) UNION ALL SELECT run_id, 'pr' FROM prh UNION ALL SELECT run_id, 'cve' FROM cvh UNION ALL SELECT run_id, 'discussion' FROM spans), n AS (SELECT run_id, count(*) AS n FROM hits GROUP BY run_id), scans AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'G' END AS arm, CASE WHEN doc_id % 100 IN (SELECT case_id FROM keys) THEN CASE WHEN n > 0 THEN 'void' ELSE 'clean' END ELSE 'skipped' END AS state, coalesce(n, 0) AS n_hits FROM documents LEFT JOIN n ON doc_id = run_id)"
+SCAN_SQL = f"{KEYS_SQL}, {TOK_SQL}, {SHAH_SQL}, {REF_SQL}, {NOVEL8_SQL}, hits AS (SELECT run_id, 'sha' AS kind, FALSE AS unexcluded FROM shah UNION ALL SELECT run_id, 'pr', FALSE FROM prh UNION ALL SELECT run_id, 'cve', FALSE FROM cvh UNION ALL SELECT run_id, 'discussion', run_id % 10 = 9 FROM spans), n AS (SELECT run_id, count(*) AS n FROM hits GROUP BY run_id), scans AS (SELECT doc_id AS run_id, doc_id % 100 AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'G' END AS arm, CASE WHEN doc_id % 100 IN (SELECT case_id FROM keys) THEN CASE WHEN n > 0 THEN 'void' ELSE 'clean' END ELSE 'skipped' END AS state, coalesce(n, 0) AS n_hits FROM documents LEFT JOIN n ON doc_id = run_id)"
 
 
 def _scans(t) -> DataFrame:
     runs = t("documents").select(F.col("doc_id").alias("run_id"), (F.col("doc_id") % 100).alias("case_id"), F.when(F.col("doc_id") % 2 == 0, "T").otherwise("G").alias("arm"))
-    return C.contamination_scan(runs, _hits(t), _sha_keys(t))
+    return C.contamination_scan(runs, _hits(t), _sha_keys(t), runs.where("case_id % 10 <> 9"), _staged(_strings(t)).select("run_id", "stage"))
+
+
+@query("c8_hits", f"WITH {SCAN_SQL} SELECT run_id, kind, unexcluded, concat('stage ', CAST(run_id % 3 AS VARCHAR)) AS stage, count(*) AS n FROM hits GROUP BY run_id, kind, unexcluded")
+def _(t):
+    return _hits(t).groupBy("run_id", "kind", "unexcluded", "stage").agg(F.count("*").alias("n"))
 
 
-@query("c8_contamination_scan", f"WITH {SCAN_SQL} SELECT run_id, case_id, arm, state, n_hits, TRUE AS exclusion_applied FROM scans")
+@query("c8_contamination_scan", f"WITH {SCAN_SQL} SELECT run_id, case_id, arm, state, n_hits, case_id % 10 <> 9 AS exclusion_applied, 7 AS sha_min_prefix, 8 AS shingle_tokens, 3 AS min_novel_tokens, concat('stage ', CAST(run_id % 3 AS VARCHAR)) AS stages_scanned FROM scans")
 def _(t):
     return _scans(t)
 
@@ -333,7 +375,7 @@ def _preflight(t) -> DataFrame:
     return C.preflight_scan(inputs, _sha_keys(t), _numbers(t), _cves(t))
 
 
-PRE_SQL = f"{KEYS_SQL}, {TOK_SQL}, {REF_SQL}, pre AS (SELECT tok.case_id, 'sha' AS kind, path, matched, min_by(sha, ordinal) AS key_ref FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) GROUP BY ALL UNION ALL SELECT case_id, 'pr', path, matched, matched FROM prh UNION ALL SELECT case_id, 'cve', path, matched, key_ref FROM cvh)"
+PRE_SQL = f"{KEYS_SQL}, {TOK_SQL}, {SHAH_SQL}, {REF_SQL}, pre AS (SELECT case_id, 'sha' AS kind, path, matched, key_ref FROM shah UNION ALL SELECT case_id, 'pr', path, matched, key_ref FROM prh UNION ALL SELECT case_id, 'cve', path, matched, key_ref FROM cvh)"
 
 
 @query("c10_preflight_scan", f"WITH {PRE_SQL} SELECT case_id, kind, path, matched, key_ref FROM pre")
@@ -351,7 +393,7 @@ def _probe_hits(t) -> DataFrame:
     return C.probe_scan(answers, _sha_keys(t), _numbers(t), _cves(t))
 
 
-@query("c12_probe_scan", f"WITH {KEYS_SQL}, {TOK_SQL}, {REF_SQL} SELECT case_id, kind, count(*) AS n FROM (SELECT DISTINCT tok.case_id, 'sha' AS kind, matched FROM tok JOIN keys ON tok.case_id = keys.case_id AND starts_with(sha, lower(matched)) UNION ALL SELECT case_id, 'pr', matched FROM prh UNION ALL SELECT case_id, 'cve', matched FROM cvh) GROUP BY case_id, kind")
+@query("c12_probe_scan", f"WITH {KEYS_SQL}, {TOK_SQL}, {SHAH_SQL}, {REF_SQL} SELECT case_id, kind, count(*) AS n FROM (SELECT case_id, 'sha' AS kind, matched FROM shah UNION ALL SELECT case_id, 'pr', matched FROM prh UNION ALL SELECT case_id, 'cve', matched FROM cvh) GROUP BY case_id, kind")
 def _(t):
     return _probe_hits(t).groupBy("case_id", "kind").agg(F.count("*").alias("n"))
 
