@@ -17,28 +17,36 @@ _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]
 
 
-def _windows(tokens: list[str], width: int) -> list[dict]:
-    """h and g, 64 bits each, of every window: the tokens' 128-bit hashes, weighted by place."""
+def _rolled(tokens: list[str], width: int, seed: int) -> np.ndarray:
+    """A signed 64-bit hash of every window: the tokens' own hashes, weighted by place."""
     n = len(tokens) - width + 1
     if n < 1:
-        return []
-    full = [xxhash.xxh3_128_intdigest(t) for t in tokens]
-    halves = [np.array([x & 0xFFFFFFFFFFFFFFFF for x in full], _U), np.array([x >> 64 for x in full], _U)]
-    out = []
-    for half, odd in zip(halves, _ODD, strict=True):
-        h, weight = np.zeros(n, _U), _U(1)
-        for k in range(width):
-            weight = weight * odd
-            h += (half[k : k + n] ^ (half[k : k + n] >> _U(29))) * weight
-        out.append((h ^ (h >> _U(32))).view(np.int64).tolist())
-    return [{"h": a, "g": b} for a, b in zip(*out, strict=True)]
+        return np.empty(0, np.int64)
+    half = np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in tokens), _U, len(tokens))
+    half ^= half >> _U(29)
+    h, weight = np.zeros(n, _U), _U(1)
+    for k in range(width):
+        weight = weight * _ODD[seed]
+        h += half[k : k + n] * weight
+    return (h ^ (h >> _U(32))).view(np.int64)
 
 
 def window_hashes(text: Column, width: int = SHINGLE) -> Column:
-    """array<struct<h, g>>: 128 bits for each window of `width` tokens (as tokens() has them), in order;
-    empty for fewer tokens and null."""
+    """array<bigint>: 64 bits for each window of `width` tokens (as tokens() has them), in order; empty for
+    fewer tokens and null."""
 
     def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([_windows(_TOKEN.findall(t), width) if t else [] for t in texts])
+        return pd.Series([_rolled(_TOKEN.findall(t or ""), width, 0) for t in texts])
 
-    return F.pandas_udf(made, "array<struct<h: bigint, g: bigint>>")(F.lower(text))
+    return F.pandas_udf(made, "array<bigint>")(F.lower(text))
+
+
+def window_pairs(text: Column, width: int = SHINGLE) -> Column:
+    """array<struct<h, g>>: the same with 64 independent bits more."""
+
+    def made(texts: pd.Series) -> pd.DataFrame:
+        tokens = [_TOKEN.findall(t or "") for t in texts]
+        return pd.DataFrame({"h": [_rolled(t, width, 0) for t in tokens], "g": [_rolled(t, width, 1) for t in tokens]})
+
+    pair = F.pandas_udf(made, "struct<h: array<bigint>, g: array<bigint>>")(F.lower(text))
+    return F.transform(F.array(pair), lambda p: F.arrays_zip(p["h"].alias("h"), p["g"].alias("g")))[0]

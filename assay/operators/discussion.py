@@ -1,6 +1,6 @@
 """Phrases of a discussion in a run's strings, by hashes first (C4 to C7 in one pass).
 
-A window of eight tokens travels as 128 bits with its place. Strings send their windows once, to
+A window of eight tokens travels as 64 or 128 bits with its place. Strings send their windows once, to
 meet those of the discussion; only strings that meet one are looked at again: their windows and the
 discussion's are all that the texts shown to the reviewers are asked for, so what is excluded
 never stands as a table of windows. Matching windows are compared word by word in the strings'
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.rolling import window_hashes
+from ..functions.rolling import window_hashes, window_pairs
 from ..functions.scalars import SHINGLE
 from ..sources.shared import cut
 
@@ -67,19 +67,19 @@ def matched(strings: DataFrame, discussion: DataFrame, shown: DataFrame | None =
     case = ["case_id"] if by_case else []
     keys = ["run_id", "case_id", "path"] + (["stage"] if "stage" in strings.columns else [])
     src = strings.where(~F.endswith("path", F.lit(SKIP_SUFFIX))).select(*keys, "text")
-    said = discussion.select(*case, "source_pos", "source", window_hashes(F.col("body")).alias("hs"), S.tokens(F.col("body")).alias("toks"))
+    said = discussion.select(*case, "source_pos", "source", window_pairs(F.col("body")).alias("hs"), S.tokens(F.col("body")).alias("toks"))
     said = said.select(*case, "source_pos", "source", "toks", F.posexplode("hs").alias("pos", "x"))
     said = cut(said.select(*case, "source_pos", "source", "pos", "x.h", "x.g", F.array_join(F.slice("toks", F.col("pos") + 1, SHINGLE), " ").alias("shingle")))
-    windows = _exploded(src.select(*keys, window_hashes(F.col("text")).alias("hs")), *keys)
+    windows = src.select(*keys, F.explode(window_hashes(F.col("text"))).alias("h"))
     some = windows.join(said.select(*case, "h").distinct(), [*case, "h"], "left_semi").select(*keys).distinct()
-    some = cut(src.join(some, keys, "left_semi").select(*keys, S.tokens(F.col("text")).alias("toks"), window_hashes(F.col("text")).alias("hs")))
+    some = cut(src.join(some, keys, "left_semi").select(*keys, S.tokens(F.col("text")).alias("toks"), window_pairs(F.col("text")).alias("hs")))
     windows = _exploded(some, *keys)
 
     index, excluded = said, None
     if shown is not None or cited is not None:
         needed = windows.select("h").union(said.select("h")).distinct()
     if shown is not None:
-        rows = _exploded(shown.select(*case, window_hashes(F.col("text")).alias("hs")), *case)
+        rows = _exploded(shown.select(*case, window_pairs(F.col("text")).alias("hs")), *case)
         rows = cut(rows.join(needed, "h", "left_semi").select(*case, "h", "g").distinct())
         index = said.join(rows, [*case, "h", "g"], "left_anti")
         excluded = windows.join(rows, [*case, "h", "g"], "left_semi").select(*keys, "pos")
@@ -87,7 +87,7 @@ def matched(strings: DataFrame, discussion: DataFrame, shown: DataFrame | None =
     hits = windows.join(index, [*case, "h", "g"])
     if cited is not None and files is not None:
         paths = cited_paths(cited)
-        rows = files.join(paths, ["case_id", "path"], "left_semi").select("case_id", F.col("path"), window_hashes(F.col("text")).alias("hs"))
+        rows = files.join(paths, ["case_id", "path"], "left_semi").select("case_id", F.col("path"), window_pairs(F.col("text")).alias("hs"))
         rows = _exploded(rows, "case_id", "path").join(needed, "h", "left_semi").select("case_id", "path", "h", "g").distinct()
         own = cut(rows.join(paths, ["case_id", "path"]).select("run_id", "h", "g").distinct())
         hits = hits.join(own, ["run_id", "h", "g"], "left_anti")
