@@ -79,10 +79,15 @@ def cohort_fail_closed(runs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge_consistency(judged: DataFrame, verdicts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Judged pairs that have no verdict, are not RISKY, are not positive, or name another finding
-    than the primary. judged: case_id, arm, pos; verdicts: case_id, arm, verdict, primary_pos."""
+    """Judged pairs by another judge (judge_model, in_family, where they are given) than the first case's,
+    or that have no verdict, name another finding than the primary, are not RISKY or not positive; the first
+    rule that holds. judged: case_id, arm, pos; verdicts: case_id, arm, verdict, primary_pos."""
     out = judged.join(verdicts.select("case_id", "arm", "verdict", "primary_pos"), ["case_id", "arm"], "left").join(labels.select("case_id", "label"), "case_id", "left")
-    rule = F.when(F.col("verdict").isNull(), "no verdict").when(F.col("verdict") != "RISKY", "not risky").when(F.coalesce("label", F.lit("")) != "positive", "not positive").when(F.col("pos") != F.col("primary_pos"), "not the primary")
+    rule = F.when(F.col("verdict").isNull(), "no verdict").when(~F.col("pos").eqNullSafe(F.col("primary_pos")), "not the primary").when(F.col("verdict") != "RISKY", "not risky").when(F.coalesce("label", F.lit("")) != "positive", "not positive")
+    if "judge_model" in judged.columns:
+        judge = F.struct("judge_model", "in_family")
+        first = judged.agg(F.min_by(judge, F.struct("case_id", "arm"))).scalar()
+        rule = F.coalesce(F.when(~judge.eqNullSafe(first), "judges disagree"), rule)
     return out.withColumn("rule", rule).where("rule is not null").select("case_id", "arm", "pos", "rule")
 
 

@@ -71,15 +71,17 @@ def recall_by_class(labels: DataFrame, verdicts: DataFrame, arms: list[str]) ->
 
 
 def is_fallback() -> Column:
-    """Whether a pair was matched by its subsystem alone; where no flag says so, what it was matched on does."""
-    return F.coalesce("fallback_pair", F.col("match_key_used") == F.array(F.lit("subsystem")))
+    """Whether a pair was matched by its subsystem alone; where no flag says so, what it was matched on does (in
+    any case of letters); null where neither is recorded."""
+    alone = (F.size("match_key_used") == 1) & (F.lower(F.get("match_key_used", F.lit(0))) == "subsystem")
+    return F.coalesce("fallback_pair", F.when(F.size("match_key_used") > 0, alone))
 
 
 def with_strata(labels: DataFrame) -> DataFrame:
     """labels with a row for each of the five covariates they record (dim, bucket)."""
     f = F.when(is_fallback(), "fallback").when(~is_fallback(), "fully matched")
     c = F.when(F.col("fix_before_cutoff"), "before cutoff").when(~F.col("fix_before_cutoff"), "after cutoff")
-    return labels.withColumn("s", F.explode(strata(subsystem=F.col("subsystem"), admission_description=F.col("admission.description"), source=F.coalesce("source", "source_window"), fallback_pair=f, fix_before_cutoff=c))).select("*", "s.dim", "s.bucket").drop("s")
+    return labels.withColumn("s", F.explode(strata(subsystem=F.col("subsystem"), admission_description=F.col("admission.description"), source=F.coalesce(F.nullif("source", F.lit("")), "source_window"), fallback_pair=f, fix_before_cutoff=c))).select("*", "s.dim", "s.bucket").drop("s")
 
 
 def stratified(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -147,11 +149,22 @@ def comparisons(labels: DataFrame, verdicts: DataFrame, pairs: list[tuple[str, s
     return out
 
 
+def _unparseable(verified: DataFrame) -> Column:
+    return F.coalesce("unparseable_first_response", F.lit(False)) if "unparseable_first_response" in verified.columns else F.lit(False)
+
+
+def verified_pairs(verified: DataFrame) -> DataFrame:
+    """arm, case_id, confirmed, covered: a pair is covered if none of its verifications failed, and confirmed
+    if one that could be read says so, in capitals or not."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    says = ~failed & ~_unparseable(verified) & (F.upper(F.coalesce("disposition", F.lit(""))) == "CONFIRMED")
+    return verified.groupBy("arm", "case_id").agg(F.max(says).alias("confirmed"), (~F.max(failed)).alias("covered"))
+
+
 def apply_verification(verdicts: DataFrame, verified: DataFrame) -> DataFrame:
     """RISKY is withdrawn where a pair was verified without an error and nothing was confirmed.
-    verified: arm, case_id, disposition, error; a pair with any error is not covered."""
-    pair = verified.groupBy("arm", "case_id").agg(F.max(F.col("disposition") == "CONFIRMED").alias("confirmed"), (F.max(F.coalesce("error", F.lit(""))) == "").alias("covered"))
-    out = verdicts.join(pair, ["arm", "case_id"], "left")
+    verified: arm, case_id, disposition, error and, where there is one, unparseable_first_response."""
+    out = verdicts.join(verified_pairs(verified), ["arm", "case_id"], "left")
     confirmed, covered = F.coalesce("confirmed", F.lit(False)), F.coalesce("covered", F.lit(False))
     return out.withColumn("risky", F.col("risky") & ~(covered & ~confirmed)).withColumn("arm", F.concat("arm", F.lit("'"))).select("arm", "case_id", "risky")
 
@@ -159,14 +172,13 @@ def apply_verification(verdicts: DataFrame, verified: DataFrame) -> DataFrame:
 def verify_summary(verified: DataFrame) -> DataFrame:
     """Verifications by disposition, in capitals (ERROR where one failed; INCONCLUSIVE where there is none or
     the first response could not be read)."""
-    d = F.when(F.coalesce("error", F.lit("")) != "", "ERROR").when(F.coalesce("unparseable_first_response", F.lit(False)), "INCONCLUSIVE").otherwise(F.upper(F.coalesce("disposition", F.lit("INCONCLUSIVE"))))
+    d = F.when(F.coalesce("error", F.lit("")) != "", "ERROR").when(_unparseable(verified), "INCONCLUSIVE").otherwise(F.upper(F.coalesce("disposition", F.lit("INCONCLUSIVE"))))
     return verified.groupBy("arm", d.alias("disposition")).agg(F.count("*").alias("n"))
 
 
 def verify_pairs(verified: DataFrame) -> DataFrame:
     """Pairs covered and pairs withdrawn (covered, nothing confirmed) per arm."""
-    pair = verified.groupBy("arm", "case_id").agg(F.max(F.col("disposition") == "CONFIRMED").alias("confirmed"), (F.max(F.coalesce("error", F.lit(""))) == "").alias("covered"))
-    return pair.groupBy("arm").agg(count_if(F.col("covered")).alias("covered"), count_if(F.col("covered") & ~F.coalesce("confirmed", F.lit(False))).alias("withdrawn"))
+    return verified_pairs(verified).groupBy("arm").agg(count_if(F.col("covered")).alias("covered"), count_if(F.col("covered") & ~F.col("confirmed")).alias("withdrawn"))
 
 
 def cohort_header(labels: DataFrame, void_cases: DataFrame, unresolved: DataFrame) -> DataFrame:

@@ -12,14 +12,17 @@ from ..operators import evidence as O
 from ..operators.scoring import case_verdict
 from .common import query
 from .text import OPAQUE
+from .verdicts import VERDICT
 
 TIERS = "(VALUES ('strong', 3), ('strong+medium', 2), ('all', 1)) x(threshold, least)"
 
 
-@query("o1_path_evidence", "SELECT case_id, path, max(tier) AS tier, string_agg(DISTINCT signal_type, ',' ORDER BY signal_type) AS signal_types, coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (tier = 2), '') AS symbols, CASE WHEN case_id % 2 = 0 THEN max(overlap) END AS overlap FROM b_signals GROUP BY case_id, path UNION ALL SELECT case_id, 'only/overlap.c', 0, NULL, NULL, 1 FROM b_signals WHERE case_id % 10 = 0")
+@query("o1_path_evidence", "SELECT case_id, path, max(tier) AS tier, string_agg(DISTINCT signal_type, ',' ORDER BY signal_type) AS signal_types, coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (tier = 2), '') AS symbols, CASE WHEN case_id % 2 = 0 THEN max(overlap) % 10 END AS overlap FROM b_signals GROUP BY case_id, path UNION ALL SELECT case_id, 'only/overlap.c', 0, NULL, NULL, 1 FROM b_signals WHERE case_id % 10 = 0")
 def _(t):
     s = t("b_signals")
-    o = s.where("case_id % 2 = 0").select("case_id", "path", "overlap").unionByName(s.where("case_id % 10 = 0").select("case_id", F.lit("only/overlap.c").alias("path"), F.lit(1).alias("overlap")))
+    twice = F.inline(F.array(F.struct(F.lit(0).alias("pos"), "overlap"), F.struct(F.lit(1).alias("pos"), (F.col("overlap") % 10).alias("overlap"))))
+    o = s.where("case_id % 2 = 0").select("case_id", "path", twice)  # the later of two overlaps counts, not the greater
+    o = o.unionByName(s.where("case_id % 10 = 0").select("case_id", F.lit("only/overlap.c").alias("path"), F.lit(7).alias("pos"), F.lit(1).alias("overlap")))
     out = O.path_evidence(s, o)
     return out.select("case_id", "path", "tier", F.array_join("signal_types", ",").alias("signal_types"), F.array_join("symbols", ",").alias("symbols"), "overlap")
 
@@ -113,10 +116,10 @@ def _(t):
     return t("b_findings").groupBy("severity").agg(F.round(J.locality_ratio(n("MECHANISM"), n("LOCALITY_ONLY")), 6).alias("ratio"))
 
 
-@query("j7_eligible_primaries", "WITH cand AS (SELECT f.*, r.case_id, r.arm, severity <> 'low' AND (arm = 'T' OR confidence >= 0.6) AS counts FROM b_findings f JOIN b_runs r ON f.run_id = r.run_id WHERE arm = 'G' OR b_disp IN ('CONFIRMED', 'NARROWED')), a AS (SELECT run_id, case_id, arm, bool_or(counts) AS risky, min(pos) AS pos, min_by(file, pos) AS file FROM cand GROUP BY run_id, case_id, arm) SELECT a.case_id, arm, run_id, pos AS primary_pos FROM a JOIN b_labels l ON a.case_id = l.case_id WHERE risky AND label = 'positive' AND file <> 'src/p7.c'")
+@query("j7_eligible_primaries", f"WITH {VERDICT} SELECT v.case_id, arm, run_id, primary_pos FROM v JOIN b_labels l ON v.case_id = l.case_id WHERE risky AND label = 'positive' AND (arm = 'T' OR primary_file <> 'src/p7.c')")
 def _(t):
-    v = case_verdict(t("b_runs"), t("b_findings").drop("partkey", "suppkey"))
-    v = v.withColumn("mechanism", F.when(F.col("primary_file") != "src/p7.c", F.concat(F.lit("in "), "primary_file")).otherwise("  "))
+    blank = F.when(F.col("file") != "src/p7.c", F.concat(F.lit("in "), "file")).otherwise("  ")
+    v = case_verdict(t("b_runs"), t("b_findings").drop("partkey", "suppkey").withColumn("mechanism", blank), t("b_assessments")).withColumnRenamed("primary_mechanism", "mechanism")
     return J.eligible_primaries(v, t("b_labels")).select("case_id", "arm", "run_id", "primary_pos")
 
 

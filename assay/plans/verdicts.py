@@ -12,9 +12,12 @@ from ..operators import scoring as E
 from ..sources import readers as IO
 from .common import query
 
-CAND = "cand AS (SELECT f.*, r.case_id, r.arm, severity <> 'low' AND (arm = 'T' OR confidence >= 0.6) AS counts FROM b_findings f JOIN b_runs r ON f.run_id = r.run_id WHERE arm = 'G' OR b_disp IN ('CONFIRMED', 'NARROWED'))"
+#: Candidates by rank; runs with an assessment of no finding are not scored.
+CAND = """allcand AS (SELECT f.run_id, f.pos AS rank, f.pos, severity, confidence, file, CAST(NULL AS VARCHAR) AS mechanism, rec_path, r.case_id, r.arm, severity <> 'low' AND confidence >= 0.6 AS counts, FALSE AS orphan FROM b_findings f JOIN b_runs r ON f.run_id = r.run_id WHERE arm = 'G'
+  UNION ALL SELECT a.run_id, a.pos, f.pos, severity, confidence, file, a.mechanism, a.rec_path, r.case_id, r.arm, f.pos IS NOT NULL AND severity <> 'low', f.pos IS NULL FROM b_assessments a JOIN b_runs r ON a.run_id = r.run_id LEFT JOIN b_findings f ON f.run_id = a.run_id AND f.pos = a.finding_id WHERE arm = 'T' AND disposition IN ('CONFIRMED', 'NARROWED')),
+  cand AS (SELECT * FROM allcand WHERE run_id NOT IN (SELECT run_id FROM allcand WHERE orphan)), scored AS (SELECT * FROM b_runs WHERE run_id NOT IN (SELECT run_id FROM allcand WHERE orphan))"""
 WEIGHT = "CASE severity WHEN 'low' THEN 0.25e0 WHEN 'medium' THEN 0.5e0 WHEN 'high' THEN 0.75e0 ELSE 1e0 END * confidence"
-VERDICT = f"{CAND}, agg AS (SELECT run_id, bool_or(counts) AS risky, min(pos) AS primary_pos, min(pos) FILTER (counts) AS counted_pos, count(*) FILTER (counts) AS n_qualifying, count(*) AS n_candidates, max({WEIGHT}) AS score, min_by(file, pos) AS primary_file FROM cand GROUP BY run_id), v AS (SELECT r.run_id, r.case_id, r.arm, coalesce(risky, FALSE) AS risky, primary_pos, counted_pos, n_qualifying, n_candidates, score, primary_file FROM b_runs r LEFT JOIN agg ON r.run_id = agg.run_id)"
+VERDICT = f"{CAND}, agg AS (SELECT run_id, bool_or(counts) AS risky, min(rank) AS primary_rank, min(rank) FILTER (counts) AS counted_rank, min_by(pos, rank) AS primary_pos, min_by(pos, rank) FILTER (counts) AS counted_pos, count(*) FILTER (counts) AS n_qualifying, count(*) AS n_candidates, max({WEIGHT}) AS score, min_by(file, rank) AS primary_file, arg_min_null(mechanism, rank) AS primary_mechanism FROM cand GROUP BY run_id), v AS (SELECT r.run_id, r.case_id, r.arm, coalesce(risky, FALSE) AS risky, primary_rank, counted_rank, primary_pos, counted_pos, n_qualifying, n_candidates, score, primary_file, primary_mechanism FROM scored r LEFT JOIN agg ON r.run_id = agg.run_id)"
 
 
 def _f(t) -> DataFrame:
@@ -27,7 +30,7 @@ def _labels(t) -> DataFrame:
 
 
 def _verdict(t) -> DataFrame:
-    return E.case_verdict(t("b_runs"), _f(t))
+    return E.case_verdict(t("b_runs"), _f(t), t("b_assessments"))
 
 
 def _risky(t) -> DataFrame:
@@ -48,30 +51,35 @@ def _(t):
     return E.finding_status(E.attach_dispositions(ids, disp("b_disp"), disp("c_disp")), new)
 
 
-@query("e3_case_candidates", f"WITH {CAND} SELECT run_id, pos, case_id, arm, counts FROM cand")
+@query("e3_case_candidates", f"WITH {CAND} SELECT run_id, rank, pos, case_id, arm, mechanism, rec_path, counts, orphan FROM allcand")
 def _(t):
-    return E.case_candidates(t("b_runs"), _f(t)).select("run_id", "pos", "case_id", "arm", "counts")
+    return E.case_candidates(t("b_runs"), _f(t), t("b_assessments")).select("run_id", "rank", "pos", "case_id", "arm", "mechanism", F.get("paths", F.lit(0)).alias("rec_path"), "counts", "orphan")
 
 
-@query("e4_case_verdict", f"WITH {VERDICT} SELECT run_id, case_id, arm, CASE WHEN risky THEN 'RISKY' ELSE 'CLEAN' END AS verdict, primary_pos, primary_file, CASE WHEN counted_pos <> primary_pos THEN counted_pos END AS deciding_pos, coalesce(n_qualifying, 0) AS n_qualifying, CASE WHEN arm = 'T' THEN coalesce(n_candidates, 0) END AS survivors FROM v")
+@query("e3_orphan_assessments", f"WITH {CAND} SELECT run_id, 999 AS finding_id FROM allcand WHERE orphan")
 def _(t):
-    return _verdict(t).select("run_id", "case_id", "arm", "verdict", "primary_pos", "primary_file", "deciding_pos", "n_qualifying", "survivors")
+    return E.orphan_assessments(E.case_candidates(t("b_runs"), _f(t), t("b_assessments")))
 
 
-@query("e5_recommended_paths", f"WITH {VERDICT}, p AS (SELECT cand.run_id, rec_path FROM cand JOIN v ON cand.run_id = v.run_id WHERE counts OR pos = primary_pos) SELECT b_runs.run_id, coalesce(string_agg(DISTINCT rec_path, ',' ORDER BY rec_path), '') AS paths FROM b_runs LEFT JOIN p ON b_runs.run_id = p.run_id GROUP BY b_runs.run_id")
+@query("e4_case_verdict", f"WITH {VERDICT} SELECT run_id, case_id, arm, CASE WHEN risky THEN 'RISKY' ELSE 'CLEAN' END AS verdict, primary_pos, primary_file, primary_mechanism, CASE WHEN counted_rank <> primary_rank THEN counted_pos END AS deciding_pos, coalesce(n_qualifying, 0) AS n_qualifying, coalesce(n_qualifying, 0) AS findings_at_or_above, CASE WHEN arm = 'T' THEN coalesce(n_candidates, 0) END AS survivors FROM v")
+def _(t):
+    return _verdict(t).select("run_id", "case_id", "arm", "verdict", "primary_pos", "primary_file", "primary_mechanism", "deciding_pos", "n_qualifying", "findings_at_or_above", "survivors")
+
+
+@query("e5_recommended_paths", f"WITH {VERDICT}, p AS (SELECT cand.run_id, rec_path FROM cand JOIN v ON cand.run_id = v.run_id WHERE counts OR rank = primary_rank) SELECT r.run_id, coalesce(string_agg(DISTINCT rec_path, ',' ORDER BY rec_path), '') AS paths FROM scored r LEFT JOIN p ON r.run_id = p.run_id GROUP BY r.run_id")
 def _(t):
     return _verdict(t).select("run_id", F.array_join("recommended_paths", ",").alias("paths"))
 
 
-@query("e6_risk_scores", f"WITH {VERDICT}, a AS (SELECT run_id, max({WEIGHT}) AS s, count(*) AS n, count(*) FILTER (severity <> 'low') AS m FROM b_findings GROUP BY run_id) SELECT v.run_id, coalesce(score, 0) AS risk_score, coalesce(s, 0) AS risk_score_all, coalesce(n, 0) AS findings_discovered, coalesce(m, 0) AS findings_at_or_above FROM v LEFT JOIN a ON v.run_id = a.run_id")
+@query("e6_risk_scores", f"WITH {VERDICT}, a AS (SELECT run_id, max({WEIGHT}) AS s, count(*) AS n FROM b_findings GROUP BY run_id) SELECT v.run_id, coalesce(score, 0) AS risk_score, coalesce(s, 0) AS risk_score_all, coalesce(n, 0) AS findings_discovered, coalesce(n_qualifying, 0) AS findings_at_or_above FROM v LEFT JOIN a ON v.run_id = a.run_id")
 def _(t):
     return _verdict(t).select("run_id", "risk_score", "risk_score_all", "findings_discovered", "findings_at_or_above")
 
 
-@query("e7_verification_units", f"WITH {CAND} SELECT case_id, arm, run_id, pos, severity, file FROM cand WHERE counts AND run_id % 17 <> 0")
+@query("e7_verification_units", f"WITH {CAND} SELECT case_id, arm, run_id, rank, pos, severity, file FROM cand WHERE counts AND run_id % 17 <> 0")
 def _(t):
     void = t("b_runs").where("run_id % 17 = 0").select("run_id")
-    return E.verification_units(t("b_runs"), _f(t), void).select("case_id", "arm", "run_id", "pos", "severity", "file")
+    return E.verification_units(t("b_runs"), _f(t), void, t("b_assessments")).select("case_id", "arm", "run_id", "rank", "pos", "severity", "file")
 
 
 # --- cohort -------------------------------------------------------------------------------
@@ -105,7 +113,7 @@ def _(t):
     return H.recall_by_class(t("b_labels"), _risky(t), ["T", "G"])
 
 
-STRATA = "s AS (SELECT case_id, label, 'subsystem' AS dim, subsystem AS bucket FROM b_labels WHERE coalesce(subsystem, '') <> '' UNION ALL SELECT case_id, label, 'admission_description', admission_description FROM b_labels WHERE admission_description IS NOT NULL UNION ALL SELECT case_id, label, 'source', coalesce(source, source_window) FROM b_labels WHERE coalesce(source, source_window) IS NOT NULL UNION ALL SELECT case_id, label, 'fallback_pair', CASE WHEN fb THEN 'fallback' ELSE 'fully matched' END FROM (SELECT *, coalesce(fallback_pair, match_key_used = ['subsystem']) AS fb FROM b_labels) WHERE fb IS NOT NULL UNION ALL SELECT case_id, label, 'fix_before_cutoff', CASE WHEN fix_before_cutoff THEN 'before cutoff' ELSE 'after cutoff' END FROM b_labels WHERE fix_before_cutoff IS NOT NULL)"
+STRATA = "s AS (SELECT case_id, label, 'subsystem' AS dim, subsystem AS bucket FROM b_labels WHERE coalesce(subsystem, '') <> '' UNION ALL SELECT case_id, label, 'admission_description', admission_description FROM b_labels WHERE admission_description IS NOT NULL UNION ALL SELECT case_id, label, 'source', coalesce(nullif(source, ''), source_window) FROM b_labels WHERE coalesce(nullif(source, ''), source_window) IS NOT NULL UNION ALL SELECT case_id, label, 'fallback_pair', CASE WHEN fb THEN 'fallback' ELSE 'fully matched' END FROM (SELECT *, CASE WHEN fallback_pair IS NOT NULL THEN fallback_pair WHEN len(match_key_used) > 0 THEN len(match_key_used) = 1 AND lower(match_key_used[1]) = 'subsystem' END AS fb FROM b_labels) WHERE fb IS NOT NULL UNION ALL SELECT case_id, label, 'fix_before_cutoff', CASE WHEN fix_before_cutoff THEN 'before cutoff' ELSE 'after cutoff' END FROM b_labels WHERE fix_before_cutoff IS NOT NULL)"
 
 
 @query("h6_strata", f"WITH {VERDICT}, {STRATA}, c AS (SELECT arm, dim, bucket, count(*) AS n_cases, count(*) FILTER (label = 'positive' AND risky) AS tp, count(*) FILTER (label = 'negative' AND risky) AS fp, count(*) FILTER (label = 'positive' AND NOT risky) AS fn, count(*) FILTER (label = 'negative' AND NOT risky) AS tn FROM v JOIN s ON v.case_id = s.case_id GROUP BY arm, dim, bucket) SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c")
@@ -113,9 +121,9 @@ def _(t):
     return H.stratified(_labels(t), _risky(t)).drop("precision_absent", "recall_absent")
 
 
-@query("h7_hit_rate", f"WITH {VERDICT}, rec AS (SELECT DISTINCT arm, case_id, rec_path FROM cand WHERE counts), tp AS (SELECT v.arm, v.case_id FROM v JOIN b_labels l ON v.case_id = l.case_id WHERE risky AND label = 'positive'), x AS (SELECT tp.arm, tp.case_id, path IS NOT NULL AS has, EXISTS (SELECT 1 FROM rec WHERE rec.arm = tp.arm AND rec.case_id = tp.case_id AND (rec_path = path OR starts_with(path, rec_path || '/'))) AS hit FROM tp LEFT JOIN b_fixing_paths p ON tp.case_id = p.case_id) SELECT arm, count(*) FILTER (has) AS with_paths, count(*) FILTER (NOT has) AS without_paths, count(*) FILTER (has AND hit) AS hits, count(*) FILTER (has AND hit) / nullif(count(*) FILTER (has), 0) AS hit_rate FROM x GROUP BY arm")
+@query("h7_hit_rate", f"WITH {VERDICT}, rec AS (SELECT DISTINCT cand.arm, cand.case_id, rec_path FROM cand JOIN v ON v.run_id = cand.run_id WHERE counts OR rank = primary_rank), tp AS (SELECT v.arm, v.case_id FROM v JOIN b_labels l ON v.case_id = l.case_id WHERE risky AND label = 'positive'), x AS (SELECT tp.arm, tp.case_id, path IS NOT NULL AS has, EXISTS (SELECT 1 FROM rec WHERE rec.arm = tp.arm AND rec.case_id = tp.case_id AND (rec_path = path OR starts_with(path, rec_path || '/'))) AS hit FROM tp LEFT JOIN b_fixing_paths p ON tp.case_id = p.case_id) SELECT arm, count(*) FILTER (has) AS with_paths, count(*) FILTER (NOT has) AS without_paths, count(*) FILTER (has AND hit) AS hits, count(*) FILTER (has AND hit) / nullif(count(*) FILTER (has), 0) AS hit_rate FROM x GROUP BY arm")
 def _(t):
-    rec = E.case_candidates(t("b_runs"), _f(t)).where("counts").select("arm", "case_id", "rec_path")
+    rec = _verdict(t).select("arm", "case_id", F.explode("recommended_paths").alias("rec_path"))
     return H.hit_rate(t("b_labels"), _risky(t), rec, t("b_fixing_paths"))
 
 
@@ -127,7 +135,7 @@ def _(t):
     return H.vs_chance(H.confusion(t("b_labels"), _risky(t))).select("arm", "tp", "fp", "fn", "tn", F.round("p", 7).alias("p"))
 
 
-PAIR = f"{VERDICT}, j AS (SELECT label = 'positive' AS p, a.risky AS a, b.risky AS b, coalesce(fallback_pair, match_key_used = ['subsystem'], FALSE) AS fallback FROM b_labels l JOIN v a ON a.case_id = l.case_id AND a.arm = 'T' JOIN v b ON b.case_id = l.case_id AND b.arm = 'G')"
+PAIR = f"{VERDICT}, j AS (SELECT label = 'positive' AS p, a.risky AS a, b.risky AS b, coalesce(CASE WHEN fallback_pair IS NOT NULL THEN fallback_pair WHEN len(match_key_used) > 0 THEN len(match_key_used) = 1 AND lower(match_key_used[1]) = 'subsystem' END, FALSE) AS fallback FROM b_labels l JOIN v a ON a.case_id = l.case_id AND a.arm = 'T' JOIN v b ON b.case_id = l.case_id AND b.arm = 'G')"
 PAIR_COUNTS = "count(*) AS common, count(*) FILTER (p) AS positives, count(*) FILTER (p AND a AND b) AS b_pos, count(*) FILTER (NOT p AND a AND b) AS b_neg, count(*) FILTER (p AND a AND NOT b) AS t_pos, count(*) FILTER (NOT p AND a AND NOT b) AS t_neg, count(*) FILTER (p AND NOT a AND b) AS u_pos, count(*) FILTER (NOT p AND NOT a AND b) AS u_neg"
 
 
@@ -153,24 +161,24 @@ def _(t):
     return H.comparisons(t("b_labels"), _risky(t), [("T", "G")])
 
 
-VERIFY = f"{CAND}, ver AS (SELECT arm, case_id, CASE suppkey % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'INCONCLUSIVE' END AS disposition, CASE WHEN partkey % 29 = 0 THEN 'timed out' ELSE '' END AS error FROM cand WHERE counts), pair AS (SELECT arm, case_id, coalesce(bool_or(disposition = 'CONFIRMED'), FALSE) AS confirmed, bool_and(error = '') AS covered FROM ver GROUP BY arm, case_id)"
+VERIFY = f"""{CAND}, ver AS (SELECT arm, case_id, CASE (run_id + rank) % 3 WHEN 0 THEN CASE WHEN rank % 2 = 1 THEN 'confirmed' ELSE 'CONFIRMED' END WHEN 1 THEN 'Inconclusive' END AS disposition, (run_id + rank) % 6 = 0 AS unparseable, CASE WHEN (run_id + rank) % 29 = 0 THEN 'timed out' ELSE '' END AS error FROM cand WHERE counts),
+  pair AS (SELECT arm, case_id, coalesce(bool_or(upper(disposition) = 'CONFIRMED' AND NOT unparseable AND error = ''), FALSE) AS confirmed, bool_and(error = '') AS covered FROM ver GROUP BY arm, case_id)"""
 
 
 def _verified(t) -> DataFrame:
-    c = E.case_candidates(t("b_runs"), t("b_findings")).where("counts")
-    d = F.when(F.col("suppkey") % 3 == 0, "CONFIRMED").when(F.col("suppkey") % 3 == 1, "INCONCLUSIVE")
-    return c.select("arm", "case_id", d.alias("disposition"), F.when(F.col("partkey") % 29 == 0, "timed out").otherwise("").alias("error"))
+    c = E.verification_units(t("b_runs"), _f(t), None, t("b_assessments")).withColumn("k", F.col("run_id") + F.col("rank"))
+    d = F.when(F.col("k") % 3 == 0, F.when(F.col("rank") % 2 == 1, "confirmed").otherwise("CONFIRMED")).when(F.col("k") % 3 == 1, "Inconclusive")
+    return c.select("arm", "case_id", d.alias("disposition"), (F.col("k") % 6 == 0).alias("unparseable_first_response"), F.when(F.col("k") % 29 == 0, "timed out").otherwise("").alias("error"))
 
 
-@query("h12_apply_verification", f"WITH {VERIFY}, r AS (SELECT r.arm, r.case_id, coalesce(bool_or(counts), FALSE) AS risky FROM b_runs r LEFT JOIN cand ON r.run_id = cand.run_id GROUP BY r.arm, r.case_id) SELECT concat(r.arm, '''') AS arm, r.case_id, risky AND NOT (coalesce(covered, FALSE) AND NOT coalesce(confirmed, FALSE)) AS risky FROM r LEFT JOIN pair ON r.arm = pair.arm AND r.case_id = pair.case_id")
+@query("h12_apply_verification", f"WITH {VERIFY}, r AS (SELECT r.arm, r.case_id, coalesce(bool_or(counts), FALSE) AS risky FROM scored r LEFT JOIN cand ON r.run_id = cand.run_id GROUP BY r.arm, r.case_id) SELECT concat(r.arm, '''') AS arm, r.case_id, risky AND NOT (coalesce(covered, FALSE) AND NOT coalesce(confirmed, FALSE)) AS risky FROM r LEFT JOIN pair ON r.arm = pair.arm AND r.case_id = pair.case_id")
 def _(t):
     return H.apply_verification(_risky(t), _verified(t))
 
 
-@query("h13_verify_summary", f"WITH {VERIFY} SELECT arm, CASE WHEN error <> '' THEN 'ERROR' WHEN case_id % 6 = 1 THEN 'INCONCLUSIVE' ELSE upper(coalesce(disposition, 'INCONCLUSIVE')) END AS disposition, count(*) AS n FROM ver GROUP BY 1, 2")
+@query("h13_verify_summary", f"WITH {VERIFY} SELECT arm, CASE WHEN error <> '' THEN 'ERROR' WHEN unparseable THEN 'INCONCLUSIVE' ELSE upper(coalesce(disposition, 'INCONCLUSIVE')) END AS disposition, count(*) AS n FROM ver GROUP BY 1, 2")
 def _(t):
-    odd = _verified(t).withColumn("unparseable_first_response", F.col("case_id") % 6 == 1)
-    return H.verify_summary(odd.withColumn("disposition", F.when(F.col("case_id") % 2 == 0, F.lower("disposition")).otherwise(F.col("disposition"))))
+    return H.verify_summary(_verified(t))
 
 
 @query("h13_verify_pairs", f"WITH {VERIFY} SELECT arm, count(*) FILTER (covered) AS covered, count(*) FILTER (covered AND NOT confirmed) AS withdrawn FROM pair GROUP BY arm")
@@ -344,9 +352,11 @@ def _(t):
     return R.cohort_fail_closed(t("b_all_runs"), t("b_labels").where("case_id % 21 <> 0"))
 
 
-@query("r8_judge_consistency", f"WITH {VERDICT}, j AS (SELECT case_id, arm, 0 AS pos FROM (SELECT DISTINCT case_id, arm FROM b_all_runs)) SELECT case_id, arm, pos, rule FROM (SELECT j.*, CASE WHEN v.case_id IS NULL THEN 'no verdict' WHEN NOT risky THEN 'not risky' WHEN coalesce(label, '') <> 'positive' THEN 'not positive' WHEN pos <> primary_pos THEN 'not the primary' END AS rule FROM j LEFT JOIN v ON j.case_id = v.case_id AND j.arm = v.arm LEFT JOIN b_labels l ON j.case_id = l.case_id) WHERE rule IS NOT NULL")
+@query("r8_judge_consistency", f"""WITH {VERDICT}, j AS (SELECT case_id, arm, case_id % 3 AS pos, CASE WHEN case_id % 31 = 0 THEN 'b' ELSE 'a' END AS model, case_id % 37 = 0 AS family FROM (SELECT DISTINCT case_id, arm FROM b_all_runs)), one AS (SELECT model, family FROM j ORDER BY case_id, arm LIMIT 1)
+  SELECT case_id, arm, pos, rule FROM (SELECT j.*, CASE WHEN j.model <> one.model OR j.family <> one.family THEN 'judges disagree' WHEN v.case_id IS NULL THEN 'no verdict' WHEN pos IS DISTINCT FROM primary_pos THEN 'not the primary' WHEN NOT risky THEN 'not risky' WHEN coalesce(label, '') <> 'positive' THEN 'not positive' END AS rule FROM j JOIN one ON TRUE LEFT JOIN v ON j.case_id = v.case_id AND j.arm = v.arm LEFT JOIN b_labels l ON j.case_id = l.case_id) WHERE rule IS NOT NULL""")
 def _(t):
-    judged = t("b_all_runs").select("case_id", "arm").distinct().withColumn("pos", F.lit(0))
+    c = F.col("case_id")
+    judged = t("b_all_runs").select("case_id", "arm").distinct().withColumns({"pos": c % 3, "judge_model": F.when(c % 31 == 0, "b").otherwise("a"), "in_family": c % 37 == 0})
     return R.judge_consistency(judged, _verdict(t), t("b_labels"))
 
 

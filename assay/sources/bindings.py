@@ -16,9 +16,9 @@ BINDINGS = {
       c_mktsegment AS subsystem,
       CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_acctbal > 5000 END AS fix_before_cutoff,
       CASE WHEN c_custkey % 3 <> 0 THEN CAST(floor(c_custkey/2) AS BIGINT) % 5 = 0 END AS fallback_pair,
-      CASE c_custkey % 12 WHEN 0 THEN split('subsystem', ',') WHEN 3 THEN split('subsystem,size', ',') WHEN 6 THEN split('size', ',') END AS match_key_used,
+      CASE c_custkey % 12 WHEN 0 THEN split('subsystem', ',') WHEN 3 THEN split('subsystem,size', ',') WHEN 6 THEN split('size', ',') WHEN 9 THEN CASE WHEN c_custkey % 24 = 9 THEN split('Subsystem', ',') ELSE regexp_extract_all('a', 'b', 0) END END AS match_key_used,
       CASE WHEN c_nationkey % 4 <> 0 THEN concat('described ', CAST(c_nationkey % 3 AS VARCHAR)) END AS admission_description,
-      CASE WHEN c_custkey % 4 = 0 THEN concat('window ', CAST(c_custkey % 3 AS VARCHAR)) END AS source,
+      CASE WHEN c_custkey % 8 = 0 THEN '' WHEN c_custkey % 4 = 0 THEN concat('window ', CAST(c_custkey % 3 AS VARCHAR)) END AS source,
       CASE WHEN c_custkey % 2 = 0 THEN 'window 9' END AS source_window FROM customer""",
     "b_all_runs": """SELECT o_orderkey AS run_id, o_custkey AS case_id,
       CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'G' END AS arm,
@@ -34,6 +34,11 @@ BINDINGS = {
       CASE l_suppkey % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'NARROWED' WHEN 2 THEN 'REJECTED' END AS c_disp,
       CASE (l_partkey + l_suppkey) % 4 WHEN 0 THEN 'MECHANISM' WHEN 1 THEN 'LOCALITY_ONLY' WHEN 2 THEN 'NONE' ELSE 'TOO_VAGUE' END AS agreement,
       concat('x', CAST(l_suppkey % 3 AS VARCHAR)) AS fix_id, l_partkey AS partkey, l_suppkey AS suppkey FROM lineitem""",
+    # stage 2 ranks anew, states its own mechanism and paths, may assess twice, or what is no finding
+    "b_assessments": """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY suppkey % 7, pos DESC) - 1 AS pos, pos AS finding_id, b_disp AS disposition,
+      concat('narrower: ', file) AS mechanism, CASE WHEN suppkey % 4 <> 0 THEN concat('tests/d', CAST((partkey + 3) % 40 AS VARCHAR)) END AS rec_path FROM b_findings WHERE b_disp IS NOT NULL
+      UNION ALL SELECT run_id, 50, 0, 'NARROWED', 'again', 'tests/again' FROM b_all_runs WHERE run_id % 19 = 0 AND run_id IN (SELECT run_id FROM b_findings)
+      UNION ALL SELECT run_id, 60, 999, CASE WHEN run_id % 2 = 0 THEN 'CONFIRMED' ELSE 'REJECTED' END, 'phantom', NULL FROM b_all_runs WHERE run_id % 46 = 0 OR run_id % 58 = 1""",
     "b_history": """SELECT c_custkey AS case_id, CASE WHEN c_nationkey % 7 = 0 THEN NULL ELSE c_acctbal < 3000 END AS risky,
       CASE WHEN c_nationkey % 7 = 0 THEN 'base not resolved' END AS reason FROM customer WHERE c_custkey % 11 <> 0""",
     "b_fixing_paths": "SELECT c_custkey AS case_id, concat('tests/d', CAST(c_custkey % 40 AS VARCHAR), '/t', CAST(c_custkey % 3 AS VARCHAR), '.py') AS path FROM customer WHERE c_custkey % 9 <> 0",
