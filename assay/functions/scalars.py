@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+# The shapes of a commit and of a CVE id.
 SHA = f"(?i){_B}[0-9a-f]{{7,40}}{_E}"
 CVE = rf"(?i){_B}CVE-[0-9]{{4}}-[0-9]{{4,7}}{_E}"
 # The four shapes of a pull-request reference, each scanned on its own.
@@ -23,7 +24,7 @@ SEVERITY = {"low": (1, 0.25), "medium": (2, 0.5), "high": (3, 0.75), "critical":
 RATE_LIMIT = ["rate[ _-]?limit", f"{_B}429{_E}", "too many requests", "usage limit", "quota (?:exceeded|exhausted)", "try again (?:in|after)", "capacity constraints", "overloaded"]
 # Where an error names a wait, tried in this order; group 2, if any, is the unit.
 RESET = [(r"(?i)try again in ([0-9]+)\s*(second|minute|hour)s?", True), (r"(?i)retry[- ]after:?\s*([0-9]+)", False), (r"(?i)resets? (?:at|in) ([0-9]+)\s*(second|minute|hour)s?", True), (r"(?i)try again at ([0-9]{1,2}):([0-9]{2})\s*(AM|PM|am|pm)?", True)]
-CLOCK = r"(?i)try again at ([0-9]{1,2}):([0-9]{2})\s*(AM|PM|am|pm)?"
+CLOCK = RESET[-1][0]
 
 
 def tokens(text: Column) -> Column:
@@ -53,9 +54,10 @@ def pr_numbers(text: Column) -> Column:
 
 
 def pr_mentions(text: Column) -> Column:
-    """P5: (mention, number) of the same references, the mention as it stands in the text."""
-    pair = lambda p: F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda m, n: F.struct(m.alias("mention"), n.alias("number")))
-    return F.concat(*[pair(p) for p in PR])
+    """P5: (mention, number) of the same references, the mention as it stands in the text; its only run of
+    digits is the number."""
+    every = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in PR])
+    return F.transform(every, lambda m: F.struct(m.alias("mention"), F.regexp_extract(m, "[0-9]+", 0).alias("number")))
 
 
 def cve_ids(text: Column) -> Column:

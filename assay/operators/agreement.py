@@ -128,7 +128,12 @@ def gap(stats: DataFrame) -> DataFrame:
 
 def pr_permutation(stats: DataFrame, exact_limit: int = 2_000_000, draws: int = 200_000) -> DataFrame:
     """Label permutation over cases, per arm."""
-    return label_permutation_by(stats, "arm", "rate", "negative", exact_limit, draws)
+    return label_permutation_by(stats, "arm", "suppressed", "findings", "negative", exact_limit, draws)
+
+
+def cohort_permutation(stats: DataFrame, cohort: str, exact_limit: int = 2_000_000, draws: int = 200_000) -> DataFrame:
+    """J12 over the cases of each value of `cohort` instead of each arm."""
+    return label_permutation_by(stats, cohort, "suppressed", "findings", "negative", exact_limit, draws)
 
 
 def finding_fisher(classified: DataFrame) -> DataFrame:

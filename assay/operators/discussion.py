@@ -23,6 +23,8 @@ from ..sources.shared import cut
 
 NOVEL = 3
 SKIP_SUFFIX = ".excerpt"
+#: Windows of the discussion whose hashes (8 bytes each) and texts (some 60) are broadcast, counted first.
+FEW_HASHES, FEW_TEXTS = 1_000_000, 100_000
 _FOUND = "struct<windows: array<struct<pos: int, source: string>>, spans: array<struct<first_pos: int, n_windows: int, source: string, matched: string>>>"
 
 
@@ -70,8 +72,10 @@ def matched(strings: DataFrame, discussion: DataFrame, shown: DataFrame | None =
     said = discussion.select(*case, "source_pos", "source", window_pairs(F.col("body")).alias("hs"), S.tokens(F.col("body")).alias("toks"))
     said = said.select(*case, "source_pos", "source", "toks", F.posexplode("hs").alias("pos", "x"))
     said = cut(said.select(*case, "source_pos", "source", "pos", "x.h", "x.g", F.array_join(F.slice("toks", F.col("pos") + 1, SHINGLE), " ").alias("shingle")))
-    windows = src.select(*keys, F.explode(window_hashes(F.col("text"))).alias("h"))
-    some = windows.join(said.select(*case, "h").distinct(), [*case, "h"], "left_semi").select(*keys).distinct()
+    size = said.count()
+    small = lambda df, most: F.broadcast(df) if size <= most else df
+    windows = src.select(*keys, F.explode(F.array_distinct(window_hashes(F.col("text")))).alias("h"))
+    some = windows.join(small(said.select(*case, "h").distinct(), FEW_HASHES), [*case, "h"], "left_semi").select(*keys).distinct()
     some = cut(src.join(some, keys, "left_semi").select(*keys, S.tokens(F.col("text")).alias("toks"), window_pairs(F.col("text")).alias("hs")))
     windows = _exploded(some, *keys)
 
@@ -80,11 +84,11 @@ def matched(strings: DataFrame, discussion: DataFrame, shown: DataFrame | None =
         needed = windows.select("h").union(said.select("h")).distinct()
     if shown is not None:
         rows = _exploded(shown.select(*case, window_pairs(F.col("text")).alias("hs")), *case)
-        rows = cut(rows.join(needed, "h", "left_semi").select(*case, "h", "g").distinct())
+        rows = cut(rows.select(*case, "h", "g").distinct().join(needed, "h", "left_semi"))  # a common window is a row a task before it is dealt
         index = said.join(rows, [*case, "h", "g"], "left_anti")
         excluded = windows.join(rows, [*case, "h", "g"], "left_semi").select(*keys, "pos")
     index = index.groupBy(*case, "h", "g").agg(F.min_by(F.struct("source", "shingle"), F.struct("source_pos", "pos")).alias("of"))
-    hits = windows.join(index, [*case, "h", "g"])
+    hits = windows.join(small(index, FEW_TEXTS), [*case, "h", "g"])
     if cited is not None and files is not None:
         paths = cited_paths(cited)
         rows = files.join(paths, ["case_id", "path"], "left_semi").select("case_id", F.col("path"), window_pairs(F.col("text")).alias("hs"))

@@ -173,6 +173,19 @@ def _(t):
     return J.pr_permutation(J.pr_stats(_class(t)))
 
 
+#: Ten cases an arm: every way to label as many of them clean, one by one.
+SMALL = f"""{{stats}}, c AS (SELECT concat(arm, CAST(CAST(floor(case_id / 10) AS BIGINT) AS VARCHAR)) AS cohort, case_id, rate, negative FROM pr), i AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY case_id, rate) - 1 AS i FROM c),
+  n AS (SELECT cohort, count(*) AS n, count(*) FILTER (negative) AS k, sum(rate) AS total, sum(rate) FILTER (negative) AS seen FROM c GROUP BY cohort), mixed AS (SELECT * FROM n WHERE k > 0 AND k < n),
+  masks AS (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM mixed), picked AS (SELECT masks.cohort, mask, n, k, total, seen, sum(rate) AS s FROM masks JOIN i ON i.cohort = masks.cohort WHERE (mask >> i) & 1 = 1 AND bit_count(mask) = k GROUP BY ALL),
+  g AS (SELECT cohort, s / k - (total - s) / (n - k) AS g, seen / k - (total - seen) / (n - k) AS obs FROM picked)"""
+
+
+@query("j12_small_cohorts", f"WITH {SMALL.format(stats=STATS)} SELECT cohort, round(obs, 9) AS gap, round(count(*) FILTER (g >= obs - 1e-9) / count(*), 7) AS p1, round(count(*) FILTER (abs(g) >= abs(obs) - 1e-9) / count(*), 7) AS p2, 'exact' AS method FROM g GROUP BY cohort, obs UNION ALL SELECT cohort, 0, 1, 1, 'degenerate' FROM n WHERE k = 0 OR k = n")
+def _(t):
+    stats = J.pr_stats(_class(t)).withColumn("cohort", F.concat("arm", F.floor(F.col("case_id") / 10).cast("string")))
+    return J.cohort_permutation(stats, "cohort").select("cohort", F.round("gap", 9).alias("gap"), F.round("p1", 7).alias("p1"), F.round("p2", 7).alias("p2"), "method")
+
+
 @query("j13_finding_fisher", f"WITH {CLASS}, q AS (SELECT arm, count(*) FILTER (negative AND NOT s) AS a, count(*) FILTER (negative AND s) AS b, count(*) FILTER (NOT negative AND NOT s) AS c, count(*) FILTER (NOT negative AND s) AS d FROM cls WHERE NOT new_by_stage3 GROUP BY arm), k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM q), z AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - (lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1))) AS p FROM k), h AS (SELECT *, max(p) FILTER (x = a) OVER (PARTITION BY arm) AS here FROM z) SELECT arm, a, b, c, d, round(least(1, sum(p) FILTER (p <= here * (1 + 1e-9))), 6) AS p FROM h GROUP BY arm, a, b, c, d")
 def _(t):
     return J.finding_fisher(_class(t)).withColumn("p", F.round("p", 6))

@@ -151,9 +151,16 @@ def _(t):
     return p.select("common", F.round("delta_recall", 9).alias("delta_recall"), F.round("p1_recall", 7).alias("p1_recall"), F.round("p2_recall", 7).alias("p2_recall"))
 
 
-@query("h10_paired_precision")
+#: All outcomes x, y of both binomials, one by one.
+GRID = f"""{PAIR}, c AS (SELECT {PAIR_COUNTS} FROM j), d AS (SELECT *, t_pos + u_pos AS dp, t_neg + u_neg AS dn, (b_pos + t_pos) / nullif(b_pos + b_neg + t_pos + t_neg, 0) - (b_pos + u_pos) / nullif(b_pos + b_neg + u_pos + u_neg, 0) AS obs FROM c),
+  gx AS (SELECT *, unnest(range(0, dp + 1)) AS x FROM d), g AS (SELECT *, unnest(range(0, dn + 1)) AS y FROM gx),
+  w AS (SELECT *, (b_pos + x) / nullif(b_pos + b_neg + x + y, 0) - (b_pos + dp - x) / nullif(b_pos + b_neg + dp - x + dn - y, 0) AS diff, exp(lgamma(dp + 1) - lgamma(x + 1) - lgamma(dp - x + 1) - dp * ln(2) + lgamma(dn + 1) - lgamma(y + 1) - lgamma(dn - y + 1) - dn * ln(2)) AS m FROM g)"""
+
+
+@query("h10_paired_precision", f"WITH {GRID} SELECT 'T-G' AS comparison, common, round(obs, 9) AS delta_precision, round(sum(m) FILTER (diff >= obs - 1e-12) / sum(m) FILTER (diff IS NOT NULL), 7) AS p1_precision, round(sum(m) FILTER (abs(diff) >= abs(obs) - 1e-12) / sum(m) FILTER (diff IS NOT NULL), 7) AS p2_precision FROM w GROUP BY common, obs")
 def _(t):
-    return H.paired_test(H.paired_counts(t("b_labels"), _risky(t), "T", "G")).select("comparison", "common", "delta_precision", "p1_precision", "p2_precision")
+    p = H.paired_test(H.paired_counts(t("b_labels"), _risky(t), "T", "G"))
+    return p.select("comparison", "common", F.round("delta_precision", 9).alias("delta_precision"), *[F.round(c, 7).alias(c) for c in ("p1_precision", "p2_precision")])
 
 
 @query("h11_pairwise_subset", f"WITH {PAIR} SELECT 'T-G' AS comparison, 'all' AS subset, {PAIR_COUNTS} FROM j UNION ALL SELECT 'T-G', 'without fallback', {PAIR_COUNTS} FROM j WHERE NOT fallback")
@@ -212,9 +219,9 @@ def _(t):
     return A.label_movement(_f(t), t("b_all_runs"))
 
 
-@query("m2_a_to_c", "SELECT arm, count(*) AS findings, count(*) FILTER (c_disp <> 'CONFIRMED') AS moved, count(*) FILTER (c_disp = 'REJECTED') AS rejected, count(*) FILTER (c_disp = 'NARROWED') AS narrowed, count(*) FILTER (c_disp = 'INCONCLUSIVE') AS inconclusive, count(*) FILTER (c_disp <> 'CONFIRMED') / count(*) AS share FROM b_findings f JOIN b_all_runs r ON f.run_id = r.run_id WHERE c_disp IS NOT NULL GROUP BY arm")
+@query("m2_a_to_c", "SELECT arm, count(*) AS findings, count(*) FILTER (c_disp <> 'CONFIRMED') AS moved, count(*) FILTER (c_disp = 'REJECTED') AS rejected, count(*) FILTER (c_disp = 'NARROWED') AS narrowed, count(*) FILTER (c_disp = 'INCONCLUSIVE') AS inconclusive, count(*) FILTER (c_disp <> 'CONFIRMED') / count(*) AS share, (SELECT count(*) FROM b_all_runs n WHERE n.run_id % 10 = 0 AND n.arm = r.arm) AS new FROM b_findings f JOIN b_all_runs r ON f.run_id = r.run_id WHERE c_disp IS NOT NULL GROUP BY arm")
 def _(t):
-    return A.a_to_c(_f(t), t("b_all_runs"))
+    return A.a_to_c(_f(t), t("b_all_runs"), t("b_all_runs").where("run_id % 10 = 0").select("run_id"))
 
 
 @query("m3_threshold_sweep", "SELECT arm, threshold, count(*) AS findings, count(*) FILTER (CASE WHEN confidence >= threshold THEN 'CONFIRMED' ELSE 'INCONCLUSIVE' END <> c_disp) AS moved FROM b_findings f JOIN b_all_runs r ON f.run_id = r.run_id JOIN (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0)) x(threshold) ON TRUE WHERE c_disp IS NOT NULL GROUP BY arm, threshold")
@@ -227,7 +234,7 @@ def _(t):
     return A.confidence_quantiles(_f(t), t("b_all_runs"))
 
 
-USAGE = "u AS (SELECT run_id, stage, count(*) AS attempts, sum(tokens)::BIGINT AS tokens, sum(tool_calls)::BIGINT AS tool_calls, sum(cost_usd) AS cost_usd FROM b_attempts GROUP BY run_id, stage)"
+USAGE = "u AS (SELECT run_id, stage, count(*) AS attempts, sum(tokens)::BIGINT AS tokens, sum(tool_calls)::BIGINT AS tool_calls, sum(cost_usd) AS cost_usd, CAST(sum(CASE WHEN tool_calls > 1 THEN tool_calls - 1 END) AS DOUBLE) AS wall FROM b_attempts GROUP BY run_id, stage)"
 
 
 def _usage(t) -> DataFrame:
@@ -246,15 +253,15 @@ def _(t):
     return out.select("arm", "runs", *[F.round(c, 6).alias(c) for c in ("total", "mean", "most")])
 
 
-@query("m7_cost_by_stage", f"WITH {USAGE} SELECT stage, round(sum(cost_usd), 6) AS cost_usd, sum(attempts)::BIGINT AS attempts, round(sum(cost_usd) / (SELECT sum(cost_usd) FROM u), 9) AS share FROM u GROUP BY stage")
+@query("m7_cost_by_stage", f"WITH {USAGE} SELECT stage, round(sum(cost_usd), 6) AS cost_usd, sum(attempts)::BIGINT AS attempts, round(sum(wall), 3) AS wall_s, round(sum(cost_usd) / (SELECT sum(cost_usd) FROM u), 9) AS share FROM u GROUP BY stage")
 def _(t):
-    return A.cost_by_stage(_usage(t)).select("stage", F.round("cost_usd", 6).alias("cost_usd"), "attempts", F.round("share", 9).alias("share"))
+    return A.cost_by_stage(_usage(t)).select("stage", F.round("cost_usd", 6).alias("cost_usd"), "attempts", F.round("wall_s", 3).alias("wall_s"), F.round("share", 9).alias("share"))
 
 
-@query("m8_cohort_table", f"WITH {USAGE}, c AS (SELECT run_id, sum(cost_usd) AS cost FROM u GROUP BY run_id), s AS (SELECT run_id, count(*) AS found, count(*) FILTER (b_disp = 'CONFIRMED') AS b_confirmed, count(*) FILTER (c_disp = 'REJECTED') AS c_rejected FROM b_findings GROUP BY run_id) SELECT r.run_id, r.case_id, r.arm, found AS findings_discovered, b_confirmed, c_rejected, round(cost, 6) AS cost_usd FROM b_all_runs r LEFT JOIN s ON r.run_id = s.run_id LEFT JOIN c ON r.run_id = c.run_id")
+@query("m8_cohort_table", f"WITH {USAGE}, c AS (SELECT run_id, sum(cost_usd) AS cost, sum(wall) AS wall FROM u GROUP BY run_id), s AS (SELECT run_id, count(*) AS found, count(*) FILTER (b_disp = 'CONFIRMED') AS b_confirmed, count(*) FILTER (c_disp = 'REJECTED') AS c_rejected FROM b_findings GROUP BY run_id) SELECT r.run_id, r.case_id, r.arm, found AS findings_discovered, b_confirmed, c_rejected, round(cost, 6) AS cost_usd, round(wall, 3) AS wall_s FROM b_all_runs r LEFT JOIN s ON r.run_id = s.run_id LEFT JOIN c ON r.run_id = c.run_id")
 def _(t):
     out = A.cohort_table(E.disposition_scores(_f(t)), _usage(t), t("b_all_runs"))
-    return out.select("run_id", "case_id", "arm", "findings_discovered", "b_confirmed", "c_rejected", F.round("cost_usd", 6).alias("cost_usd"))
+    return out.select("run_id", "case_id", "arm", "findings_discovered", "b_confirmed", "c_rejected", F.round("cost_usd", 6).alias("cost_usd"), F.round("wall_s", 3).alias("wall_s"))
 
 
 @query("m9_cost_per_outcome", f"WITH {USAGE}, c AS (SELECT run_id, sum(cost_usd) AS cost FROM u GROUP BY run_id), s AS (SELECT run_id, count(*) FILTER (coalesce(c_disp, '') <> 'REJECTED') AS sv, count(*) FILTER (c_disp = 'REJECTED') AS sp FROM b_findings GROUP BY run_id), x AS (SELECT arm, sum(cost) AS cost, coalesce(sum(sv), 0)::BIGINT AS sv, coalesce(sum(sp) FILTER (label = 'negative'), 0)::BIGINT AS sp FROM b_all_runs r JOIN b_labels l ON r.case_id = l.case_id JOIN c ON r.run_id = c.run_id LEFT JOIN s ON r.run_id = s.run_id GROUP BY arm) SELECT arm, round(cost, 6) AS cost_usd, sv AS survived, sp AS suppressed_clean, round(cost / nullif(sv, 0), 6) AS per_survivor, round(cost / nullif(sp, 0), 6) AS per_suppressed_clean FROM x")
@@ -263,12 +270,23 @@ def _(t):
     return out.select("arm", F.round("cost_usd", 6).alias("cost_usd"), "survived", "suppressed_clean", F.round("per_survivor", 6).alias("per_survivor"), F.round("per_suppressed_clean", 6).alias("per_suppressed_clean"))
 
 
-QUEUE = "q AS (SELECT l.case_id, a.arm, CASE WHEN EXISTS (SELECT 1 FROM b_runs r WHERE r.case_id = l.case_id AND r.arm = a.arm) THEN 'done' WHEN l.case_id % 5 = 0 THEN 'refused' ELSE 'to do' END AS state FROM b_labels l JOIN (VALUES ('T'), ('G')) a(arm) ON TRUE)"
+@query("m9_incremental_cost", f"WITH {USAGE}, c AS (SELECT arm, stage, sum(cost_usd) AS cost FROM u JOIN b_all_runs r ON u.run_id = r.run_id GROUP BY arm, stage), d AS (SELECT arm, CASE WHEN c_disp IS NOT NULL THEN 3 WHEN b_disp IS NOT NULL THEN 2 ELSE 1 END AS stage, count(*) AS n FROM b_findings f JOIN b_all_runs r ON f.run_id = r.run_id WHERE f.run_id IN (SELECT run_id FROM u) GROUP BY 1, 2) SELECT c.arm, c.stage, round(cost, 6) AS cost_usd, coalesce(n, 0) AS decided, round(cost / n, 9) AS per_decided FROM c LEFT JOIN d ON c.arm = d.arm AND c.stage = d.stage")
+def _(t):
+    out = A.incremental_cost(_usage(t), _f(t), t("b_all_runs"))
+    return out.select("arm", "stage", F.round("cost_usd", 6).alias("cost_usd"), "decided", F.round("per_decided", 9).alias("per_decided"))
+
+
+#: Arm T asks for a version and a hash, arm G for a version; some runs are of others, or have no hash.
+QUEUE = """p AS (SELECT case_id, CASE WHEN run_id % 11 = 0 THEN 'v0' WHEN arm = 'T' THEN 'v1' ELSE 'g1' END AS version, CASE WHEN run_id % 13 = 0 THEN 'h2' WHEN run_id % 17 <> 0 THEN 'h1' END AS hash FROM b_all_runs WHERE status = 'completed'),
+  sealed AS (SELECT case_id, 'T' AS arm FROM p WHERE version = 'v1' AND hash = 'h1' UNION SELECT case_id, 'G' FROM p WHERE version = 'g1'),
+  q AS (SELECT l.case_id, a.arm, CASE WHEN EXISTS (SELECT 1 FROM sealed r WHERE r.case_id = l.case_id AND r.arm = a.arm) THEN 'done' WHEN l.case_id % 5 = 0 THEN 'refused' ELSE 'to do' END AS state FROM b_labels l JOIN (VALUES ('T'), ('G')) a(arm) ON TRUE)"""
 
 
 def _queue(t) -> DataFrame:
+    k = F.col("run_id")
+    runs = t("b_all_runs").withColumns({"protocol_version": F.when(k % 11 == 0, "v0").when(F.col("arm") == "T", "v1").otherwise("g1"), "protocol_hash": F.when(k % 13 == 0, "h2").when(k % 17 != 0, "h1")})
     refused = t("b_labels").where("case_id % 5 = 0").select("case_id", F.lit("probe void").alias("reason"))
-    return A.work_queue(t("b_labels"), ["T", "G"], t("b_all_runs"), refused)
+    return A.work_queue(t("b_labels"), {"T": ("v1", "h1"), "G": ("g1", None)}, runs, refused)
 
 
 @query("m10_work_queue", f"WITH {QUEUE} SELECT case_id, arm, state, CASE WHEN state = 'refused' THEN 'probe void' END AS reason FROM q")
@@ -276,9 +294,31 @@ def _(t):
     return _queue(t)
 
 
-@query("m11_batch_summary", f"WITH {QUEUE} SELECT arm, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'refused') AS refused, count(*) FILTER (state = 'to do') AS to_do FROM q GROUP BY arm")
+#: A user's events are the attempts of a run; stalls name a wait, or none.
+WAITS = """a AS (SELECT run_id, stage, attempt, CASE WHEN NOT failed THEN 'succeeded' WHEN tool_calls % 2 = 0 THEN 'stalled' ELSE 'failed' END AS outcome, tool_calls, cost_usd, epoch(ts) AS began, epoch(ts) + tool_calls - 1 AS ended FROM b_attempts),
+  l AS (SELECT *, lag(outcome) OVER w AS after, lag(ended) OVER w AS before FROM a WINDOW w AS (PARTITION BY run_id, stage ORDER BY attempt)),
+  m AS (SELECT run_id * 3 AS case_id, CASE WHEN run_id % 2 = 0 THEN 'T' ELSE 'G' END AS arm, count(*) AS attempts, count(*) FILTER (outcome = 'succeeded') AS succeeded, count(*) FILTER (outcome = 'stalled') AS stalled, count(*) FILTER (outcome = 'failed') AS failed,
+    coalesce(sum(greatest(0, began - before)) FILTER (after = 'stalled'), 0) AS waited, coalesce(sum(CASE WHEN tool_calls > 2 THEN tool_calls * 60 ELSE 300 END) FILTER (outcome = 'stalled'), 0) AS asked, max_by(outcome, stage * 1000000 + attempt) AS outcome, sum(cost_usd) AS cost FROM l GROUP BY run_id)"""
+
+
+def _waits(t) -> DataFrame:
+    k = F.col("tool_calls")
+    stall = F.when(k > 2, F.concat(F.lit("Usage limit reached, try again in "), k, F.lit(" minutes"))).otherwise("Usage limit reached")
+    error = F.when(~F.col("failed"), "").when(k % 2 == 0, stall).otherwise("connection reset")
+    ends = F.col("ts") + F.expr("make_dt_interval(0, 0, 0, tool_calls - 1)")
+    attempts = t("b_attempts").withColumns({"error": error, "started_at": F.col("ts"), "finished_at": ends})
+    runs = attempts.select("run_id").distinct().select("run_id", (F.col("run_id") * 3).alias("case_id"), F.when(F.col("run_id") % 2 == 0, "T").otherwise("G").alias("arm"))
+    return A.attempt_waits(attempts, runs)
+
+
+@query("m12_attempt_waits", f"WITH {WAITS} SELECT case_id, arm, attempts, succeeded, stalled, failed, round(waited, 2) AS waited_s, CAST(asked AS DOUBLE) AS asked_s, outcome, round(cost, 6) AS cost_usd, round(stalled / attempts, 9) AS stall_share FROM m")
+def _(t):
+    return _waits(t).withColumns({"waited_s": F.round("waited_s", 2), "cost_usd": F.round("cost_usd", 6), "stall_share": F.round("stall_share", 9)})
+
+
+@query("m11_batch_summary", f"WITH {QUEUE}, {WAITS}, s AS (SELECT q.arm, CASE WHEN state = 'to do' AND outcome IN ('stalled', 'failed') THEN outcome ELSE state END AS state, cost FROM q LEFT JOIN m ON q.case_id = m.case_id AND q.arm = m.arm) SELECT arm, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'refused') AS refused, count(*) FILTER (state = 'stalled') AS stalled, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'to do') AS to_do, round(coalesce(sum(cost), 0), 6) AS cost_usd FROM s GROUP BY arm")
 def _(t):
-    return A.batch_summary(_queue(t))
+    return A.batch_summary(_queue(t), _waits(t).select("case_id", "arm", "outcome", "cost_usd")).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query("m12_attempt_outcomes", "SELECT stage, CASE WHEN NOT failed THEN 'succeeded' WHEN tool_calls % 2 = 0 THEN 'stalled' ELSE 'failed' END AS outcome, count(*) AS n FROM b_attempts GROUP BY 1, 2")

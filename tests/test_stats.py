@@ -1,7 +1,9 @@
 """The exact tests against hand computations, published figures and enumeration."""
 
 import math
-from itertools import product
+import random
+import time
+from itertools import combinations, product
 
 import pytest
 
@@ -66,8 +68,68 @@ def test_label_permutation_past_two_million_labellings_is_exact(spark):
             ways[s] = ways.get(s, 0) + math.comb(20, x) * math.comb(20, y) * math.comb(20, 30 - x - y)
     assert sum(ways.values()) == math.comb(60, 30)
     assert r["method"] == "exact" and r["p1"] == pytest.approx(sum(w for s, w in ways.items() if s >= 42) / math.comb(60, 30), rel=1e-12)
-    rows = [("a", float(x), c) for x, c in zip(rates, clean, strict=True)]
-    drawn = [("b", x / 97, c) for (x, c) in zip(range(60), [False] * 30 + [True] * 30, strict=True)]
-    got = {x["arm"]: x for x in label_permutation_by(spark.createDataFrame(rows + drawn, "arm string, rate double, clean boolean"), "arm", "rate", "clean", exact_limit=500, draws=9000).collect()}
+    rows = [("a", int(2 * x), 2, c) for x, c in zip(rates, clean, strict=True)]
+    drawn = [("b", x, 97, c) for (x, c) in zip(range(60), [False] * 30 + [True] * 30, strict=True)]
+    got = {x["arm"]: x for x in label_permutation_by(spark.createDataFrame(rows + drawn, "arm string, hits long, n long, clean boolean"), "arm", "hits", "n", "clean", exact_limit=500, draws=9000).collect()}
     assert got["a"]["method"] == "exact" and got["a"]["p1"] == pytest.approx(r["p1"]) and got["a"]["p2"] == pytest.approx(r["p2"])
     assert got["b"]["method"] == "monte carlo" and got["b"]["p1"] == pytest.approx(1 / 9001) and got["b"]["gap"] == pytest.approx(30 / 97)
+
+
+def test_paired_equals_the_grid():
+    """Every x and y of the two binomials, weighed and compared one by one."""
+    r = random.Random(7)
+    for _ in range(300):
+        pos, b_pos, b_neg, t_pos, t_neg, u_pos, u_neg = (r.choice([0, 0, 1, 3, r.randrange(12)]) for _ in range(7))
+        got = paired_permutation(pos, b_pos, b_neg, t_pos, t_neg, u_pos, u_neg)
+        want = _enumerated_grid(b_pos, b_neg, t_pos, t_neg, u_pos, u_neg)
+        assert (want is None) == ("p1_precision" not in got)
+        if want:
+            assert (got["p1_precision"], got["p2_precision"]) == pytest.approx(want, abs=1e-12)
+
+
+def _enumerated_grid(b_pos, b_neg, t_pos, t_neg, u_pos, u_neg):
+    d_pos, d_neg = t_pos + u_pos, t_neg + u_neg
+
+    def stat(x, y):
+        n1, n2 = b_pos + b_neg + x + y, b_pos + b_neg + d_pos - x + d_neg - y
+        return (b_pos + x) / n1 - (b_pos + d_pos - x) / n2 if n1 and n2 else None
+
+    obs = stat(t_pos, t_neg)
+    if obs is None:
+        return None
+    every = [(stat(x, y), math.comb(d_pos, x) * math.comb(d_neg, y)) for x in range(d_pos + 1) for y in range(d_neg + 1)]
+    every = [(s, w) for s, w in every if s is not None]
+    total = sum(w for _, w in every)
+    return sum(w for s, w in every if s >= obs - 1e-12) / total, sum(w for s, w in every if abs(s) >= abs(obs) - 1e-12) / total
+
+
+def test_paired_of_many_cases_is_fast():
+    start = time.perf_counter()
+    r = paired_permutation(200_000, 40_000, 30_000, 50_200, 50_000, 49_800, 50_000)
+    assert time.perf_counter() - start < 4 and 0 < r["p1_precision"] < r["p2_precision"] < 1
+
+
+def test_arrays_and_states_agree_with_enumeration():
+    r = random.Random(3)
+    for _ in range(40):
+        n = r.randrange(2, 11)
+        rates, clean = [r.randrange(4) / r.choice([3, 4, 6]) for _ in range(n)], [r.random() < 0.5 for _ in range(n)]
+        k = sum(clean)
+        if k in (0, n):
+            continue
+        sides = lambda chosen: sum(rates[i] for i in chosen) / k - (sum(rates) - sum(rates[i] for i in chosen)) / (n - k)
+        obs = sides([i for i in range(n) if clean[i]])
+        every = [sides(c) for c in combinations(range(n), k)]
+        want = sum(s >= obs - 1e-9 for s in every) / len(every), sum(abs(s) >= abs(obs) - 1e-9 for s in every) / len(every)
+        got = label_permutation(rates, clean)
+        assert got["method"] == "exact" and (got["p1"], got["p2"]) == pytest.approx(want)
+    primes = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37]
+    odd = label_permutation([1 / p for p in primes], [True] * 4 + [False] * 8)  # sums without end, few labellings
+    assert odd["method"] == "exact" and odd["p1"] == pytest.approx(1 / math.comb(12, 4))
+
+
+def test_an_exact_count_is_estimated_before_it_is_tried():
+    start = time.perf_counter()
+    r = random.Random(1)
+    out = label_permutation([r.randrange(q + 1) / q for q in (r.randrange(1, 41) for _ in range(4000))], [k % 2 == 0 for k in range(4000)], draws=50)
+    assert out["method"] == "monte carlo" and time.perf_counter() - start < 2
