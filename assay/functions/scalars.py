@@ -191,7 +191,7 @@ def excerpt_around(text: Column, fragment: Column, reach: int = 40) -> Column:
     at = F.instr(F.lower(text), F.lower(fragment))
     start = F.greatest(at - reach, F.lit(1))
     cut = F.substring(text, start, at + F.length(fragment) + reach - start)
-    return F.when(at > 0, F.trim(cut)).otherwise(F.lit(""))
+    return F.when(at > 0, F.trim(cut)).when(text.isNotNull(), F.lit(""))
 
 
 def strata(**dimensions: Column) -> Column:

@@ -3,7 +3,7 @@ case_id, rule, path, detail where they are about a bundle. fail_if_any() is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_path, opaque_id
@@ -38,23 +38,37 @@ def dropped_findings(findings: DataFrame, assessments: DataFrame) -> DataFrame:
     return findings.join(assessments.select("run_id", "finding_id"), ["run_id", "finding_id"], "left_anti")
 
 
+def cited_slices(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """case_id, path, first, last, n_lines, quoted: what every distinct range of lines that is cited holds. A
+    file is split once, whatever number of citations it has, and only the slices leave it."""
+    asked = citations.groupBy("case_id", "path").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+
+    def cut_out(lines: Column) -> Column:
+        def one(r: Column) -> Column:
+            quoted = F.array_join(F.slice(lines, F.greatest(r["first"], F.lit(1)), F.greatest(r["last"] - r["first"] + 1, F.lit(0))), "\n")
+            return F.struct(r["first"].alias("first"), r["last"].alias("last"), F.size(lines).alias("n_lines"), quoted.alias("quoted"))
+
+        return F.transform("ranges", one)
+
+    slices = F.get(F.transform(F.array(F.split("text", "\n")), cut_out), F.lit(0))  # bound, so that it is split once
+    return files.where("text is not null").join(asked, ["case_id", "path"]).select("case_id", "path", F.inline(slices))
+
+
 def citation_check(citations: DataFrame, files: DataFrame) -> DataFrame:
     """Citations that leave the snapshot, name no file of it, point outside its lines, or (a
-    warning) quote otherwise, white space around aside. No lines (0, 0) mean the whole file, an end of 0 the
-    line of the start. citations: case_id, file, start_line, end_line, excerpt; files: case_id, path,
-    text. Only cited files' lines are split."""
-    c = citations.withColumn("path", clean_path(F.col("file")))
-    lines = files.join(c.select("case_id", "path").distinct(), ["case_id", "path"], "left_semi").select("case_id", "path", F.split("text", "\n").alias("lines"))
-    out = c.join(lines, ["case_id", "path"], "left")
+    warning) quote otherwise, white space around aside. No lines (0, 0, or null) mean the whole file, an end
+    of 0 the line of the start; a file without text is absent. citations: case_id, file, start_line, end_line,
+    excerpt; files: case_id, path, text."""
+    a, z = F.coalesce("start_line", F.lit(0)), F.coalesce(F.nullif("end_line", F.lit(0)), "start_line", F.lit(0))
+    c = citations.withColumns({"path": clean_path(F.col("file")), "first": a, "last": z})
+    out = c.join(cited_slices(c, files), ["case_id", "path", "first", "last"], "left")
     away = F.startswith("path", F.lit("/")) | F.startswith("path", F.lit(".."))
-    a, z = F.col("start_line"), F.when(F.col("end_line") == 0, F.col("start_line")).otherwise(F.col("end_line"))
-    whole = (a == 0) & (z == 0)  # of the file
-    quoted = F.array_join(F.slice("lines", F.greatest(a, F.lit(1)), F.greatest(z - a + 1, F.lit(0))), "\n")
-    outside = ~whole & ((a < 1) | (z < a) | (z > F.size("lines")))
+    whole = (F.col("first") == 0) & (F.col("last") == 0)  # of the file
+    outside = ~whole & ((F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("last") > F.col("n_lines")))
     bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    differs = ~whole & (F.coalesce("excerpt", F.lit("")) != "") & (bare(quoted) != bare(F.col("excerpt")))
-    rule = F.when(away, "escapes").when(F.col("lines").isNull(), "absent").when(outside, "lines outside").when(differs, "excerpt differs")
-    return out.withColumn("rule", rule).where("rule is not null").drop("lines")
+    differs = ~whole & (F.coalesce("excerpt", F.lit("")) != "") & (bare("quoted") != bare(F.col("excerpt")))
+    rule = F.when(away, "escapes").when(F.col("n_lines").isNull(), "absent").when(outside, "lines outside").when(differs, "excerpt differs")
+    return out.withColumn("rule", rule).where("rule is not null").drop("first", "last", "n_lines", "quoted")
 
 
 def usage_vs_budget(stages: DataFrame) -> DataFrame:

@@ -92,10 +92,10 @@ def _(t):
 HEADERS = "|".join(S.DIFF_HEADERS)
 
 
-@query("p7_strip_diff_headers", f"SELECT doc_id, md5(array_to_string(list_filter(string_split(concat('diff --git a b', chr(10), 'index 12..34', chr(10), text, chr(10), ' index kept'), chr(10)), lambda x: NOT regexp_matches(x, '^({HEADERS})')), chr(10))) AS digest FROM documents WHERE text IS NOT NULL")
+@query("p7_strip_diff_headers", f"SELECT doc_id, md5(array_to_string(list_filter(string_split('diff --git a b' || chr(10) || 'index 12..34' || chr(10) || text || chr(10) || ' index kept', chr(10)), lambda x: NOT regexp_matches(x, '^({HEADERS})')), chr(10))) AS digest FROM documents")
 def _(t):
     patch = F.concat(F.lit("diff --git a b\nindex 12..34\n"), "text", F.lit("\n index kept"))
-    return t("documents").where("text is not null").select("doc_id", F.md5(S.strip_diff_headers(patch).cast("binary")).alias("digest"))
+    return t("documents").select("doc_id", F.md5(S.strip_diff_headers(patch).cast("binary")).alias("digest"))
 
 
 @query("p8_patch_shas", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(p, '(?im)^(?:From|commit)\s+([0-9a-f]{7,40})\b', 1), lambda x: lower(x)))), ',') AS shas FROM (SELECT doc_id, concat('From ', md5(CAST(doc_id AS VARCHAR)), ' Mon', chr(10), 'commit ', upper(left(md5(coalesce(source, '')), 12)), chr(10), 'see commit abcdef0', chr(10), 'COMMIT ', left(md5(coalesce(source, '')), 12)) AS p FROM documents)")
@@ -178,9 +178,9 @@ def _(t):
     return df.select("doc_id", n("sha"), n("pr"), n("cve"))
 
 
-@query("p22_excerpt_around", "SELECT doc_id, CASE WHEN k > 0 THEN trim(substr(text, greatest(k - 40, 1), k + 5 + 40 - greatest(k - 40, 1))) ELSE '' END AS excerpt FROM (SELECT doc_id, text, strpos(lower(text), 'token') AS k FROM documents WHERE text IS NOT NULL)")
+@query("p22_excerpt_around", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN k > 0 THEN trim(substr(text, greatest(k - 40, 1), k + 5 + 40 - greatest(k - 40, 1))) ELSE '' END AS excerpt FROM (SELECT doc_id, text, strpos(lower(text), 'token') AS k FROM documents)")
 def _(t):
-    return t("documents").where("text is not null").select("doc_id", S.excerpt_around(F.col("text"), F.lit("Token")).alias("excerpt"))
+    return t("documents").select("doc_id", S.excerpt_around(F.col("text"), F.lit("Token")).alias("excerpt"))
 
 
 @query("p23_strata", f"WITH {STRATA} SELECT case_id, dim, bucket FROM s")

@@ -72,3 +72,9 @@ def test_novelty_of_spans(spark):
     assert spans(" ".join(words[:14])) == []  # a bridge of quoted tokens
     hit = spans(" ".join(words[:24]))
     assert len(hit) == 1 and hit[0]["key_ref"] == "d" and hit[0]["matched"].endswith("w23")
+
+
+def test_null_texts(spark):
+    for f in (S.strip_diff_headers, lambda c: S.excerpt_around(c, F.lit("x")), S.first_line):
+        assert one(spark, f, None) is None
+    assert one(spark, lambda c: S.excerpt_around(c, F.lit("x")), "none here") == ""
