@@ -19,10 +19,14 @@ def fields_of(schema: str) -> list[str]:
     return StructType.fromDDL(schema).fieldNames()
 
 
+def _decoded(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def path_part(name: str, k: int) -> Column:
     """The folder called `name=...`, or else the k-th part of the path from its end (1 is the file)."""
     named = F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1)
-    return F.when(named != "", F.url_decode(named)).otherwise(F.element_at(F.split("file_path", "/"), -k))
+    return F.when(named != "", _decoded(named)).otherwise(F.element_at(F.split("file_path", "/"), -k))
 
 
 def texts(spark: SparkSession, source: str | DataFrame, lines: bool = False) -> DataFrame:
@@ -32,15 +36,18 @@ def texts(spark: SparkSession, source: str | DataFrame, lines: bool = False) ->
         at = F.col("_metadata.file_path").alias("file_path")
         if lines:
             return spark.read.text(source).select(at, "value")
-        return spark.read.format("binaryFile").load(source).select(at, F.col("content").cast("string").alias("value"))
+        # this source names files as URIs, the text source as they are
+        return spark.read.format("binaryFile").load(source).select(_decoded(F.col("_metadata.file_path")).alias("file_path"), F.col("content").cast("string").alias("value"))
     return source.select("file_path", F.explode(F.split("value", "\n")).alias("value")) if lines else source.select("file_path", "value")
 
 
-def documents(spark: SparkSession, source: str | DataFrame, schema: str, version: str | None = None, closed: bool = False, lines: bool = False) -> DataFrame:
+def documents(spark: SparkSession, source: str | DataFrame, schema: str, version: str | None = None, closed: bool = False, lines: bool = False, name: str | None = None) -> DataFrame:
     """file_path, file_sha256 (of a line, where there is one document a line), doc, rule, detail: every
     document of texts(); Spark lists no file of no bytes, so one has no row. rule is null, or `malformed` (not JSON, or a field of another type),
-    `schema version`, or `unknown field` (of a closed schema, at its top level). Blank lines are none."""
+    `schema version`, or `unknown field` (of a closed schema, at its top level). Blank lines are none. name: of an archive,
+    only files called so."""
     raw = texts(spark, source, lines)
+    mine = F.lit(True) if name is None or isinstance(source, str) else F.element_at(F.split("file_path", "/"), -1) == name
     if lines:
         raw = raw.where(F.trim("value") != "")
     doc = F.from_json("value", f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -48,9 +55,10 @@ def documents(spark: SparkSession, source: str | DataFrame, schema: str, version
     broken = F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull() | F.json_object_keys("value").isNull()
     unknown = F.array_except(F.json_object_keys("value"), F.array(*[F.lit(f) for f in fields_of(schema)])) if closed else F.expr("CAST(array() AS array<string>)")
     other = ~F.col("doc.schema_version").eqNullSafe(F.lit(version)) if version else F.lit(False)
-    rule = F.when(broken, "malformed").when(other, "schema version").when(F.size(unknown) > 0, "unknown field")
+    rule = F.when(~mine, None).when(broken, "malformed").when(other, "schema version").when(F.size(unknown) > 0, "unknown field")
     detail = F.when(broken, "").when(other, F.coalesce(F.col("doc.schema_version"), F.lit("")) if version else F.lit("")).when(F.size(unknown) > 0, F.array_join(F.array_sort(unknown), ","))
-    return out.select("file_path", "file_sha256", "doc", rule.alias("rule"), detail.alias("detail"))
+    # a rule that another file breaks must not fail a strict read, in whatever order filters are applied
+    return out.where(mine).select("file_path", "file_sha256", "doc", rule.alias("rule"), detail.alias("detail"))
 
 
 def accepted(docs: DataFrame, strict: bool = True) -> DataFrame:

@@ -20,13 +20,13 @@ GATE_VERSION = "contamination-probe-gate/v1"
 REVIEWS = {"a": (T.REVIEW_A, "findings"), "b": (T.REVIEW_B, "assessments"), "c": (T.REVIEW_C, "verdicts")}
 
 
-def _at(root: str | DataFrame, pattern: str, name: str) -> str | DataFrame:
-    """The files of a pattern under a root; in an archive, those of that name."""
-    return f"{root}/{pattern}" if isinstance(root, str) else root.where(F.element_at(F.split("file_path", "/"), -1) == name)
+def _at(root: str | DataFrame, pattern: str) -> str | DataFrame:
+    """The files of a pattern under a root, or an archive as it is."""
+    return f"{root}/{pattern}" if isinstance(root, str) else root
 
 
 def run_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/run.json", version: str | None = None) -> DataFrame:
-    return documents(spark, _at(root, pattern, "run.json"), T.RUN, version, closed=True)
+    return documents(spark, _at(root, pattern), T.RUN, version, closed=True, name="run.json")
 
 
 def read_runs(spark: SparkSession, root: str | DataFrame, pattern: str = "*/run.json", version: str | None = None, strict: bool = True) -> DataFrame:
@@ -41,7 +41,7 @@ def runs_violations(spark: SparkSession, root: str | DataFrame, pattern: str = "
 
 
 def review_documents(spark: SparkSession, root: str | DataFrame, letter: str = "a", pattern: str | None = None) -> DataFrame:
-    return documents(spark, _at(root, pattern or f"*/stages/*/review-{letter}.json", f"review-{letter}.json"), REVIEWS[letter][0], closed=True)
+    return documents(spark, _at(root, pattern or f"*/stages/*/review-{letter}.json"), REVIEWS[letter][0], closed=True, name=f"review-{letter}.json")
 
 
 def read_reviews(spark: SparkSession, root: str | DataFrame, letter: str = "a", pattern: str | None = None, strict: bool = True) -> DataFrame:
@@ -62,7 +62,7 @@ def reviews_violations(spark: SparkSession, root: str | DataFrame, letter: str =
 
 
 def telemetry_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/stages/*/telemetry.json") -> DataFrame:
-    return documents(spark, _at(root, pattern, "telemetry.json"), T.TELEMETRY)
+    return documents(spark, _at(root, pattern), T.TELEMETRY, name="telemetry.json")
 
 
 def read_telemetry(spark: SparkSession, root: str | DataFrame, pattern: str = "*/stages/*/telemetry.json", strict: bool = True) -> DataFrame:
@@ -73,7 +73,7 @@ def read_telemetry(spark: SparkSession, root: str | DataFrame, pattern: str = "*
 
 
 def event_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/events.jsonl") -> DataFrame:
-    return documents(spark, _at(root, pattern, "events.jsonl"), T.EVENTS, lines=True)
+    return documents(spark, _at(root, pattern), T.EVENTS, lines=True, name="events.jsonl")
 
 
 def read_events(spark: SparkSession, root: str | DataFrame, pattern: str = "*/events.jsonl", strict: bool = True) -> DataFrame:
@@ -135,7 +135,7 @@ def read_fixing_paths(spark: SparkSession, path: str | DataFrame, strict: bool =
 
 def oracle_documents(spark: SparkSession, root: str | DataFrame, pattern: str = "*/correlated-report.json") -> DataFrame:
     """Correlated records; one without a version breaks a rule."""
-    docs = documents(spark, _at(root, pattern, "correlated-report.json"), T.ORACLE)
+    docs = documents(spark, _at(root, pattern), T.ORACLE, name="correlated-report.json")
     none = F.col("rule").isNull() & (F.coalesce("doc.schema_version", F.lit("")) == "")
     return docs.withColumn("rule", F.when(none, "no schema_version").otherwise(F.col("rule"))).withColumn("detail", F.when(none, "").otherwise(F.col("detail")))
 
