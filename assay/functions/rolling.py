@@ -41,6 +41,39 @@ def window_hashes(text: Column, width: int = SHINGLE) -> Column:
     return F.pandas_udf(made, "array<bigint>")(F.lower(text))
 
 
+def _near(hit: np.ndarray, reach: int) -> np.ndarray:
+    """Places at most `reach` from a true one."""
+    edge = np.zeros(len(hit) + 1, np.int64)
+    at = np.flatnonzero(hit)
+    np.add.at(edge, np.maximum(at - reach, 0), 1)
+    np.add.at(edge, np.minimum(at + reach + 1, len(hit)), -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]))
+
+
+def known_in(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted array `known`."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def windows_near(text: Column, known, reach: int, width: int = SHINGLE) -> Column:
+    """array<struct<pos, h, g>>: the windows at most `reach` places from one whose h is in `known`, a broadcast
+    sorted array; empty where there is none."""
+
+    def made(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            tokens = _TOKEN.findall(t or "")
+            h = _rolled(tokens, width, 0)
+            at = _near(known_in(known.value, h), reach)
+            g = _rolled(tokens, width, 1)[at] if len(at) else at
+            out.append([{"pos": p, "h": a, "g": b} for p, a, b in zip(at.tolist(), h[at].tolist(), g.tolist(), strict=True)])
+        return pd.Series(out)
+
+    return F.pandas_udf(made, "array<struct<pos: int, h: bigint, g: bigint>>").asNondeterministic()(F.lower(text))  # evaluated once
+
+
 def window_pairs(text: Column, width: int = SHINGLE) -> Column:
     """array<struct<h, g>>: the same with 64 independent bits more."""
 

@@ -1,10 +1,11 @@
 """Phrases of a discussion in a run's strings, by hashes first (C4 to C7 in one pass).
 
-A window of eight tokens travels as 64 or 128 bits with its place. Strings send their windows once, to
-meet those of the discussion; only strings that meet one are looked at again: their windows and the
-discussion's are all that the texts shown to the reviewers are asked for, so what is excluded
-never stands as a table of windows. Matching windows are compared word by word in the strings'
-own tokens; coverage is a prefix sum over a string's tokens, and spans are read off in the row.
+A window of eight tokens is 128 bits and its place. Of a string only the windows that the discussion has, and
+those that overlap one, leave its row; these and the discussion's are all that the texts shown to the
+reviewers are asked for, so what is excluded never stands as a table of windows. Up to FEW_HASHES
+hashes to look for are sent to the tasks (counted first; 8 bytes each); more are joined by a shuffle.
+Matching windows are compared word by word in the strings' own tokens; coverage is a prefix sum over a
+string's tokens, and spans are read off in the row.
 
 Windows that are excluded are told by 128 bits, not by their text.
 """
@@ -17,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.rolling import window_hashes, window_pairs
+from ..functions.rolling import window_pairs, windows_near
 from ..functions.scalars import SHINGLE
 from ..sources.shared import cut
 
 NOVEL = 3
 SKIP_SUFFIX = ".excerpt"
-#: Windows of the discussion whose hashes (8 bytes each) and texts (some 60) are broadcast, counted first.
+#: Hashes of windows (8 bytes each) and windows with their texts (some 60) that are broadcast, counted first.
 FEW_HASHES, FEW_TEXTS = 1_000_000, 100_000
 _FOUND = "struct<windows: array<struct<pos: int, source: string>>, spans: array<struct<first_pos: int, n_windows: int, source: string, matched: string>>>"
 
@@ -51,6 +52,20 @@ def _exploded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode("hs").alias("pos", "x")).select(*keep, "pos", "x.h", "x.g")
 
 
+def _looked_up(texts: DataFrame, hashes: DataFrame, reach: int, *keep: str) -> DataFrame:
+    """keep..., near: the windows of each text at most `reach` places from one whose h is in `hashes` (distinct);
+    texts without one are left out."""
+    spark = texts.sparkSession
+    if hashes.count() <= FEW_HASHES:
+        known = np.sort(hashes.select("h").toPandas()["h"].to_numpy(np.int64))
+        near = texts.select(*keep, windows_near(F.col("text"), spark.sparkContext.broadcast(known), reach).alias("near"))
+        return near.where(F.size("near") > 0)
+    every = _exploded(texts.select("*", F.monotonically_increasing_id().alias("_row"), window_pairs(F.col("text")).alias("hs")), *keep, "_row")
+    every = cut(every)
+    at = every.join(hashes, "h", "left_semi").select("_row", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)).alias("pos")).distinct()
+    return every.join(at, ["_row", "pos"], "left_semi").groupBy("_row", *keep).agg(F.array_sort(F.collect_list(F.struct("pos", "h", "g"))).alias("near")).drop("_row")
+
+
 def cited_paths(cited: DataFrame) -> DataFrame:
     """run_id, case_id, path: cited files inside the snapshot, their paths cleaned."""
     c = cited.withColumn("path", S.clean_path(F.col("file")))
@@ -72,27 +87,25 @@ def matched(strings: DataFrame, discussion: DataFrame, shown: DataFrame | None =
     said = discussion.select(*case, "source_pos", "source", window_pairs(F.col("body")).alias("hs"), S.tokens(F.col("body")).alias("toks"))
     said = said.select(*case, "source_pos", "source", "toks", F.posexplode("hs").alias("pos", "x"))
     said = cut(said.select(*case, "source_pos", "source", "pos", "x.h", "x.g", F.array_join(F.slice("toks", F.col("pos") + 1, SHINGLE), " ").alias("shingle")))
-    size = said.count()
-    small = lambda df, most: F.broadcast(df) if size <= most else df
-    windows = src.select(*keys, F.explode(F.array_distinct(window_hashes(F.col("text")))).alias("h"))
-    some = windows.join(small(said.select(*case, "h").distinct(), FEW_HASHES), [*case, "h"], "left_semi").select(*keys).distinct()
-    some = cut(src.join(some, keys, "left_semi").select(*keys, S.tokens(F.col("text")).alias("toks"), window_pairs(F.col("text")).alias("hs")))
-    windows = _exploded(some, *keys)
-
-    index, excluded = said, None
+    near = _looked_up(src, said.select("h").distinct(), SHINGLE - 1, *keys, "text")
+    some = cut(near.select(*keys, S.tokens(F.col("text")).alias("toks"), "near"))
+    windows = some.select(*keys, F.inline("near"))
+
+    index, excluded, needed = said, None, None
     if shown is not None or cited is not None:
-        needed = windows.select("h").union(said.select("h")).distinct()
+        needed = cut(windows.select("h").union(said.select("h")).distinct())
     if shown is not None:
-        rows = _exploded(shown.select(*case, window_pairs(F.col("text")).alias("hs")), *case)
-        rows = cut(rows.select(*case, "h", "g").distinct().join(needed, "h", "left_semi"))  # a common window is a row a task before it is dealt
+        rows = _looked_up(shown.select(*case, "text"), needed, 0, *case)
+        rows = cut(rows.select(*case, F.inline("near")).select(*case, "h", "g").distinct())
         index = said.join(rows, [*case, "h", "g"], "left_anti")
         excluded = windows.join(rows, [*case, "h", "g"], "left_semi").select(*keys, "pos")
     index = index.groupBy(*case, "h", "g").agg(F.min_by(F.struct("source", "shingle"), F.struct("source_pos", "pos")).alias("of"))
-    hits = windows.join(small(index, FEW_TEXTS), [*case, "h", "g"])
+    small = lambda df: F.broadcast(df) if said.count() <= FEW_TEXTS else df
+    hits = windows.join(small(index), [*case, "h", "g"])
     if cited is not None and files is not None:
         paths = cited_paths(cited)
-        rows = files.join(paths, ["case_id", "path"], "left_semi").select("case_id", F.col("path"), window_pairs(F.col("text")).alias("hs"))
-        rows = _exploded(rows, "case_id", "path").join(needed, "h", "left_semi").select("case_id", "path", "h", "g").distinct()
+        there = files.join(paths, ["case_id", "path"], "left_semi").select("case_id", "path", "text")
+        rows = _looked_up(there, needed, 0, "case_id", "path").select("case_id", "path", F.inline("near")).select("case_id", "path", "h", "g").distinct()
         own = cut(rows.join(paths, ["case_id", "path"]).select("run_id", "h", "g").distinct())
         hits = hits.join(own, ["run_id", "h", "g"], "left_anti")
         more = windows.join(own, ["run_id", "h", "g"], "left_semi").select(*keys, "pos")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from assay.operators import contamination as C
 from assay.operators import discussion as D
 
@@ -25,7 +27,9 @@ def _tables(spark):
     return s, d, spark.createDataFrame([(0, x) for x in shown], "case_id long, text string")
 
 
-def test_same_windows_and_spans_as_by_text(spark):
+@pytest.mark.parametrize("few", [D.FEW_HASHES, 0])
+def test_same_windows_and_spans_as_by_text(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW_HASHES", few)  # 0: by shuffles
     s, d, shown = _tables(spark)
     cited = spark.createDataFrame([(k, k % 5, "./a//b") for k in range(0, 103, 2)] + [(1, 1, "../b"), (3, 3, "/a/b")], "run_id long, case_id long, file string")
     files = spark.createDataFrame([(c, "a/b", " ".join(f"w{(k * k + c) % 40}" for k in range(300))) for c in range(5)], "case_id long, path string, text string")
