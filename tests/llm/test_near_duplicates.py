@@ -153,6 +153,31 @@ def test_common_keys_are_dealt_out(spark, monkeypatch):
     assert {x["doc_id"] for x in line_dedup.drops(R.frame(spark, docs)).collect()} == want
 
 
+def test_dealt_keys_lose_no_variants(spark, monkeypatch):
+    """Families of variants of a line, whose keys are common: dealt out, at whatever number of partitions, they are joined as when they are not."""
+    r = random.Random(11)
+    docs = []
+    for k in range(6):
+        base = R.words(900 + k, 20).split(" ")
+        for _ in range(300):
+            w = list(base)
+            for at in r.sample(range(20), 2):
+                c = r.randrange(len(w[at]))
+                w[at] = w[at][:c] + r.choice("bcdfgh") + w[at][c + 1 :]
+            docs.append((len(docs), " ".join(w)))
+    frame = R.frame(spark, docs)
+    undealt = line_dedup.drops(frame).count()
+    assert undealt >= 0.98 * 6 * 299
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(line_dedup, "COMMON", 20)
+    for n in (120,):
+        monkeypatch.setattr(line_dedup, "shuffle_partitions", lambda _, n=n: n)
+        parts = line_dedup.common_keys(frame, 16)
+        assert parts and all(len(q) == len(line_dedup.TURNS) and (np.diff(x.astype(float)) >= 0).all() for q in parts.values() for x in q)
+        dealt = line_dedup.drops(frame).count()
+        assert dealt >= undealt - 0.005 * 6 * 299
+
+
 def test_recall_on_real_lines(spark):
     """Of planted links, checked by plain edit distance, 0.9 or more are found for every length and kind."""
     path = "/root/testdata/sf0.01/documents.parquet"
