@@ -3,7 +3,8 @@
 Schemas are explicit. A document that breaks a rule of its own fails the read that is strict (the default)
 with its file and rule; otherwise it is left out and stands in the *_violations() of the same tree.
 A root is the folder of a sealed tree, with one document a file, or an archive of it (a table of
-file_path and value); `pattern` reads trees that write_tree() made.
+file_path and value); `pattern` reads trees that write_tree() made. An archive may hold a file of lines (a log, a
+manifest) in several rows of whole lines.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as T
-from .documents import accepted, documents, path_part, violations
+from .documents import accepted, documents, path_part, texts, violations
 
 KEYS_VERSION = "contamination-keys/v1"
 RUN_VERSION = "run-result/v1"
@@ -186,20 +187,20 @@ def read_probes(spark: SparkSession, path: str | DataFrame, strict: bool = True)
     return accepted(documents(spark, path, T.PROBE), strict).select("case_id", "void", F.explode("responses").alias("r")).select("case_id", "void", "r.*")
 
 
-def gate_documents(spark: SparkSession, path: str, records: str) -> DataFrame:
+def gate_documents(spark: SparkSession, path: str | DataFrame, records: str | DataFrame) -> DataFrame:
     """Gates, held against the cohort's records: a gate breaks a rule if it is of another version or
     its records_sha256 is not the digest of a file at `records`."""
     docs = documents(spark, path, T.GATE, GATE_VERSION)
-    real = spark.read.format("binaryFile").load(records).select(F.sha2("content", 256).alias("digest")).distinct()
+    real = _contents(spark, records).select(F.sha2("content", 256).alias("digest")).distinct()
     docs = docs.join(real, F.col("doc.records_sha256") == F.col("digest"), "left")
     wrong = F.col("rule").isNull() & F.col("digest").isNull()
     detail = F.when(wrong, F.coalesce("doc.records_sha256", F.lit(""))).otherwise(F.col("detail"))
     return docs.select("file_path", "file_sha256", "doc", F.when(wrong, "other records").otherwise(F.col("rule")).alias("rule"), detail.alias("detail"))
 
 
-def read_gate(spark: SparkSession, path: str, records: str | None = None, strict: bool = True) -> DataFrame:
+def read_gate(spark: SparkSession, path: str | DataFrame, records: str | DataFrame | None = None, strict: bool = True) -> DataFrame:
     """The gate's statement for every case; with `records`, only of gates written for them."""
-    docs = gate_documents(spark, path, records) if records else documents(spark, path, T.GATE)
+    docs = gate_documents(spark, path, records) if records is not None else documents(spark, path, T.GATE)
     return accepted(docs, strict).select("records_sha256", F.explode("cases").alias("case_id", "state"))
 
 
@@ -207,7 +208,15 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
-def read_bundle_files(spark: SparkSession, root: str) -> DataFrame:
+def _contents(spark: SparkSession, source: str | DataFrame, tree: bool = False) -> DataFrame:
+    """file_path, content: the bytes of files under a path or glob (or a whole tree), or of an archive."""
+    if isinstance(source, DataFrame):
+        return source.select("file_path", F.col("value").cast("binary").alias("content"))
+    files = _files(spark, source) if tree else spark.read.format("binaryFile").load(source)
+    return files.select(F.col("path").alias("file_path"), "content")
+
+
+def read_bundle_files(spark: SparkSession, root: str | DataFrame) -> DataFrame:
     """Every file of every bundle with its bytes; the case is the folder under the root, or the one
     called case_id=..., with the path in one called path=... below it."""
     shape, written = r"/([^/]+)/((?:reviewer|control)/.*)$", r"/case_id=([^/]+)/path=([^/]+)/[^/]+$"
@@ -216,7 +225,7 @@ def read_bundle_files(spark: SparkSession, root: str) -> DataFrame:
     once = lambda c: F.url_decode(F.replace(c, F.lit("%25"), F.lit("%")))  # noqa: E731  a folder's name is escaped again in a URI
     case = F.when(named, once(F.regexp_extract(at, written, 1))).otherwise(F.regexp_extract(at, shape, 1))
     path = F.when(named, once(F.regexp_extract(at, written, 2))).otherwise(F.regexp_extract(at, shape, 2))
-    raw = _files(spark, root).withColumnRenamed("path", "file_path")
+    raw = _contents(spark, root, tree=True)
     return raw.select(case.alias("case_id"), path.alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("link_target"), "content").where("path <> ''")
 
 
@@ -225,9 +234,9 @@ def bundle_digests(files: DataFrame) -> DataFrame:
     return files.select("case_id", "path", F.sha2("content", 256).alias("digest"))
 
 
-def read_checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_checksum_manifest(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Digest and path of each line; blank lines are skipped, others than two fields malformed."""
-    df = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file_path")).where("line <> ''")
+    df = texts(spark, path, lines=True).select(F.trim("value").alias("line"), "file_path").where("line <> ''")
     f = F.split("line", r"\s+")
     return df.select("file_path", path_part("case_id", 3).alias("case_id"), F.get(f, 0).alias("digest"), F.get(f, 1).alias("path"), (F.size(f) != 2).alias("malformed"))
 

@@ -124,3 +124,39 @@ def test_gate_of_other_records(spark, tmp_path):
     assert [(r["rule"], r["detail"]) for r in R.gate_documents(spark, f"{tmp_path}/*.json", f"{tmp_path}/records").where("rule is not null").collect()] == [("other records", "0" * 64)]
     with pytest.raises(Exception, match="other records"):
         R.read_gate(spark, f"{tmp_path}/bad.json", f"{tmp_path}/records").collect()
+
+
+def test_archives_of_bundles_and_manifests(spark):
+    body = [("x/case7/reviewer/repository/a b.c", "int x;\n"), ("x/case7/control/checksums.sha256", "abc  reviewer/x\n\n"), ("x/case7/control/checksums.sha256", "only\n")]
+    archive = spark.createDataFrame(body, "file_path string, value string")
+    files = R.read_bundle_files(spark, archive.where("file_path like '%.c'"))
+    want = [("case7", "reviewer/repository/a b.c", hashlib.sha256(b"int x;\n").hexdigest())]
+    assert [tuple(r) for r in R.bundle_digests(files).collect()] == want
+    lines = R.read_checksum_manifest(spark, archive.where("file_path like '%.sha256'"))
+    assert {(r["case_id"], r["digest"], r["path"], r["malformed"]) for r in lines.collect()} == {("case7", "abc", "reviewer/x", False), ("case7", "only", None, True)}
+
+
+def test_archives_of_logs_and_gates(spark):
+    log = spark.createDataFrame([("x/r1/events.jsonl", '{"type":"start"}\n'), ("x/r1/events.jsonl", '  \n{"type":"end"}\n[]\n')], "file_path string, value string")
+    assert {(r["run_dir"], r["type"]) for r in R.read_events(spark, log, strict=False).collect()} == {("r1", "start"), ("r1", "end")}
+    assert [r["rule"] for r in R.event_documents(spark, log).where("rule is not null").collect()] == ["malformed"]
+    gate = json.dumps({"schema_version": R.GATE_VERSION, "records_sha256": hashlib.sha256(b"a\nb\n").hexdigest(), "cases": {"a": "clean"}})
+    archive = lambda **files: spark.createDataFrame([(f"x/{k}/f", v) for k, v in files.items()], "file_path string, value string")
+    assert R.read_gate(spark, archive(good=gate), archive(r="a\nb\n")).count() == 1
+    assert [r["rule"] for r in R.gate_documents(spark, archive(good=gate), archive(r="a\nc\n")).collect()] == ["other records"]
+
+
+def test_source_queries_write_no_file_a_document(spark, tmp_path):
+    """Their files grow with the tasks, not with the documents."""
+    import os
+
+    from assay.plans import QUERIES
+    from assay.sources.shared import shared_dir
+
+    def count():
+        return sum(len(files) for _, _, files in os.walk(shared_dir(spark).removeprefix("file:")))
+
+    for name in ("s3_read_telemetry", "s4_events_violations", "s10_gate_violations", "s11_bundle_files", "s12_checksum_manifest", "s14_checksum_lines"):
+        before = count()
+        QUERIES[name](spark, "/root/testdata/sf0.01").count()
+        assert count() - before < 60, name
