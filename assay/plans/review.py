@@ -97,7 +97,7 @@ def _(t):
 @query("j4_unattributed", f"WITH {POOL} SELECT opaque_id FROM pool WHERE partkey % 31 = 0")
 def _(t):
     p = _pool(t)
-    return J.unattributed(p.select("opaque_id"), p.where("partkey % 31 <> 0")).select("opaque_id")
+    return J.unattributed(p, p.where("partkey % 31 <> 0")).select("opaque_id")
 
 
 @query("j4_missing_verdicts", f"WITH {POOL} SELECT opaque_id, case_id FROM pool WHERE partkey % 37 = 0")
