@@ -45,3 +45,11 @@ def test_verification(spark):
     assert {r["case_id"]: r["risky"] for r in H.apply_verification(risky, v).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
     assert [tuple(r) for r in H.verify_pairs(v).collect()] == [("T", 4, 3)]
     assert {(r["disposition"], r["n"]) for r in H.verify_summary(v).collect()} == {("CONFIRMED", 1), ("INCONCLUSIVE", 2), ("REJECTED", 2), ("ERROR", 1)}
+
+
+def test_hit_rate_reads_verdicts_once(spark):
+    """The verdicts of h7_hit_rate are made once; its plan reads no line items any more."""
+    from assay.plans import QUERIES
+
+    plan = QUERIES["h7_hit_rate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
