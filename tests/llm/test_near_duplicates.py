@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,40 @@ def test_dealt_keys_lose_no_variants(spark, monkeypatch):
         assert dealt >= undealt - 0.005 * 6 * 299
 
 
+@pytest.mark.parametrize("whole, common", [(512, 1024), (3, 1024), (3, 10)])
+def test_holes_lose_no_near_pair(spark, monkeypatch, whole, common):
+    """Chains of lines, each a word from the next, in shared holes: all near pairs of the holes within a tenth join, where holes
+    give all pairs, where they are compared in tiles and where their keys are common too."""
+    r = random.Random(12)
+    texts, front = [], "the holder of this page says that"
+    for k in range(12):
+        w = R.words(700 + k, 16).split(" ")
+        for step in range(12):
+            texts.append(front + " " + " ".join(w))
+            w[step] = w[step][:1] + "".join(r.choice("bcdfgh") for _ in range(len(w[step])))
+    frame = R.frame(spark, list(enumerate(texts)))
+    rows = line_dedup.entries(pa.array(texts), 16, set())
+    text = {x["h"]: texts[x["doc_id"]] for x in line_dedup.occurrences(frame, 16).collect()}
+    holes, edges = {}, set()
+    for x in rows:
+        holes.setdefault(x["key"], []).append(x)
+    for own in holes.values():
+        one = {n: np.array([x[n] for x in own]) for n in line_dedup.ROW.names}
+        every = np.arange(len(own))
+        near = line_dedup._near(one, every[:, None], every[None, :])[1]
+        edges |= {(int(one["h"][i]), int(one["h"][j])) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+    edges = {(a, b) for a, b in edges if _distance(text[a], text[b]) <= max(len(text[a]), len(text[b])) // 10}
+    ids = sorted(text)
+    want = _groups(len(ids), [(ids.index(a), ids.index(b)) for a, b in edges])
+    assert len(ids) > len(set(want)) >= 12
+    monkeypatch.setattr(line_dedup, "WHOLE", whole, raising=False)
+    monkeypatch.setattr(line_dedup, "TILE", 16, raising=False)
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(line_dedup, "COMMON", common)
+    assert bool(line_dedup.common_keys(frame, 16)) == (common == 10)
+    assert line_dedup.drops(frame).count() == len(ids) - len(set(want))
+
+
 def test_recall_on_real_lines(spark):
     """Of planted links, checked by plain edit distance, 0.9 or more are found for every length and kind."""
     path = "/root/testdata/sf0.01/documents.parquet"
