@@ -13,11 +13,12 @@ ORACLE_SQL: dict = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers the decorated function, which gets `t(name)` for a table or bound table."""
+    """Registers the decorated function, which gets `t(name)` for a table or bound table (made from bound ones
+    that are given by name)."""
 
     def keep(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: bound(spark, sf_dir, table))
+            return f(lambda table, **given: bound(spark, sf_dir, table, **given))
 
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run

@@ -73,13 +73,15 @@ def with_bindings(sql: str) -> str:
     return f"WITH {head},\n{sql[len('WITH '):]}" if sql.startswith("WITH ") else f"WITH {head}\n{sql}"
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data or a bound table made from them."""
+def bound(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A table of the test data or a bound table made from them, or from those `given` in place of bound ones."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    names = needed([name])
-    head = ", ".join(f"{n} AS ({BINDINGS[n]})" for n in names)
+    names, made = [n for n in needed([name]) if n not in given], dict(BINDINGS)
+    for n in given:
+        made = {k: re.sub(rf"\b{n}\b", f"{{{n}}}", v) for k, v in made.items()}
+    head = ", ".join(f"{n} AS ({made[n]})" for n in names)
     sql = f"WITH {head} SELECT * FROM {name}".replace("VARCHAR", "STRING")
     for t in TABLES:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", sql)
-    return spark.sql(sql)
+    return spark.sql(sql, **given)
