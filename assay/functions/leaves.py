@@ -1,13 +1,14 @@
-"""Strings and citations of nested documents, by expressions made from the schema, or over VARIANT where
-there is none."""
+"""Strings and citations of nested documents, by expressions made from the schema, or in a pass over JSON
+text where there is none."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
-
-from ..sources.shared import shared_dir
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 _EMPTY = "CAST(array() AS array<struct<path:string,value:string>>)"
 
@@ -33,35 +34,77 @@ def string_leaves(df: DataFrame, document: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(found if found is not None else F.expr(_EMPTY)).alias("leaf")).select(*keep, "leaf.path", "leaf.value")
 
 
-#: Levels of nesting that open_leaves() goes down in one pass over the documents.
-LEVELS = 12
-_HOLDS = "(kind LIKE 'OBJECT<%' OR kind LIKE 'ARRAY<%') AND kind NOT IN ('OBJECT<>', 'ARRAY<VOID>')"
-
-
-def open_leaves(df: DataFrame, document: str, *keep: str, levels: int = LEVELS) -> DataFrame:
+def _no_number(_: str) -> None:
+    raise ValueError("NaN and Infinity are no JSON")
+
+
+#: Numbers are not leaves, so how they are read does not matter; a float has no limit of digits.
+_JSON = json.JSONDecoder(parse_int=float, parse_constant=_no_number)
+
+
+def _strings(text: str, paths: list[str], values: list[str]) -> None:
+    """Adds the paths and values of the strings of a JSON text; none if it is no JSON."""
+    try:
+        top = _JSON.decode(text)
+    except (ValueError, RecursionError):
+        return
+    if type(top) is str:
+        paths.append("$")
+        values.append(top)
+    todo = [("$", top)]
+    while todo:
+        path, v = todo.pop()
+        if type(v) is dict:
+            below = [(path + "." + k, x) for k, x in v.items()]
+        elif type(v) is list:
+            below = [(f"{path}[{i}]", x) for i, x in enumerate(v)]
+        else:
+            continue
+        for at, x in below:
+            if type(x) is str:
+                paths.append(at)
+                values.append(x)
+            elif x and type(x) is not float:
+                todo.append((at, x))
+
+
+def _utf8(texts: list[str]) -> pa.Array:
+    try:
+        return pa.array(texts, pa.string())
+    except UnicodeEncodeError:  # half of a surrogate pair, escaped
+        return pa.array([x.encode("utf-8", "replace").decode() for x in texts], pa.string())
+
+
+def open_leaves(df: DataFrame, document: str, *keep: str, levels: int | None = None) -> DataFrame:
     """P1 for open JSON text: the rows of string_leaves() to any depth, without a schema. A text that is no
     JSON has none, and a key stands as it is written (of repeated keys of an object the last counts).
 
-    A document is parsed once into a VARIANT; `levels` explodes in a row send containers down to their
-    children and let scalars pass, all in one stage without a shuffle. What is nested deeper is written to the
-    checkpoint folder and goes down as many levels again.
+    A document is parsed and gone down once, in one pass without a shuffle, so nothing depends on how many levels
+    there are (`levels`, those of a pass, is not needed any more).
     """
-    spark = df.sparkSession
-    names = ", ".join(f"d.`{k}`" for k in keep)
-    at = df.select(*keep, F.lit("$").alias("path"), F.try_parse_json(F.col(document)).alias("v")).where("v is not null")
-    out = None
-    while True:
-        for _ in range(levels):
-            below = "CASE WHEN x.key IS NOT NULL THEN concat(d.path, '.', x.key) WHEN x.pos IS NOT NULL THEN concat(d.path, '[', x.pos, ']') ELSE d.path END"
-            at = spark.sql(f"SELECT {names}, {below} AS path, coalesce(x.value, d.v) AS v FROM {{at}} d, LATERAL variant_explode_outer(d.v) x", at=at)
-        at = at.withColumn("kind", F.schema_of_variant("v"))
-        found = at.where("kind = 'STRING'").select(*keep, "path", F.variant_get("v", "$", "string").alias("value"))
-        out = found if out is None else out.unionByName(found)
-        shared_dir(spark)
-        deeper = at.where(_HOLDS).drop("kind").checkpoint()
-        if deeper.isEmpty():
-            return out
-        at = deeper
+    src = df.select(*keep, F.col(document).cast("string").alias("_document"))
+    names = [*keep, "path", "value"]
+
+    def made(batches):
+        for b in batches:
+            of, paths, values = [], [], []
+
+            def rows():
+                kept = b.select(list(range(b.num_columns - 1))).take(pa.array(of, pa.int32())).columns  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, _utf8(paths), _utf8(values)], names)  # noqa: B023
+
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if text is not None:
+                    _strings(text, paths, values)
+                    of += [k] * (len(paths) - len(of))
+                if len(of) > 100_000:
+                    yield rows()
+                    of, paths, values = [], [], []
+            if of:
+                yield rows()
+
+    schema = StructType([*src.schema.fields[:-1], StructField("path", StringType()), StructField("value", StringType())])
+    return src.mapInArrow(made, schema)
 
 
 def cited_files(leaves: DataFrame, *by: str) -> DataFrame:
