@@ -325,3 +325,12 @@ def test_pairs_side_by_side_have_the_brute_force_edit_distance():
         got = lines.side_by_side([xs[k] for k in pick], [ys[k] for k in pick], most[pick])
         assert got.tolist() == (d <= most)[pick].tolist()
         assert lines.close(xs, ys, 10).tolist() == [e <= max(len(x), len(y)) // 10 for e, x, y in zip(d.tolist(), xs, ys, strict=True)]
+
+
+def test_a_hole_gives_all_near_pairs_or_stands_for_the_rest():
+    for n in (8, 12):  # 28 pairs of 8 entries are few, 66 of 12 are not
+        r = np.zeros(n, line_dedup.ROW)
+        r["key"], r["h"], r["sim"], r["size"] = 5, np.arange(n), [1 << k for k in range(n)], 1000
+        found = line_dedup.candidates(r, {})
+        pairs = {frozenset(x) for x in zip(found[0][0].tolist(), found[0][1].tolist(), strict=True)}
+        assert len(pairs) == 28 if n == 8 else sorted(found[2]["h"].tolist()) == list(range(n))
