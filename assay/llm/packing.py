@@ -35,7 +35,7 @@ _known: dict[str, dict[str, bytes]] = {}
 class Encoder:
     """Ids of texts, with a bounded table of words that outlives the task in its worker."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 150_000):
         self.path, self.most = path, most
         self.known = _known.setdefault(path, {})
 
@@ -141,7 +141,7 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text", pool_ids: int = 2_000_000, group_ids: int = 65_536, max_chars: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text", pool_ids: int = 2_000_000, group_ids: int = 65_536, max_chars: int = 1_000_000) -> DataFrame:
     """(key, text) -> a row a piece: doc_id, start, length, ids (packed uint32), doc_tokens,
     sequence_id, offset, tier (the sequence's length), step_group."""
 

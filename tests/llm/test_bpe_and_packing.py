@@ -61,3 +61,11 @@ def test_packing(spark, tmp_path):
 def test_empty(spark, tmp_path):
     d = R.table(spark, tmp_path, [])
     assert bpe.op3_bpe(spark, d).count() == 0 and packing.op5_packing(spark, d).count() == 0
+
+
+def test_words_kept_by_a_packing_worker_are_bounded():
+    words = [f"w{k}" for k in range(200_000)]
+    encoder = packing.Encoder(bpe.vocabulary())
+    for at in range(0, len(words), 20_000):
+        encoder([" ".join(words[at : at + 20_000])])
+        assert len(encoder.known) <= 150_000
