@@ -130,6 +130,8 @@ def _sides(total: float, k: int, n: int, s) -> np.ndarray:
 
 #: Multiply-adds of an exact count; past them draws cost less.
 WORK = 4_000_000_000
+#: States over all rates up to which they are gone through one by one, though arrays would hold them.
+FEW_STATES = 4096
 
 
 def _whole_numbers(rates: list[tuple[int, int]]) -> list[int]:
@@ -167,17 +169,18 @@ def label_exact(rates: list[tuple[int, int]], sizes: list[int], clean: list[int]
         return None
     whole = sum(v * m for v, m in zip(values, sizes, strict=True))
     seen = sum(v * c for v, c in zip(values, clean, strict=True))
-    sums, weights = (_label_arrays if dense else _label_states)(values, sizes, k, steps)
+    few = sum(min(w, labellings) for *_, w in steps) <= FEW_STATES
+    sums, weights = (_label_states if few or not dense else _label_arrays)(values, sizes, k, steps)
     far = [abs(s * n - whole * k) >= abs(seen * n - whole * k) for s in sums]
     every = sum(weights)
-    return {"p1": float(sum(w for s, w in zip(sums, weights, strict=True) if s >= seen) / every), "p2": float(sum(w for f, w in zip(far, weights, strict=True) if f) / every)}
+    return {"p1": sum(w for s, w in zip(sums, weights, strict=True) if s >= seen) / every, "p2": sum(w for f, w in zip(far, weights, strict=True) if f) / every}
 
 
 def _label_states(values: list[int], sizes: list[int], k: int, steps) -> tuple[list, list]:
     """Sums and exact numbers of labellings, by the states that occur."""
-    states = {(0, 0): Fraction(1)}
+    states = {(0, 0): 1}
     for v, m, (low, high, _, _) in zip(values, sizes, steps, strict=True):
-        ways, new = [math.comb(m, c) for c in range(m + 1)], {}
+        ways, new = [math.comb(m, c) for c in range(min(m, k) + 1)], {}
         for (c, s), w in states.items():
             for x in range(max(0, low - c), min(m, high - c) + 1):
                 key = (c + x, s + x * v)
@@ -262,7 +265,9 @@ def label_permutation_by(df: DataFrame, group: str, hits: str, of: str, clean: s
     the whole numbers `hits` / `of`. A group travels as the counts of its distinct rates; what is exact is
     settled once, and draws are dealt in chunks, each with its own seed."""
     cells = df.groupBy(F.col(group).alias("g"), F.col(hits).cast("long").alias("a"), F.col(of).cast("long").alias("b")).agg(F.count("*").alias("n"), F.count_if(clean).alias("k"))
-    rows = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("a", "b", "n", "k"))).alias("c"))
+    # groups are few bytes and much work: an asked-for number of partitions is not put together by size
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.repartition(n, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("a", "b", "n", "k"))).alias("c"))
 
     def start(c: pd.Series) -> pd.DataFrame:
         out = []

@@ -7,6 +7,7 @@ from itertools import combinations, product
 
 import pytest
 
+from assay.functions import stats
 from assay.functions.stats import fisher_exact, label_permutation, label_permutation_by, paired_permutation
 
 
@@ -133,3 +134,23 @@ def test_an_exact_count_is_estimated_before_it_is_tried():
     r = random.Random(1)
     out = label_permutation([r.randrange(q + 1) / q for q in (r.randrange(1, 41) for _ in range(4000))], [k % 2 == 0 for k in range(4000)], draws=50)
     assert out["method"] == "monte carlo" and time.perf_counter() - start < 2
+
+
+def test_small_cohorts_are_dealt_over_all_partitions_and_counted_by_states(spark, monkeypatch):
+    r, seen, cut = random.Random(12), [], stats.cut
+    monkeypatch.setattr(stats, "cut", lambda df: seen.append(df) or cut(df))
+    by_arrays, used = stats._label_arrays, []
+    monkeypatch.setattr(stats, "_label_arrays", lambda *a: used.append(a) or by_arrays(*a))
+    rows = [(f"c{k // 10}", r.randrange(q + 1), q, k % 3 == 0) for k, q in enumerate(r.randrange(6, 20) for _ in range(400))]
+    got = {x["g"]: x for x in label_permutation_by(spark.createDataFrame(rows, "g string, hits long, n long, clean boolean"), "g", "hits", "n", "clean").collect()}
+    assert len(got) == 40 and {x["method"] for x in got.values()} == {"exact"}
+    assert seen[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for g, x in got.items():
+        cases = [(a / b, c) for h, a, b, c in rows if h == g]
+        every = list(combinations([v for v, _ in cases], sum(c for _, c in cases)))
+        total, k = sum(v for v, _ in cases), len(every[0])
+        gaps = [sum(s) / k - (total - sum(s)) / (10 - k) for s in every]
+        assert abs(x["p1"] - sum(y >= x["gap"] - 1e-9 for y in gaps) / len(gaps)) < 1e-12
+        assert abs(x["p2"] - sum(abs(y) >= abs(x["gap"]) - 1e-9 for y in gaps) / len(gaps)) < 1e-12
+        label_permutation([v for v, _ in cases], [c for _, c in cases])
+    assert not used  # a few hundred labellings are no reason for arrays of every sum
