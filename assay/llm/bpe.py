@@ -33,6 +33,7 @@ ODD = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, Unic
 BUCKETS = 1024
 
 _tokenizers: dict = {}
+_packed: dict[str, list[bytes]] = {}
 
 
 def tokenizer(path: str):
@@ -62,9 +63,9 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in WHITE.split(text) if w] if ODD.search(text) else text.split()
 
 
-# Lower-case Latin letters that no normaliser changes, with one full stop or comma behind them:
-# such a word needs no splitting and goes to the merges directly.
-PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,]?)")
+# Lower-case Latin letters that no normaliser changes, and ASCII punctuation but apostrophes behind them: the vocabulary splits
+# between the two, so the ids are those of the letters, which go to the merges directly, and those of what is behind.
+PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -77,22 +78,46 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+def word_packer(path: str):
+    """A function from a word to its ids, as little-endian unsigned 32-bit integers. It asks `known`, which takes a word
+    and gives its ids so, for the parts of a word with punctuation behind it."""
+    t = tokenizer(path)
+    if path not in _packed:
+        _packed[path] = [i.to_bytes(4, "little") for i in range(t.get_vocab_size(with_added_tokens=True))]
+    merge, encode, packed, whole = t.model.tokenize, t.encode, _packed[path], PLAIN.fullmatch
+
+    def pack(word: str, known) -> bytes:
+        if not (word.isascii() and word.isalpha() and word.islower()):
+            m = whole(word)
+            if m is None:
+                return b"".join([packed[i] for i in encode(word, add_special_tokens=False).ids])
+            if m[2]:
+                return known(m[1]) + known(m[2])
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_LETTERS)
+        return b"".join([packed[x.id] for x in merge(word)])
+
+    return pack
+
+
+class Packed(dict):
+    """word -> its ids, packed, of every word that was asked for; `older` is a table of words to look in first."""
+
+    def __init__(self, path: str, older: dict[str, bytes] | None = None):
+        super().__init__()
+        self.pack, self.older = word_packer(path), older or {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.pack(word, self.__getitem__)
+        self[word] = got
+        return got
+
+
 def encode_words(path: str, words: list[str]) -> list[np.ndarray]:
     """The ids of each word, as uint32."""
-    t = tokenizer(path)
-    merge, stop = t.model.tokenize, {"": []}
-    stop |= {c: t.encode(c, add_special_tokens=False).ids for c in ".,"}
-    out: list = [None] * len(words)
-    rest = []
-    for i, w in enumerate(words):
-        if m := PLAIN.fullmatch(w):
-            base = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(_LETTERS)
-            out[i] = np.array([x.id for x in merge(base)] + stop[m[2]], np.uint32)
-        else:
-            rest.append(i)
-    for i, e in zip(rest, t.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, np.uint32)
-    return out
+    return [np.frombuffer(x, "<u4") for x in map(Packed(path).__getitem__, words)]
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], max_chars: int) -> Iterator[tuple[list, list]]:
@@ -165,22 +190,19 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             yield _rows(block=[block] * n, kind=[1] * n, bucket=[0] * n, doc_id=ids, lo=[p[0] for p in packed], hi=[p[1] for p in packed])
 
     def encoded(batches):
-        known, now = {}, None
+        known, now = None, None
         for b in batches:
             out: dict[str, list] = {"block": [], "kind": [], "bucket": [], "doc_id": [], "lo": [], "hi": []}
             for block, bucket, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
-                    known, now = {}, bucket
-                ws = line.split(" ")
-                new = [w for w in ws if w not in known]
-                known.update(zip(new, encode_words(path, new), strict=True))
-                got = [known[w] for w in ws]
+                    known, now = Packed(path), bucket
+                got = [known[w] for w in line.split(" ")]
                 out["block"].append(block)
                 out["kind"].append(0)
                 out["bucket"].append(bucket)
                 out["doc_id"].append(None)
-                out["lo"].append(np.concatenate(got).astype("<u4").tobytes())
-                out["hi"].append(np.array([len(x) for x in got], "<u4").tobytes())
+                out["lo"].append(b"".join(got))
+                out["hi"].append(np.array([len(x) // 4 for x in got], "<u4").tobytes())
             yield _rows(**out)
 
     def placed(batches):

@@ -23,34 +23,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encode_words, text_chunks, vocabulary, words_of
+from .bpe import Packed, text_chunks, vocabulary, words_of
 from .common import table
 
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, Packed] = {}
 
 
 class Encoder:
-    """Ids of texts, with a bounded table of words that outlives the task in its worker."""
+    """Ids of texts, with a bounded table of words that outlives the task in its worker: two halves, of which the older one is
+    dropped when the newer is full, and words that come up again move to the newer, so frequent ones stay."""
 
     def __init__(self, path: str, most: int = 150_000):
-        self.path, self.most = path, most
-        self.known = _known.setdefault(path, {})
+        self.path, self.most, self.at_once = path, most, max(1, most // 16)
+        if path not in _known:
+            _known[path] = Packed(path)
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        return {**_known[self.path].older, **_known[self.path]}
 
     def __call__(self, texts: list) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(texts), 256):
-            rows = [words_of(t) for t in texts[at : at + 256]]
-            new = list(set().union(*rows).difference(self.known))
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(set().union(*rows))
-            self.known.update(zip(new, (x.tobytes() for x in encode_words(self.path, new)), strict=True))
-            look = self.known.__getitem__
-            out += [np.frombuffer(b"".join(map(look, r)), np.uint32) for r in rows]
-        return out
+        return [np.frombuffer(b"".join(self.packed(words_of(t))), "<u4") for t in texts]
+
+    def packed(self, words: list[str]):
+        for at in range(0, len(words), self.at_once):
+            part = words[at : at + self.at_once]
+            now = _known[self.path]
+            if len(now) + 3 * len(part) > self.most // 2:  # a word, and the two parts it is made of
+                older = dict(now)
+                now = _known[self.path] = Packed(self.path, older)
+            yield b"".join(map(now.__getitem__, part))
 
 
 class Packer:
@@ -141,13 +146,13 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text", pool_ids: int = 2_000_000, group_ids: int = 65_536, max_chars: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text", pool_ids: int = 2_000_000, group_ids: int = 65_536, max_chars: int = 1_000_000, words: int = 150_000) -> DataFrame:
     """(key, text) -> a row a piece: doc_id, start, length, ids (packed uint32), doc_tokens,
-    sequence_id, offset, tier (the sequence's length), step_group."""
+    sequence_id, offset, tier (the sequence's length), step_group. `words` bounds the table of words of a worker (some 200 bytes each)."""
 
     def packed(batches):
         context = TaskContext.get()
-        encoder, packer = Encoder(path), Packer((context.partitionId() if context else 0) << 36, group_ids)
+        encoder, packer = Encoder(path, words), Packer((context.partitionId() if context else 0) << 36, group_ids)
         for ids, texts in text_chunks(batches, max_chars):
             for doc, got in zip(ids, encoder(texts), strict=True):
                 whole = np.append(got, np.uint32(end_id))
@@ -165,5 +170,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(table(spark, sf_dir, "documents"), vocabulary())
+    out = pack(table(spark, sf_dir, "documents"), vocabulary(), words=600_000)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")

@@ -69,3 +69,20 @@ def test_words_kept_by_a_packing_worker_are_bounded():
     for at in range(0, len(words), 20_000):
         encoder([" ".join(words[at : at + 20_000])])
         assert len(encoder.known) <= 150_000
+
+
+def test_frequent_words_stay_and_ends_are_as_the_library_has_them():
+    packing._known.clear()  # a worker's encoders share it
+    path = bpe.vocabulary()
+    t, encoder = bpe.tokenizer(path), packing.Encoder(path, most=4000)
+    letters, last = "abcdefghijklmnopqrstuvwxyzßäöüéèêíóñ", set()
+    name = lambda k: letters[k % 36] + letters[k // 36 % 36] + letters[k // 1296 % 36] + "tion"
+    ends = ["", ".", ",", "!!", "$$$", "&&&,", ".%%%", "'", "'s", "^`", "<|", "((_))", "\\", "@x.y", "-z", "...", "’", "́"]
+    for at in range(0, 20_000, 500):
+        words = [name(k) + ends[k % len(ends)] for k in range(at, at + 500)] + [e for e in ends if e]
+        (got,) = encoder([" ".join(words)])
+        assert got.tolist() == t.encode(" ".join(words), add_special_tokens=False).ids
+        assert last <= encoder.known.keys()  # what was asked last is there, however full the table was
+        assert len(encoder.known) <= 4000
+        last = set(words[:400])
+    assert [x.tolist() for x in bpe.encode_words(path, words)] == [t.encode(w, add_special_tokens=False).ids for w in words]
