@@ -53,8 +53,8 @@ class Encoder:
             part = words[at : at + self.at_once]
             now = _known[self.path]
             if len(now) + 3 * len(part) > self.most // 2:  # a word, and the two parts it is made of
-                older = dict(now)
-                now = _known[self.path] = Packed(self.path, older)
+                now.older = {}
+                now = _known[self.path] = Packed(self.path, now)
             yield b"".join(map(now.__getitem__, part))
 
 
