@@ -334,3 +334,47 @@ def test_a_hole_gives_all_near_pairs_or_stands_for_the_rest():
         found = line_dedup.candidates(r, {})
         pairs = {frozenset(x) for x in zip(found[0][0].tolist(), found[0][1].tolist(), strict=True)}
         assert len(pairs) == 28 if n == 8 else sorted(found[2]["h"].tolist()) == list(range(n))
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_pairs_of_large_holes_are_no_rows_before_they_link(spark, monkeypatch, tile):
+    """60 families of 4 lines in a hole, all near by SimHash (half of them with another first bit), every other line in a
+    second hole too: what comes out are links alone, and they join each family."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    r, texts = random.Random(13), []
+    for k in range(60):
+        w = R.words(800 + k, 30).split(" ")
+        texts += [" ".join([*w[:j], "x", *w[j + 1 :]]) for j in range(4)]
+    order = r.sample(range(240), 240)  # h does not follow the families
+    rows = [(key, order[k], (k % 2) * -(2**63) + k % 8, 1900 + k % 60, False) for k in range(240) for key in ((5,) if k % 4 < 2 else (5, -7))]
+    rest = spark.createDataFrame(rows, "key long, h long, sim long, size int, few boolean").repartition(3)
+    lines_ = spark.createDataFrame([(order[k], x) for k, x in enumerate(texts)] + [(order[0], texts[0])], "h long, s string")
+    groups = spark.createDataFrame([(order[0], order[1]), (order[1], order[1])], "id long, component long")
+    found = line_dedup.crossing(rest, groups, lines_).collect()
+    assert len(found) == len({frozenset(x) for x in found}) <= 60 * 6  # of some 28,000 near pairs
+    family = {h: k // 4 for k, h in enumerate(order)}
+    assert all(family[a] == family[b] for a, b in found)
+    root = _groups(240, [*found, (order[0], order[1])])
+    assert len(set(root)) == 60
+
+
+def test_long_pairs_side_by_side_have_the_brute_force_edit_distance():
+    """Lines of several looks at what can still be near: alike, unlike at either end, all over and without a common letter."""
+    r, xs, ys = random.Random(14), [], []
+    for k in range(120):
+        n = r.choice((150, 300, 400)) + r.randrange(20)
+        x = "".join(r.choice("abcdefgh é") for _ in range(n))
+        y = list(x)
+        at = {0: range(n // 3), 1: range(n - n // 3, n), 2: range(n), 3: [n // 2]}[k % 4]
+        for _ in range(r.randrange(1, n // 3)):
+            p = r.choice(at) % len(y)
+            y[p : p + r.randrange(2)] = r.choice("abz") * r.randrange(2)
+        xs.append(x)
+        ys.append("".join(y) if k % 10 else "z" * n)
+    d = np.array([_distance(x, y) for x, y in zip(xs, ys, strict=True)])
+    most = np.array([max(len(x), len(y)) // 10 for x, y in zip(xs, ys, strict=True)])
+    pick = np.flatnonzero(np.array([abs(len(x) - len(y)) for x, y in zip(xs, ys, strict=True)]) <= most)
+    got = lines.side_by_side([xs[k] for k in pick], [ys[k] for k in pick], most[pick])
+    assert got.tolist() == (d <= most)[pick].tolist() and 20 < got.sum() < len(got) - 20
+    assert lines.close(xs, ys, 10).tolist() == (d <= most).tolist()
+    assert (lines.unlike(xs + ys, np.arange(120), np.arange(120, 240)) <= 2 * lines.GRAM * d).all()
