@@ -29,3 +29,22 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert corpus_pipeline.run(spark, R.table(spark, tmp_path, [], labels=labels)).count() == 0
+
+
+def test_line_stage_makes_no_row_of_every_near_pair(spark, monkeypatch):
+    """400 lines behind one front of words: the pairs that the stage's joins bring lines to grow with the lines, not with their square."""
+    from assay.llm import line_dedup
+
+    front = R.words(5, 14)
+    docs = R.frame(spark, [(k, f"{front} {R.words(1000 + k, 9)}") for k in range(400)] + [(400, f"{front} {R.words(1007, 9)} x")])
+    rows, plain = [], line_dedup.verified
+
+    def verified(pairs, texts):
+        rows.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "verified", verified)
+    monkeypatch.setattr(line_dedup, "WHOLE", 3)
+    kept = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    assert [r["doc_id"] for r in kept if not r["text"]] == [400]
+    assert 0 < sum(rows) <= 20 * 400
